@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cilens import rules
 from cilens.functions import text as X
+from cilens.session import spread
 
 FRAME = "array<struct<file_path:string,line_number:bigint,function_name:string>>"
 
@@ -259,12 +260,12 @@ def parse(df: DataFrame, text: str = "log_text", language: str = "language") ->
 
 def first_failures(run_logs: DataFrame) -> DataFrame:
     """One parsed failure per owned log."""
-    return parse(run_logs.withColumn("language", runner_language(F.col("log_text")))).where("reject_reason is null")
+    return parse(spread(run_logs).withColumn("language", runner_language(F.col("log_text")))).where("reject_reason is null")
 
 
 def rejects(run_logs: DataFrame) -> DataFrame:
     """Logs no failure could be read from, with reason and remedy."""
-    logs = run_logs.withColumn("language", runner_language(F.col("log_text")))
+    logs = spread(run_logs).withColumn("language", runner_language(F.col("log_text")))
     parsed = parse(logs).where("reject_reason is not null").select("log_id", "language", "reject_reason")
     unowned = logs.where("language is null").select(
         "log_id", "language", F.when(F.regexp_replace("log_text", r"\s", "") == "", "empty log")
@@ -282,7 +283,7 @@ def _readable(section: Column) -> Column:
 
 def failure_sections(run_logs: DataFrame, readable_only: bool = False) -> DataFrame:
     """Failure blocks of each log for every runner that claims it, numbered from 1."""
-    owned = run_logs.withColumn("language", F.explode(owned_languages(F.col("log_text"))))
+    owned = spread(run_logs).withColumn("language", F.explode(owned_languages(F.col("log_text"))))
     blocks = sections(F.col("log_text"), F.col("language"))
     if readable_only:
         blocks = F.when(F.col("language") == "javascript", F.filter(blocks, _readable)).otherwise(blocks)

@@ -45,6 +45,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and continue from there.
+
+    Later steps neither repeat the work nor depend on executors that may be gone.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of a few large files enough tasks for costly per-row work.
+
+    Real inputs arrive in more splits than cores and pass through untouched.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits < cores else scan
