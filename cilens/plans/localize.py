@@ -135,14 +135,14 @@ def model_answers(pool):
 
 @query("s14_model_answers", """
 SELECT failure_id, symbol_id, rank, false AS rejected FROM d_rankings
-UNION ALL SELECT DISTINCT failure_id, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), true FROM d_pool WHERE failure_id % 10 = 4""")
+UNION ALL SELECT DISTINCT failure_id, CAST(NULL AS VARCHAR), -1, true FROM d_pool WHERE failure_id % 10 = 4""")
 def answers(t):
     from cilens.sources.responses import read_rankings, rejected_answers
 
     texts = cut_lineage(model_answers(Z.pool(scored(t))))
     return (read_rankings(texts).select("failure_id", "symbol_id", "rank", F.lit(False).alias("rejected"))
             .unionByName(rejected_answers(texts).select(
-                "failure_id", F.lit(None).cast("string").alias("symbol_id"), F.lit(None).cast("bigint").alias("rank"), F.lit(True).alias("rejected"))))
+                "failure_id", F.lit(None).cast("string").alias("symbol_id"), F.lit(-1).cast("bigint").alias("rank"), F.lit(True).alias("rejected"))))
 
 
 @query("j9_merge_model_ranking", """
