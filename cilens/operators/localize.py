@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from cilens import rules
 from cilens.functions import text as X
 from cilens.operators import graph
+from cilens.session import cut_lineage
 
 LINE_BIN = 500
 
@@ -108,9 +109,14 @@ def named_in_text(failures: DataFrame, symbols: DataFrame) -> DataFrame:
     return plain.unionByName(other)
 
 
-def _evidence(rows: DataFrame, points, group: int, place, reason) -> DataFrame:
-    return rows.select("failure_id", "ord", F.lit(points).cast("bigint").alias("points") if isinstance(points, int) else points.cast("bigint").alias("points"),
-                       F.struct(F.lit(group).alias("g"), place.cast("bigint").alias("k")).alias("place"), reason.alias("reason"))
+SEED_BITS, DEPTH_BITS = 40, 21
+
+
+def _evidence(rows: DataFrame, points, group: int, depth, reason) -> DataFrame:
+    """One observation. ``place`` packs signal, frame depth and symbol into one number, so the
+    first implicated symbol is a plain minimum that hash aggregation can keep in place."""
+    packed = (F.lit(group << (SEED_BITS + DEPTH_BITS)).cast("bigint") + F.shiftleft(depth.cast("bigint"), SEED_BITS) + F.col("ord"))
+    return rows.select("failure_id", "ord", points.cast("bigint").alias("points"), packed.alias("place"), reason.alias("reason"))
 
 
 def direct_evidence(failures: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -123,15 +129,15 @@ def direct_evidence(failures: DataFrame, symbols: DataFrame) -> DataFrame:
     own = failures.where("failing_file <> '' and failing_line > 0").select(
         "failure_id", "repo_id", F.col("failing_file").alias("path"), F.col("failing_line").alias("line"))
     spot = F.concat("path", F.lit(":"), F.col("line").cast("string"))
-    site = _evidence(own.join(at, ["repo_id", "path", "line"]), rules.SITE_POINTS, 0, F.lit(0),
+    site = _evidence(own.join(at, ["repo_id", "path", "line"]), F.lit(rules.SITE_POINTS), 0, F.lit(0),
                      F.concat(F.lit("encloses the error site "), spot))
     framed = frame_rows(failures).join(at.where("not is_test"), ["repo_id", "path", "line"])
     weight = rules.FRAME_BASE + F.floor(rules.FRAME_DEPTH * (F.col("depth") / F.greatest(F.col("n") - 1, F.lit(1))))
     frames = _evidence(framed, weight, 1, F.col("depth"), F.concat(F.lit("appears in the traceback at "), spot))
-    named = _evidence(named_in_text(failures, symbols), rules.NAMED_POINTS, 2, F.col("ord"), F.lit("named in the traceback"))
+    named = _evidence(named_in_text(failures, symbols), F.lit(rules.NAMED_POINTS), 2, F.lit(0), F.lit("named in the traceback"))
     filed = failures.where("failing_file <> ''").select("failure_id", "repo_id", F.col("failing_file").alias("reported_path")) \
         .join(candidates.where("not is_test").select("repo_id", "reported_path", "ord"), ["repo_id", "reported_path"])
-    same_file = _evidence(filed, rules.SAME_FILE_POINTS, 3, F.col("ord"), F.lit("defined in the failing file"))
+    same_file = _evidence(filed, F.lit(rules.SAME_FILE_POINTS), 3, F.lit(0), F.lit("defined in the failing file"))
     return site.unionByName(frames).unionByName(named).unionByName(same_file)
 
 
@@ -139,28 +145,25 @@ def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFram
     """Additive score of every candidate symbol of every failure, with its evidence in order.
 
     Neighbours of everything implicated get their points once, credited to the first
-    implicated symbol. Seeds and neighbours meet in a single grouping, which also tells
-    whether a neighbour was implicated itself.
+    implicated symbol. The implicated symbols are written once and read three times.
     """
-    seeds = direct_evidence(failures, symbols).groupBy("failure_id", "ord").agg(
+    seeds = cut_lineage(direct_evidence(failures, symbols).groupBy("failure_id", "ord").agg(
         F.sum("points").alias("points"), F.min("place").alias("place"),
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "reason"))), lambda e: e["reason"]).alias("reasons"))
-    names = symbols.select("ord", F.col("name").alias("seed_name"))
-    links = graph.neighbours(edges).where("not other_test").select(F.col("node").alias("ord"), "other").distinct().join(names, "ord")
-    spread = seeds.select("failure_id", "ord", "place").join(links, "ord").select(
-        "failure_id", F.col("other").alias("ord"), F.lit(None).cast("bigint").alias("points"),
-        F.lit(None).cast("array<string>").alias("reasons"), F.struct("place", "seed_name").alias("via"))
-    both = seeds.select("failure_id", "ord", "points", "reasons",
-                        F.lit(None).cast("struct<place:struct<g:int,k:bigint>,seed_name:string>").alias("via")).unionByName(spread)
-    merged = both.groupBy("failure_id", "ord").agg(
-        F.max("points").alias("points"), F.max("reasons").alias("reasons"), F.min("via").alias("via"))
-    near = F.array(F.concat(F.lit("adjacent in the call graph to "), F.col("via.seed_name")))
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "reason"))), lambda e: e["reason"]).alias("reasons")))
+    links = graph.neighbours(edges).where("not other_test").select(F.col("node").alias("ord"), "other").distinct()
+    near = (seeds.select("failure_id", "ord", "place").join(links, "ord")
+            .groupBy("failure_id", F.col("other").alias("ord")).agg(F.min("place").alias("place"))
+            .join(seeds.select("failure_id", "ord"), ["failure_id", "ord"], "left_anti"))
+    merged = seeds.select("failure_id", "ord", "points", "reasons", F.lit(-1).cast("bigint").alias("seed")).unionByName(
+        near.select("failure_id", "ord", F.lit(rules.NEIGHBOUR_POINTS).cast("bigint").alias("points"), F.lit(None).cast("array<string>").alias("reasons"),
+                    F.col("place").bitwiseAND(F.lit((1 << SEED_BITS) - 1)).alias("seed")))
     code = symbols.where("not is_test").select("ord", "symbol_id", "name", "symbol_type", "file_path")
+    credited = symbols.select(F.col("ord").alias("seed"), F.concat(F.lit("adjacent in the call graph to "), "name").alias("adjacent"))
     runs = F.col("symbol_type").isin("function", "method")
-    return merged.join(code, "ord").select(
+    return merged.join(code, "ord").join(credited, "seed", "left").select(
         "failure_id", "ord", "symbol_id", "name", "file_path",
-        (F.coalesce("points", F.lit(rules.NEIGHBOUR_POINTS)) + F.when(runs, rules.EXECUTABLE_POINTS).otherwise(0)).cast("bigint").alias("score"),
-        F.concat(F.coalesce("reasons", near),
+        (F.col("points") + F.when(runs, rules.EXECUTABLE_POINTS).otherwise(0)).cast("bigint").alias("score"),
+        F.concat(F.coalesce("reasons", F.array("adjacent")),
                  F.when(runs, F.array(F.lit("is an executable function or method"))).otherwise(F.array().cast("array<string>"))).alias("evidence"))
 
 

@@ -7,6 +7,8 @@ repository or run costs nothing extra because rows are never brought together.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cilens import rules
@@ -236,6 +238,14 @@ def _read_cpp(raw: Column) -> Column:
     return F.when(raw.rlike(_CPP_HINT) & raw.rlike(rules.CPP_DIAG), built).otherwise(failed)
 
 
+@cache
+def _reader(session_id: str, text: str, language: str) -> Column:
+    """The parse expression over two named columns. Putting it together takes many calls into the
+    JVM, so a session builds it once."""
+    raw, lang = F.coalesce(F.col(text), F.lit("")), F.col(language)
+    return F.when(lang == "python", _read_python(raw)).when(lang == "javascript", _read_js(raw)).when(lang == "cpp", _read_cpp(raw))
+
+
 def parse(df: DataFrame, text: str = "log_text", language: str = "language") -> DataFrame:
     """Add the parsed failure of every row; ``reject_reason`` is set where there is none.
 
@@ -243,8 +253,8 @@ def parse(df: DataFrame, text: str = "log_text", language: str = "language") ->
     result passes through a generator, which keeps later filters from repeating the parse.
     """
     raw, lang = F.coalesce(F.col(text), F.lit("")), F.col(language)
-    found = F.when(lang == "python", _read_python(raw)).when(lang == "javascript", _read_js(raw)).when(lang == "cpp", _read_cpp(raw))
-    df = df.where(lang.isNotNull()).select("*", F.explode(F.array(found)).alias("f"))
+    found = _reader(df.sparkSession.sparkContext.applicationId, text, language)
+    df = df.select("*", F.explode(F.array(found)).alias("f"))
     empty = F.regexp_replace(raw, r"\s", "") == ""
     site_counts = (lang == "python") & F.coalesce(F.col("f.file") != "", F.lit(False))
     nothing = F.col("f.test").isNull() & F.col("f.exc_type").isNull() & (F.size("f.frames") == 0) & ~site_counts
@@ -260,15 +270,19 @@ def parse(df: DataFrame, text: str = "log_text", language: str = "language") ->
 
 def first_failures(run_logs: DataFrame) -> DataFrame:
     """One parsed failure per owned log."""
-    return parse(spread(run_logs).withColumn("language", runner_language(F.col("log_text")))).where("reject_reason is null")
+    return parse(first_owned(run_logs)).where("reject_reason is null")
+
+
+def first_owned(run_logs: DataFrame) -> DataFrame:
+    """Logs with their first owner; the generator classifies each log exactly once."""
+    return spread(run_logs).withColumn("language", F.explode(F.slice(owned_languages(F.col("log_text")), 1, 1)))
 
 
 def rejects(run_logs: DataFrame) -> DataFrame:
     """Logs no failure could be read from, with reason and remedy."""
-    logs = spread(run_logs).withColumn("language", runner_language(F.col("log_text")))
-    parsed = parse(logs).where("reject_reason is not null").select("log_id", "language", "reject_reason")
-    unowned = logs.where("language is null").select(
-        "log_id", "language", F.when(F.regexp_replace("log_text", r"\s", "") == "", "empty log")
+    parsed = parse(first_owned(run_logs)).where("reject_reason is not null").select("log_id", "language", "reject_reason")
+    unowned = spread(run_logs).where(F.size(owned_languages(F.col("log_text"))) == 0).select(
+        "log_id", F.lit(None).cast("string").alias("language"), F.when(F.regexp_replace("log_text", r"\s", "") == "", "empty log")
         .otherwise("no runner recognised").alias("reject_reason"))
     return parsed.unionByName(unowned).withColumn(
         "remedy", F.when(F.col("reject_reason") == "empty log", "run the suite and pass its combined output")

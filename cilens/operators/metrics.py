@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cilens import rules
 from cilens.operators.prefix import next_rows, running_totals, value_at_rank
+from cilens.session import cut_lineage, small
 
 
 def latest_average(points: DataFrame, window: int = 5) -> DataFrame:
@@ -32,15 +33,14 @@ def outliers(points: DataFrame, threshold: float = 3.0, at_least: int = 5) -> Da
     """Points further than ``threshold`` population deviations from their metric's mean.
 
     Sums are exact decimals, so the moments do not depend on the order of addition. The
-    moments are one row per metric; the join back is left to the runtime, which broadcasts
-    them when their measured size allows and splits a skewed metric otherwise.
+    moments are one row per metric, counted before they are broadcast.
     """
     v = F.col("value").cast("decimal(18,4)")
     moments = points.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(v).cast("double").alias("s"), F.sum((v * v).cast("decimal(30,8)")).cast("double").alias("ss"))
     stats = moments.select("name", "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(
         F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")), F.lit(0.0))).alias("std"))
     usable = stats.where((F.col("n") >= at_least) & (F.col("std") > 0))
-    return points.join(usable, "name").withColumn("z", F.abs(F.col("value") - F.col("mean")) / F.col("std")).where(F.col("z") >= threshold)
+    return points.join(small(cut_lineage(usable)), "name").withColumn("z", F.abs(F.col("value") - F.col("mean")) / F.col("std")).where(F.col("z") >= threshold)
 
 
 def quota_usage(requests: DataFrame, quota: dict[str, int] = rules.QUOTA) -> DataFrame:

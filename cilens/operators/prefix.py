@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cilens.session import cut_lineage, small
+
 
 def running_totals(rows: DataFrame, keys: list[str], bucket: Column, order: list, values: dict[str, Column]) -> DataFrame:
     """Add ``{name}`` = inclusive running total of each value in the group's order."""
@@ -60,14 +62,15 @@ def value_at_rank(rows: DataFrame, keys: list[str], value: str, rank: Column, ro
         *keys, rank.cast("bigint").alias("_rank"), "_lo", "_hi")
     step = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(rounds):
+        # one row per group; written, so that rounds do not repeat each other
+        state = small(cut_lineage(state))
         width = (F.col("_hi") - F.col("_lo")) / bins
         slot = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
         counts = (live.join(state, keys).where("_v between _lo and _hi").withColumn("_bin", slot)
-                  .groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bl"), F.max("_v").alias("_bh")))
-        reached = counts.withColumn("_upto", F.sum("_c").over(step)).join(state.select(*keys, "_rank"), keys)
-        state = reached.where("_upto >= _rank and _upto - _c < _rank").select(
+                  .groupBy(*keys, "_bin", "_rank").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bl"), F.max("_v").alias("_bh")))
+        state = counts.withColumn("_upto", F.sum("_c").over(step)).where("_upto >= _rank and _upto - _c < _rank").select(
             *keys, (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"), F.col("_bl").alias("_lo"), F.col("_bh").alias("_hi"))
     order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    left = (live.join(state, keys).where("_v between _lo and _hi").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_rank").alias("_rank")))
+    left = (live.join(small(cut_lineage(state)), keys).where("_v between _lo and _hi").groupBy(*keys, "_v", "_rank").agg(F.count(F.lit(1)).alias("_c")))
     return (left.withColumn("_upto", F.sum("_c").over(order)).where("_upto >= _rank and _upto - _c < _rank")
             .select(*keys, F.col("_v").alias(value)))

@@ -13,8 +13,9 @@ from cilens.functions import text as X
 from cilens.operators.prefix import positions
 from cilens.session import cut_lineage, spread
 
-QUERY_BLOCK = 4096  # queries sent to every task at once; larger sets are searched block by block
-PACK_CHUNK = 8192  # rows per packing task, far more than one batch can hold
+QUERY_BLOCK = 4096  # queries one task holds; up to that many are sent to every task
+ITEM_BLOCK = 65_536  # items one task holds when queries are too many to send around
+PACK_CHUNK = 262_144  # rows per packing task, far more than one batch can hold
 
 
 # --- index upkeep ------------------------------------------------------------------------
@@ -78,16 +79,6 @@ def fit_dimension(vector: Column, dim: int) -> Column:
     return F.concat(F.slice(vector, 1, dim), pad)
 
 
-def _blocks(queries: DataFrame, key: str) -> Iterator[pd.DataFrame]:
-    """Queries in driver-sized blocks. The number of blocks follows a count, so what is sent to
-    the tasks stays bounded however many queries there are."""
-    total = queries.count()
-    parts = -(-total // QUERY_BLOCK)
-    for part in range(parts):
-        chosen = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        yield chosen.toPandas()
-
-
 def _trim(best: pd.DataFrame, n: int) -> pd.DataFrame:
     """Keep the n lowest (cost, item) per query."""
     best = best.sort_values(["query_id", "cost", "item_id"], kind="stable")
@@ -105,15 +96,21 @@ def _best_rows(costs: np.ndarray, items: np.ndarray, ids: np.ndarray, n: int) ->
     return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"query_id": [], "item_id": [], "cost": []})
 
 
-def _search(items: DataFrame, queries: DataFrame, cost, n: int, id_type: str = "bigint") -> DataFrame:
-    """Top n items per query: every task scores its own items against a block of queries and
-    returns at most n rows per query, so no pair outside the running best is ever emitted."""
+def _search(items: DataFrame, queries: DataFrame, cost, n: int, id_type: str = "bigint", block: int = QUERY_BLOCK) -> DataFrame:
+    """Top n items per query inside each ``part``. ``cost(items, queries, n)`` yields the best rows
+    of two frames.
+
+    Queries counted to be few are sent to every task, which keeps a running best over its own
+    items. More queries than that are cut into blocks per part and meet blocks of items in a
+    co-grouped shuffle: work is spread over block pairs, a part holding a third of the rows
+    included. Either way a task returns at most n rows per query and no pair is emitted.
+    """
     schema = f"query_id {id_type}, item_id bigint, cost double"
-    found = None
-    for block in _blocks(queries, "query_id"):
-        shared = items.sparkSession.sparkContext.broadcast(block)
+    queries = cut_lineage(queries)
+    if queries.limit(block + 1).count() <= block:
+        shared = items.sparkSession.sparkContext.broadcast(queries.toPandas())
 
-        def scan(batches, shared=shared):
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
             for batch in batches:
                 for rows in cost(batch, shared.value, n):
@@ -121,15 +118,28 @@ def _search(items: DataFrame, queries: DataFrame, cost, n: int, id_type: str = "
             if best is not None and len(best):
                 yield _trim(best, n)
 
-        part = items.mapInPandas(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = items.sparkSession.createDataFrame([], schema)
+        found = items.mapInPandas(scan, schema)
+    else:
+        def cut(rows: DataFrame, size: int, name: str) -> DataFrame:
+            return rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+        shape = cut(items, ITEM_BLOCK, "item_blocks").join(cut(queries, block, "query_blocks"), "part")
+        all_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        left = (items.join(shape, "part").withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("item_blocks")).cast("int"))
+                .withColumn("qb", all_of("query_blocks")).drop("item_blocks", "query_blocks"))
+        right = (queries.join(shape, "part").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
+                 .withColumn("ib", all_of("item_blocks")).drop("item_blocks", "query_blocks"))
+
+        def meet(batch: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            parts = list(cost(batch, asked, n)) if len(batch) and len(asked) else []
+            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], "item_id": [], "cost": []})
+
+        found = left.groupBy("part", "ib", "qb").cogroup(right.groupBy("part", "ib", "qb")).applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy("cost", "item_id")
     return found.withColumn("hit", F.row_number().over(order)).where(F.col("hit") <= n).withColumn("hit", F.col("hit").cast("bigint"))
 
 
-def nearest(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, id_type: str = "bigint") -> DataFrame:
+def nearest(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, id_type: str = "bigint", block: int = QUERY_BLOCK) -> DataFrame:
     """Nearest vectors by squared distance inside one repository, vector space and dimension.
 
     items: item_id, part, vec; queries: query_id, part, vec. ``part`` names repository and
@@ -144,10 +154,10 @@ def nearest(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, i
                 gaps = np.stack([((x - row) ** 2).sum(axis=1) for row in q], axis=1)
                 yield _best_rows(gaps, rows["item_id"].to_numpy(), asked["query_id"].to_numpy(), n)
 
-    return _search(items, queries, cost, n, id_type)
+    return _search(items, queries, cost, n, id_type, block)
 
 
-def nearest_hashed(items: DataFrame, queries: DataFrame, n: int = rules.CODE_HITS, id_type: str = "bigint") -> DataFrame:
+def nearest_hashed(items: DataFrame, queries: DataFrame, n: int = rules.CODE_HITS, id_type: str = "bigint", block: int = QUERY_BLOCK) -> DataFrame:
     """Same search over hashed texts: ``vec`` holds integer counts, so the squared distance of
     the unit vectors, 2 - 2 dot / sqrt(|a|^2 |b|^2), is the same number on every machine."""
     def cost(batch, block, n):
@@ -160,16 +170,32 @@ def nearest_hashed(items: DataFrame, queries: DataFrame, n: int = rules.CODE_HIT
                 gaps = 2.0 - 2.0 * (dot / np.sqrt(np.maximum(size, 1).astype(np.float64)))
                 yield _best_rows(gaps, rows["item_id"].to_numpy(), asked["query_id"].to_numpy(), n)
 
-    return _search(items, queries, cost, n, id_type)
+    return _search(items, queries, cost, n, id_type, block)
 
 
-def keyword_hits(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS) -> DataFrame:
+def _word_finder(vocabulary: list[str]):
+    """Positions of the vocabulary words a text contains, as substrings, in one pass of the text.
+
+    Words hold no blanks, so fields joined by a newline cannot match across their border.
+    """
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [i for i, w in enumerate(vocabulary) if w in text]
+    machine = ahocorasick.Automaton()
+    for i, word in enumerate(vocabulary):
+        machine.add_word(word, i)
+    machine.make_automaton()
+    return lambda text: list({i for _, i in machine.iter(text)}) if vocabulary else []
+
+
+def keyword_hits(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, block: int = QUERY_BLOCK) -> DataFrame:
     """Fallback search: how many distinct query words occur inside a chunk's code or name.
 
     items: item_id, code, name; queries: query_id, text. A word is looked up once per chunk
     however many queries hold it; the per-query counts are one matrix product.
     """
-    prepared = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words"))
+    prepared = queries.select("query_id", F.lit("all").alias("part"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words"))
 
     def cost(batch, block, n):
         vocabulary = sorted({w for words in block["words"] for w in words})
@@ -177,14 +203,14 @@ def keyword_hits(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HI
         member = np.zeros((len(vocabulary), len(block)), dtype=np.float32)
         for col, words in enumerate(block["words"]):
             member[[place[w] for w in words], col] = 1
+        occurring = _word_finder(vocabulary)
         hits = np.zeros((len(batch), len(vocabulary)), dtype=np.float32)
         for i, (code, name) in enumerate(zip(batch["code"], batch["name"])):
-            low, label = code.lower(), name.lower()
-            hits[i] = [w in low or w in label for w in vocabulary]
+            hits[i, occurring(f"{code.lower()}\n{name.lower()}")] = 1
         score = (hits @ member).astype(np.float64)
         yield _best_rows(np.where(score > 0, -score, np.inf), batch["item_id"].to_numpy(), block["query_id"].to_numpy(), n)
 
-    found = _search(spread(items.select("item_id", "code", "name")), prepared, cost, n)
+    found = _search(spread(items.select("item_id", F.lit("all").alias("part"), "code", "name")), prepared, cost, n, block=block)
     return found.select("query_id", "item_id", (-F.col("cost")).cast("bigint").alias("score"), "hit")
 
 
@@ -208,8 +234,8 @@ def retrieve(suspects: DataFrame, chunks: DataFrame, n: int = rules.CODE_HITS) -
     chunk_id, code and is_test.
     """
     asked = framings(suspects)
-    distinct = cut_lineage(asked.select("repo_id", "text").distinct().select(
-        F.concat_ws("|", "repo_id", "text").alias("query_id"), F.col("repo_id").alias("part"), hash_counts(F.col("text")).alias("vec")))
+    distinct = asked.select("repo_id", "text").distinct().select(
+        F.concat_ws("|", "repo_id", "text").alias("query_id"), F.col("repo_id").alias("part"), hash_counts(F.col("text")).alias("vec"))
     items = chunks.select(F.col("ord").alias("item_id"), F.col("repo_id").alias("part"), hash_counts(F.col("code")).alias("vec"))
     hits = nearest_hashed(items, distinct, n, "string")
     rows = (asked.withColumn("query_id", F.concat_ws("|", "repo_id", "text")).join(hits, "query_id")

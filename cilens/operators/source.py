@@ -52,14 +52,15 @@ def python_symbols(files: DataFrame) -> DataFrame:
         return F.struct(d["pos"].alias("pos"), d["indent"].alias("indent"), d["kind"].alias("kind"), d["name"].alias("name"), last.alias("end"))
 
     df = df.withColumn("blocks", F.transform(F.filter("text_lines", lambda m: m["kind"] != ""), block))
+    # every line belongs to the innermost block around it, which is the one that starts last
+    df = df.withColumn("owned", F.transform("lines", lambda l, i: F.struct(l.alias("line"), (i + 1).alias("p"), F.array_max(F.transform(
+        F.filter("blocks", lambda o: (o["pos"] <= i + 1) & (o["end"] >= i + 1)), lambda o: o["pos"])).alias("block"))))
 
     def finish(b: Column) -> Column:
         around = F.filter("blocks", lambda o: (o["pos"] < b["pos"]) & (o["end"] >= b["pos"]) & (o["indent"] < b["indent"]))
         scope = F.transform(around, lambda o: o["name"])
-        inner = F.filter("blocks", lambda o: (o["pos"] > b["pos"]) & (o["pos"] <= b["end"]))
-        own = F.filter(F.transform("lines", lambda l, i: F.struct(l.alias("l"), (i + 1).alias("p"))), lambda x: (x["p"] > b["pos"]) & (x["p"] <= b["end"])
-                       & ~F.exists(inner, lambda o: (x["p"] >= o["pos"]) & (x["p"] <= o["end"])))
-        calls = _calls(F.array_join(F.transform(own, lambda x: x["l"]), "\n"), rules.CPP_CALL, rules.PY_CALL_SKIP)
+        own = F.filter("owned", lambda x: (x["block"] == b["pos"]) & (x["p"] > b["pos"]))
+        calls = _calls(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), rules.CPP_CALL, rules.PY_CALL_SKIP)
         is_test = F.col("test_file") | F.startswith(b["name"], F.lit("test_")) | F.startswith(b["name"], F.lit("Test"))
         kind = F.when(b["kind"] == "class", "class").when(F.size(scope) > 0, "method").otherwise("function")
         return _symbol(b["name"], F.array_join(F.concat(scope, F.array(b["name"])), "."), kind, b["pos"], b["end"],

@@ -228,7 +228,7 @@ def script_frames(t):
 
 
 def _python_logs(t):
-    return t.run_logs.where(L.runner_language(F.col("log_text")) == "python").withColumn(
+    return L.first_owned(t.run_logs).where("language = 'python'").withColumn(
         "section", F.element_at(L.python_sections(F.col("log_text")), 1))
 
 

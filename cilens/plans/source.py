@@ -8,11 +8,16 @@ from cilens.plans.registry import cte, query
 
 
 def files(t, kind):
-    """Whole files put together from their parts, with a head line block; a file has few parts."""
+    """Whole files put together from their parts, with a head line block; a file has few parts.
+
+    The tables only hold parts, so files are small here and the grouping would be merged into
+    few tasks; the reading of trees hands over one task per split instead.
+    """
+    cores = t.spark.sparkContext.defaultParallelism
     suffix = {"py": ".py", "js": ".ts", "cpp": ".cpp"}[kind]
     head = "''" if kind == "cpp" else f"min_by({kind}_head, ord)"
     return t.source_parts.groupBy("repo_id", F.concat(F.regexp_replace("file_path", r"\.py$", ""), F.lit(suffix)).alias("file_path")).agg(
-        F.concat(F.expr(head), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", f"{kind}_text"))), lambda x: x[f"{kind}_text"]), "\n")).alias("content"))
+        F.concat(F.expr(head), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", f"{kind}_text"))), lambda x: x[f"{kind}_text"]), "\n")).alias("content")).repartition(cores)
 
 
 def _q(text):

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "cilens", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -63,3 +63,12 @@ def spread(scan: DataFrame) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
     return scan.repartition(cores) if splits < cores else scan
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Mark a table for broadcast if it is counted to be small; otherwise leave it as it is.
+
+    Meant for tables already written or cheap to count. Beyond the bound the join is planned as
+    usual and the runtime splits skewed keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

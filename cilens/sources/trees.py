@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cilens import rules
@@ -10,16 +12,22 @@ from cilens.functions import text as X
 ALL_EXTENSIONS = tuple(e for lang in rules.LANGUAGES for e in rules.EXTENSIONS[lang])
 
 
+def _glob() -> str:
+    """File name pattern for every supported extension in either case."""
+    either = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+    return "*{" + ",".join(either(e) for e in ALL_EXTENSIONS) + "}"
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """Supported source files under a folder, outside vendored segments, as (path, content).
 
-    Both rules test the file's path, so unwanted files are never opened.
+    The name pattern is applied while listing, so files of other kinds are never opened.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    below = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    inner = F.substr(below, F.length(F.lit(root.rstrip("/"))) + 2)
-    wanted = own_source(files.withColumn("inner", inner), "inner")
-    return wanted.select(F.col("inner").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob()).load(root)
+    scheme = r"^[a-z0-9]+:/*(?=/)"
+    inner = F.substr(F.regexp_replace("path", scheme, ""), F.lit(len(re.sub(scheme, "", root.rstrip("/"))) + 2))
+    wanted = own_source(files.select(inner.alias("path"), "content"), "path")
+    return wanted.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def own_source(files: DataFrame, path: str) -> DataFrame:
