@@ -334,22 +334,22 @@ def scan_status(run_logs: DataFrame, languages: tuple[str, ...] = rules.LANGUAGE
     """Status of each run seen by each language's runner, with its failure count and excerpt.
 
     A run without output, without tests or not owned by that runner ends there; the rest is
-    failed or unparsed depending on how many of its blocks parse.
+    failed or unparsed depending on how many of its blocks parse. One short row per run takes
+    part in the join, and languages are laid out after it.
     """
-    runs = run_logs.withColumn("owners", owned_languages(F.col("log_text")))
-    counts = run_failures(run_logs).groupBy("log_id", "language").agg(F.count(F.lit(1)).alias("n"))
-    per_language = runs.select("log_id", "repo_id", "log_text", "owners",
-                               F.explode(F.array(*[F.lit(l) for l in languages])).alias("language"))
-    joined = per_language.join(counts, ["log_id", "language"], "left")
-    blank = F.regexp_replace("log_text", r"\s", "") == ""
-    status = (F.when(blank, "no_output")
-              .when(collected_nothing(F.col("log_text"), F.col("language")), "no_tests")
-              .when(~F.array_contains("owners", F.col("language")), "passed")
-              .when(F.coalesce("n", F.lit(0)) > 0, "failed").otherwise("unparsed_failure"))
-    return joined.select(
-        "log_id", "repo_id", "language", status.alias("status"),
-        F.when(status == "failed", F.col("n")).otherwise(0).cast("bigint").alias("failure_count"),
-        F.substring("log_text", 1, rules.SCAN_EXCERPT_CHARS).alias("log_excerpt"))
+    text = F.col("log_text")
+    flags = F.array(*[F.struct(F.lit(l).alias("language"), collected_nothing(text, F.lit(l)).alias("empty")) for l in languages])
+    runs = spread(run_logs).select("log_id", "repo_id", F.substring(text, 1, rules.SCAN_EXCERPT_CHARS).alias("log_excerpt"),
+                                   (F.regexp_replace(text, r"\s", "") == "").alias("blank"), owned_languages(text).alias("owners"), flags.alias("flags"))
+    counts = run_failures(run_logs).groupBy("log_id").agg(*[F.count_if(F.col("language") == l).alias(f"n_{l}") for l in languages])
+    found = F.array(*[F.coalesce(f"n_{l}", F.lit(0)).cast("bigint") for l in languages])
+    joined = runs.join(counts, "log_id", "left").withColumn("found", found).select(
+        "log_id", "repo_id", "log_excerpt", "blank", "owners", "found", F.posexplode("flags").alias("p", "f"))
+    n = F.get("found", F.col("p"))
+    status = (F.when(F.col("blank"), "no_output").when(F.col("f.empty"), "no_tests")
+              .when(~F.array_contains("owners", F.col("f.language")), "passed").when(n > 0, "failed").otherwise("unparsed_failure"))
+    return joined.select("log_id", "repo_id", F.col("f.language").alias("language"), status.alias("status"), n.alias("n"), "log_excerpt").select(
+        "log_id", "repo_id", "language", "status", F.when(F.col("status") == "failed", F.col("n")).otherwise(0).alias("failure_count"), "log_excerpt")
 
 
 def feedback(text: Column) -> Column:

@@ -55,17 +55,16 @@ def quota_usage(requests: DataFrame, quota: dict[str, int] = rules.QUOTA) -> Dat
     sources = requests.select("provider", F.col("t_sec").alias("at"), F.lit(None).cast("bigint").alias("req_id"), F.lit("r").alias("ask"),
                               F.lit(1).cast("bigint").alias("one"), charge.alias("cost"))
     marks = F.array(*[F.struct((F.col("t_sec") - back).alias("at"), F.lit(ask).alias("ask")) for ask, back in (("now", 1), ("minute", rules.MINUTE), ("day", rules.DAY))])
-    asks = requests.select("provider", "req_id", F.inline(marks)).select(
-        "provider", "at", "req_id", "ask", F.lit(0).cast("bigint").alias("one"), F.lit(0).cast("bigint").alias("cost"))
+    asks = requests.select("provider", "req_id", charge.alias("charge"), F.inline(marks)).select(
+        "provider", "at", "req_id", "ask", F.lit(0).cast("bigint").alias("one"), F.lit(0).cast("bigint").alias("cost"), "charge")
     # requests sort ahead of questions at the same second, so a question counts up to its second
-    line = sources.unionByName(asks).withColumn("turn", F.when(F.col("ask") == "r", 0).otherwise(1))
+    line = sources.unionByName(asks, allowMissingColumns=True).withColumn("turn", F.when(F.col("ask") == "r", 0).otherwise(1))
     totals = running_totals(line, ["provider"], F.floor(F.col("at") / rules.MINUTE), ["at", "turn", "req_id", "ask"], {"n": F.col("one"), "t": F.col("cost")})
     answers = totals.where("ask <> 'r'").groupBy("provider", "req_id").agg(
-        *[F.max(F.when(F.col("ask") == ask, F.col(c))).alias(f"{ask}_{c}") for ask in ("now", "minute", "day") for c in ("n", "t")])
-    used = answers.select("provider", "req_id", (F.col("now_n") - F.col("minute_n")).alias("requests_minute"),
+        *[F.max(F.when(F.col("ask") == ask, F.col(c))).alias(f"{ask}_{c}") for ask in ("now", "minute", "day") for c in ("n", "t")], F.max("charge").alias("charge"))
+    used = answers.select("provider", "req_id", "charge", (F.col("now_n") - F.col("minute_n")).alias("requests_minute"),
                           (F.col("now_t") - F.col("minute_t")).alias("tokens_minute"), (F.col("now_n") - F.col("day_n")).alias("requests_day"))
-    cost = requests.select("provider", "req_id", charge.alias("charge"))
-    return used.join(cost, ["provider", "req_id"]).select(
+    return used.select(
         "provider", "req_id", "charge", "requests_minute", "tokens_minute", "requests_day",
         (F.col("requests_minute") >= quota["rpm"]).alias("over_rpm"),
         ((F.col("tokens_minute") > 0) & (F.col("tokens_minute") + F.col("charge") > quota["tpm"])).alias("over_tpm"),

@@ -13,8 +13,8 @@ from cilens.functions import text as X
 from cilens.operators.prefix import positions
 from cilens.session import cut_lineage, spread
 
-QUERY_BLOCK = 4096  # queries one task holds; up to that many are sent to every task
-ITEM_BLOCK = 65_536  # items one task holds when queries are too many to send around
+QUERY_BLOCK = 1024  # queries one task holds; up to that many are sent to every task
+ITEM_BLOCK = 8192  # items one task holds when queries are too many to send around
 PACK_CHUNK = 262_144  # rows per packing task, far more than one batch can hold
 
 
@@ -42,9 +42,9 @@ def refresh(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Union by id, the incoming row wins; one key never gathers more than its aggregate."""
-    both = stored.withColumn("turn", F.lit(0)).unionByName(incoming.withColumn("turn", F.lit(1)))
-    return both.groupBy("repo_id", "chunk_id").agg(F.max_by("code", "turn").alias("code"))
+    """Union by id, the incoming row wins. Only the stored side is moved for the comparison."""
+    replaced = incoming.select("repo_id", "chunk_id")
+    return stored.join(replaced, ["repo_id", "chunk_id"], "left_anti").unionByName(incoming)
 
 
 # --- vectors -----------------------------------------------------------------------------
@@ -86,14 +86,15 @@ def _trim(best: pd.DataFrame, n: int) -> pd.DataFrame:
 
 
 def _best_rows(costs: np.ndarray, items: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFrame:
-    """Lowest n items per query column of a cost matrix; unusable pairs cost infinity."""
-    frames = []
-    for col in range(costs.shape[1]):
-        column = costs[:, col]
-        order = np.lexsort((items, column))[:n]
-        order = order[np.isfinite(column[order])]
-        frames.append(pd.DataFrame({"query_id": ids[col], "item_id": items[order], "cost": column[order]}))
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"query_id": [], "item_id": [], "cost": []})
+    """Lowest n items per query column of a cost matrix; unusable pairs cost infinity.
+
+    Everything up to the n-th lowest cost is taken, ties included, and ties are then cut by item.
+    """
+    keep = np.isfinite(costs)
+    if len(costs) > n:
+        keep &= costs <= np.partition(costs, n - 1, axis=0)[n - 1]
+    row, col = np.nonzero(keep)
+    return _trim(pd.DataFrame({"query_id": ids[col], "item_id": items[row], "cost": costs[row, col]}), n)
 
 
 def _search(items: DataFrame, queries: DataFrame, cost, n: int, id_type: str = "bigint", block: int = QUERY_BLOCK) -> DataFrame:

@@ -100,9 +100,9 @@ def degree(t):
 
 @query("a7_graph_size", "SELECT (SELECT count(*) FROM symbols) AS nodes, (SELECT count(*) FROM d_edges) AS edges")
 def graph_size(t):
-    nodes = t.symbols.agg(F.count(F.lit(1)).alias("nodes")).withColumn("one", F.lit(1))
-    links = edges(t).agg(F.count(F.lit(1)).alias("edges")).withColumn("one", F.lit(1))
-    return nodes.join(links, "one").drop("one")
+    nodes = t.symbols.agg(F.count(F.lit(1)).alias("nodes"), F.lit(0).cast("bigint").alias("edges"))
+    links = edges(t).agg(F.lit(0).cast("bigint").alias("nodes"), F.count(F.lit(1)).alias("edges"))
+    return nodes.unionByName(links).agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))
 
 
 @query("g1_bounded_reach", """

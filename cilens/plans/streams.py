@@ -12,8 +12,8 @@ SELECT *, {_TERMINAL} AS terminal FROM telemetry QUALIFY coalesce(sum(CAST({_TER
 cte("d_subs", "SELECT c_custkey AS subscriber_id, 'inc_' || CAST(c_custkey // 10 AS VARCHAR) AS incident_id FROM customer")
 
 
-def live(t):
-    return I.view_stream(t.spark, t.folder, "telemetry", "events")
+def live(t, files_per_batch=None):
+    return I.view_stream(t.spark, t.folder, "telemetry", "events", files_per_batch)
 
 
 def subscriptions(t):
@@ -39,7 +39,7 @@ def until_terminal(t):
 
 @query("t3_until_terminal_stream", "SELECT incident_id, event_id, terminal FROM d_delivered")
 def until_terminal_stream(t):
-    return I.run_to_table(I.until_terminal_stream(live(t)), "terminal")
+    return I.run_to_table(I.until_terminal_stream(live(t, files_per_batch=32)), "terminal")
 
 
 @query("t4_heartbeats", """

@@ -26,11 +26,10 @@ def record_fixes(history: DataFrame, verified: DataFrame) -> DataFrame:
     """
     from cilens.operators.prefix import positions
 
-    start = history.agg(F.count(F.lit(1)).alias("n0")).withColumn("k", F.lit(0))
+    stored = history.count()
     numbered = positions(verified.withColumn("k", F.lit(0)), ["k"], F.floor(F.col("ord") / 4096), ["ord"])
-    return (numbered.join(start, "k")
-            .withColumn("fix_id", F.concat(F.lit("fix_"), (F.col("n0") + F.col("position")).cast("string"), F.lit("_"), F.col("exception_type")))
-            .drop("k", "n0", "position"))
+    number = (F.col("position") + stored).cast("string")
+    return numbered.withColumn("fix_id", F.concat(F.lit("fix_"), number, F.lit("_"), F.col("exception_type"))).drop("k", "position")
 
 
 def save_scorecard(scorecard: DataFrame, folder: str) -> None:
@@ -41,13 +40,12 @@ def load_scorecard(spark: SparkSession, folder: str) -> DataFrame:
     """Latest scorecard, or one row saying that none is recorded; never zeros."""
     from pyspark.errors import AnalysisException
 
-    base = spark.range(1).select(F.lit(1).alias("one"))
     try:
         stored = spark.read.parquet(folder)
     except AnalysisException:
-        return base.select(F.lit(False).alias("recorded"))
-    latest = stored.groupBy(F.lit(1).alias("one")).agg(F.max_by(F.struct(*stored.columns), "recorded_at").alias("s"))
-    return base.join(latest, "one", "left").select(F.col("s").isNotNull().alias("recorded"), "s.*")
+        return spark.range(1).select(F.lit(False).alias("recorded"))
+    latest = stored.agg(F.max_by(F.struct(*stored.columns), "recorded_at").alias("s"))
+    return latest.select(F.col("s").isNotNull().alias("recorded"), "s.*")
 
 
 def export_csv(records: DataFrame, folder: str) -> None:

@@ -19,10 +19,10 @@ def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: i
     return reader.parquet(folder)
 
 
-def view_stream(spark: SparkSession, folder: str, view: str, table: str) -> DataFrame:
+def view_stream(spark: SparkSession, folder: str, view: str, table: str, files_per_batch: int | None = None) -> DataFrame:
     """A derived view over a stream of its base table, with an instant time column ``at``."""
     columns = VIEWS[view].split("FROM " + table)[0].strip().removeprefix("SELECT")
-    source = read_stream(spark, folder, table)
+    source = read_stream(spark, folder, table, files_per_batch)
     return spark.sql("SELECT" + columns + " FROM {source}", source=source)
 
 
@@ -88,7 +88,11 @@ def until_terminal(events: DataFrame) -> DataFrame:
 
 
 def until_terminal_stream(events: DataFrame) -> DataFrame:
-    """Streaming form: one flag per incident says whether its stream has ended."""
+    """Streaming form: one flag per incident says whether its stream has ended.
+
+    A task holds one incident's rows of one micro-batch, so batches are kept to a number of
+    files; an ended incident is skipped without reading its rows.
+    """
     marked = events.withColumn("terminal", is_terminal()).select("incident_id", "event_id", "ts", "terminal")
 
     def step(key, batches, state):
