@@ -141,28 +141,38 @@ def direct_evidence(failures: DataFrame, symbols: DataFrame) -> DataFrame:
     return site.unionByName(frames).unionByName(named).unionByName(same_file)
 
 
-def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame, top: int | None = None) -> DataFrame:
     """Additive score of every candidate symbol of every failure, with its evidence in order.
 
     Neighbours of everything implicated get their points once, credited to the first
-    implicated symbol. The implicated symbols are written once and read three times.
+    implicated symbol. The implicated symbols are written once and read several times.
+
+    A caller that only wants the best ``top`` candidates says so: a failure that already has
+    that many symbols above the most a mere neighbour can reach needs no neighbours, and the
+    best ``top`` come out the same.
     """
     seeds = cut_lineage(direct_evidence(failures, symbols).groupBy("failure_id", "ord").agg(
         F.sum("points").alias("points"), F.min("place").alias("place"),
         F.transform(F.array_sort(F.collect_list(F.struct("place", "reason"))), lambda e: e["reason"]).alias("reasons")))
     links = graph.neighbours(edges).where("not other_test").select(F.col("node").alias("ord"), "other").distinct()
-    near = (seeds.select("failure_id", "ord", "place").join(links, "ord")
+    code = symbols.where("not is_test").select("ord", "symbol_id", "name", "symbol_type", "file_path")
+    runs = F.col("symbol_type").isin("function", "method")
+    bonus = F.when(runs, rules.EXECUTABLE_POINTS).otherwise(0)
+    open_seeds = seeds
+    if top is not None:
+        strong = seeds.join(code, "ord").where(F.col("points") + bonus > rules.NEIGHBOUR_POINTS + rules.EXECUTABLE_POINTS)
+        settled = strong.groupBy("failure_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top)
+        open_seeds = seeds.join(settled, "failure_id", "left_anti")
+    near = (open_seeds.select("failure_id", "ord", "place").join(links, "ord")
             .groupBy("failure_id", F.col("other").alias("ord")).agg(F.min("place").alias("place"))
             .join(seeds.select("failure_id", "ord"), ["failure_id", "ord"], "left_anti"))
     merged = seeds.select("failure_id", "ord", "points", "reasons", F.lit(-1).cast("bigint").alias("seed")).unionByName(
         near.select("failure_id", "ord", F.lit(rules.NEIGHBOUR_POINTS).cast("bigint").alias("points"), F.lit(None).cast("array<string>").alias("reasons"),
                     F.col("place").bitwiseAND(F.lit((1 << SEED_BITS) - 1)).alias("seed")))
-    code = symbols.where("not is_test").select("ord", "symbol_id", "name", "symbol_type", "file_path")
     credited = symbols.select(F.col("ord").alias("seed"), F.concat(F.lit("adjacent in the call graph to "), "name").alias("adjacent"))
-    runs = F.col("symbol_type").isin("function", "method")
     return merged.join(code, "ord").join(credited, "seed", "left").select(
         "failure_id", "ord", "symbol_id", "name", "file_path",
-        (F.col("points") + F.when(runs, rules.EXECUTABLE_POINTS).otherwise(0)).cast("bigint").alias("score"),
+        (F.col("points") + bonus).cast("bigint").alias("score"),
         F.concat(F.coalesce("reasons", F.array("adjacent")),
                  F.when(runs, F.array(F.lit("is an executable function or method"))).otherwise(F.array().cast("array<string>"))).alias("evidence"))
 

@@ -59,12 +59,12 @@ def failures(t):
     return cut_lineage(found.drop("log_text", "reject_reason"))
 
 
-def scored(t, found=None):
-    return Z.score(found or failures(t), t.symbols, edges(t))
+def scored(t, found=None, top=None):
+    return Z.score(failures(t) if found is None else found, t.symbols, edges(t), top)
 
 
 def suspects(t, found=None):
-    return Z.pool(scored(t, found), rules.MAX_SUSPECTS)
+    return Z.pool(scored(t, found, rules.MAX_SUSPECTS), rules.MAX_SUSPECTS)
 
 
 def reported(f):
@@ -133,6 +133,12 @@ def model_answers(pool):
     return rows.select("failure_id", F.when(F.col("failure_id") % 10 == 4, F.left(body, F.lit(30))).otherwise(body).alias("answer"))
 
 
+@query("w2_suspects", "SELECT failure_id, symbol_id, rank FROM d_pool WHERE rank <= 5")
+def carried_suspects(t):
+    """The suspects carried forward when no model ranks them."""
+    return suspects(t).select("failure_id", "symbol_id", "rank")
+
+
 @query("s14_model_answers", """
 SELECT failure_id, symbol_id, rank, false AS rejected FROM d_rankings
 UNION ALL SELECT DISTINCT failure_id, CAST(NULL AS VARCHAR), -1, true FROM d_pool WHERE failure_id % 10 = 4""")
@@ -160,5 +166,5 @@ def merge_model_ranking(t):
 SELECT log_id AS failure_id, 'no application symbol could be linked to the failure' AS reason FROM d_failures WHERE log_id NOT IN (SELECT failure_id FROM d_scored)""")
 def unlocalized(t):
     f = failures(t)
-    return Z.unlocalized(f, scored(t, f)).select(
+    return Z.unlocalized(f, scored(t, f, top=1)).select(
         "failure_id", F.lit("no application symbol could be linked to the failure").alias("reason"))

@@ -46,6 +46,9 @@ def test_evidence_adds_up_and_spreads_once(spark):
     assert rows["Tax"].score == 15
     assert rows["far"].score == 10 + 5 and rows["far"].evidence[0] == "adjacent in the call graph to process"
     assert "test_order" not in rows
+    for k in (1, 2, 3, 4, 9):
+        full = [(r.name, r.score, r["rank"]) for r in Z.pool(Z.score(failures, symbols, edges), k).orderBy("rank").collect()]
+        assert full == [(r.name, r.score, r["rank"]) for r in Z.pool(Z.score(failures, symbols, edges, top=k), k).orderBy("rank").collect()]
     assert rows["compute"].evidence[0] == "encloses the error site svc/tax.py:4"
 
 
