@@ -61,7 +61,7 @@ def spread(scan: DataFrame) -> DataFrame:
     Real inputs arrive in more splits than cores and pass through untouched.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = scan.rdd.getNumPartitions()
     return scan.repartition(cores) if splits < cores else scan
 
 
