@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import simhash
+from cilens.llm import quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": simhash.query,
+    "op8_quality": quality.query,
 }
 
 #: DuckDB texts where SQL can express a query.

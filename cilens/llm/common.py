@@ -83,3 +83,36 @@ def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    lower, kinds = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    kinds[[0x20, *range(9, 14)]] = 0
+    kinds[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+    kinds[48:58] = 2
+    return lower, kinds
+
+
+#: Bytes with A-Z lower-cased; kinds of bytes: 0 white space, 1 letters and all beyond ASCII, 2 digits, else the byte itself.
+LOWER, KINDS = _tables()
+
+
+def runs(data: np.ndarray, kinds: np.ndarray = KINDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, kind) of the longest runs of one kind other than 0."""
+    kind = kinds[data]
+    cut = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(data)])) if len(data) else np.zeros(1, np.int64)
+    start, end = cut[:-1], cut[1:]
+    held = kind[start] != 0
+    return start[held], end[held], kind[start[held]]
+
+
+def blocks(text: bytes, most: int = STEP_BYTES) -> Iterator[bytes]:
+    """A long text in pieces that end at white space where there is any."""
+    a = 0
+    while len(text) - a > most:
+        b = max(text.rfind(b" ", a, a + most), text.rfind(b"\n", a, a + most)) + 1
+        b = b if b > a else a + most
+        yield text[a:b]
+        a = b
+    yield text[a:]
