@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import quality, simhash
+from cilens.llm import decontaminate, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": simhash.query,
+    "op6_decontaminate": decontaminate.query,
     "op8_quality": quality.query,
 }
 
