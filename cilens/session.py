@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,13 +28,27 @@ def build_session(app: str = "cilens", master: str | None = None, partitions: in
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that they need not share the driver's folders."""
+    context, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_cilens_shipped", False) or not os.path.isdir(package):
+        return
+    with tempfile.TemporaryDirectory() as own:
+        kept = shutil.copytree(package, f"{own}/tree/cilens", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='cilens-')}/cilens", "zip", os.path.dirname(kept)))
+    context._cilens_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 
-    Only when the setting is absent (unit tests) is a folder of our own chosen.
+    Only where driver and executors are one process (unit tests) may the setting be absent; then a folder of our own
+    is chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="cilens-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
