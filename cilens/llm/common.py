@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cilens.session import cut_lineage, scratch_path  # noqa: F401  re-exported for the operators
 
@@ -23,12 +25,14 @@ def whole_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a DDL schema; made on the driver, where a session reads it."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_rows(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
     """Run ``work`` over the column lists of each Arrow batch; it returns the column lists of the result."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
