@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import decontaminate, pii, quality, simhash
+from cilens.llm import decontaminate, pii, quality, sentencepieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
     "op5_simhash": simhash.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_sentencepiece": sentencepieces.query,
     "op8_quality": quality.query,
 }
 
