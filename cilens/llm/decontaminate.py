@@ -13,8 +13,11 @@ what is sent stays bounded however many there are, and no document is shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cilens.llm.common import map_rows, steps, table, whole_text
@@ -194,6 +197,16 @@ def search(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int
     return out
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcasts of the distinct items, about ``block_bytes`` of text in each."""
+    asked = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text(benchmark).alias("t")).where("t <> ''").distinct()
+    total = asked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = -(-total // block_bytes)
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(parts)) == part).orderBy("item_id", "t").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["t"]) for r in block])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits, start, end) per document and item found in it; start and end count code points.
 
@@ -201,37 +214,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", bloc
     of several stretches the one with fewest edits, then the first, is given. An empty table gives no rows. Other
     columns are not read.
     """
-    spark = docs.sparkSession
-    asked = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text(benchmark).alias("t")).where("t <> ''").distinct()
-    total = asked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = -(-total // block_bytes)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text(docs, text).alias("t"))
-    found = spark.createDataFrame([], SCHEMA)
-    for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(parts)) == part).orderBy("item_id", "t").collect()
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["t"]) for r in block])
-
+    found = []
+    for sent in _blocks(benchmark, block_bytes):
         def work(cols, sent=sent):
-            items = _index(sent)
             ids = cols["doc_id"].to_pylist()
-            hits = search(cols["t"].to_pylist(), items)
-            names = ("doc_id", "item_id", "edits", "start", "end")
-            return dict(zip(names, zip(*[(ids[h[0]], *h[1:]) for h in hits]))) if hits else None
+            hits = search(cols["t"].to_pylist(), _index(sent))
+            return dict(zip(("doc_id", "item_id", "edits", "start", "end"), zip(*[(ids[h[0]], *h[1:]) for h in hits]))) if hits else None
+
+        found.append(map_rows(rows, work, SCHEMA))
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; decided row by row, without a shuffle."""
+    at = docs.columns.index(text)
+    for sent in _blocks(benchmark, block_bytes):
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaks = {h[0] for h in search([t or "" for t in batch.column(at).to_pylist()], _index(sent))}
+                yield batch.filter(pa.array([k not in leaks for k in range(batch.num_rows)], pa.bool_()))
 
-        hits = map_rows(rows, work, SCHEMA)
-        found = hits if part == 0 else found.union(hits)
-    return found
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 _BUILT: dict[int, Items] = {}
 
 
 def _index(sent) -> Items:
-    """The index of a block, built once per worker."""
-    if sent.id not in _BUILT if hasattr(sent, "id") else True:
+    """The index of a block, kept by the worker as long as it works on that block."""
+    rows = sent.value
+    if id(rows) not in _BUILT:
         _BUILT.clear()
-        _BUILT[getattr(sent, "id", 0)] = Items(sent.value)
-    return _BUILT[getattr(sent, "id", 0)]
+        _BUILT[id(rows)] = Items(rows)
+        _BUILT[id(rows)].rows = rows  # held, so that no other block can take its place in memory
+    return _BUILT[id(rows)]
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

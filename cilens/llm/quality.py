@@ -153,6 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return np.frombuffer(sparse_rows.repartition(1).mapInArrow(learn, "w binary").first()["w"])
 
 
+def probabilities(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    found = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+    return 1 / (1 + np.exp(-np.clip(dot_products(found, weights), -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1; a column of that name is replaced.
 
@@ -165,13 +170,24 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
-            p = 1 / (1 + np.exp(-np.clip(dot_products(texts, sent.value), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
+            p = pa.array(probabilities(batch.column(at), sent.value), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, p], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
+def good(docs: DataFrame, weights: np.ndarray, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``least``."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch.column(at), sent.value) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, folder, "labels")))

@@ -186,7 +186,8 @@ def _rows(docs: DataFrame, text: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
-    """(doc_id, ids, starts, ends) for every row: piece ids and their original byte spans.
+    """(doc_id, ids, starts, ends, round_trip) for every row: piece ids, their original byte spans, and whether the ids
+    decode to the text.
 
     ``model`` is a path that every executor has; by default the public model. A null text is empty and has no pieces.
     Repeated rows and null ids are kept, an empty table gives no rows, other columns are not read.
@@ -194,10 +195,11 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
     path = model or public_tokenizers.path(MODEL)
 
     def work(cols):
-        done = [(ids, *pieces(path).spans(t, ids)) for t, ids in _encoded(cols, path)]
-        return {"doc_id": cols["doc_id"], "ids": [d[0] for d in done], "starts": [d[1] for d in done], "ends": [d[2] for d in done]}
+        own = pieces(path)
+        done = [(np.array(ids, np.int32), *own.spans(t, ids), own.library.decode(ids) == t) for t, ids in _encoded(cols, path)]
+        return {"doc_id": cols["doc_id"]} | dict(zip(("ids", "starts", "ends", "round_trip"), map(list, zip(*done))))
 
-    return map_rows(_rows(docs, text), work, "doc_id bigint, ids array<int>, starts array<bigint>, ends array<bigint>")
+    return map_rows(_rows(docs, text), work, "doc_id bigint, ids array<int>, starts array<bigint>, ends array<bigint>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:

@@ -53,11 +53,16 @@ def fingerprint(text: str, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; a null text is empty, an empty text has fingerprint zero."""
+    """(doc_id, h, fp) for every row of ``docs``: h is xxhash64 of the text and tells rows with one id apart.
+
+    A null text is empty, an empty text has fingerprint zero.
+    """
     def work(cols):
-        return {"doc_id": cols["doc_id"], "fp": [fingerprint(t, shingle) for t in cols["t"].to_pylist()]}
+        return {"doc_id": cols["doc_id"], "h": cols["h"], "fp": [fingerprint(t, shingle) for t in cols["t"].to_pylist()]}
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text(docs, text).alias("t")), work, "doc_id bigint, fp bigint")
+    whole = whole_text(docs, text)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("t"))
+    return map_rows(rows, work, "doc_id bigint, h bigint, fp bigint")
 
 
 def _masks() -> list[int]:
@@ -167,7 +172,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORDS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, h, fp, root, component_id) for every row of ``docs``; root names the component, h is as in ``fingerprints``.
 
     component_id is the smallest doc_id reachable over links, the row's own included; null ids count only where a
     component has no other. Empty and blank texts share fingerprint zero and form one group. Repeated rows give
@@ -178,8 +183,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_
     roots = components(links(distinct.select("fp"), bucket))
     named = cut_lineage(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORDS, bucket: int = BUCKET) -> DataFrame:
+    """One row of ``docs`` from each group of near duplicates, all columns: that with the smallest id.
+
+    Rows without an id come last, of equal ids the one whose text has the smallest hash is taken, and of equal rows
+    any one.
+    """
+    nobody = F.lit(-(1 << 63))
+    best = near_duplicates(docs, text, shingle, bucket).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", nobody).alias("i"), "h")).alias("b"))
+    kept = best.select(F.col("b.i").alias("__near_id"), F.col("b.h").alias("__near_h"))
+    keyed = docs.withColumns({"__near_id": F.coalesce(docs["doc_id"].cast("bigint"), nobody), "__near_h": F.xxhash64(whole_text(docs, text))})
+    keys = ["__near_id", "__near_h"]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
