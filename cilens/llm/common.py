@@ -30,15 +30,15 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_rows(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
-    """Run ``work`` over the column lists of each Arrow batch; it returns the column lists of the result."""
+def map_rows(df: DataFrame, work: Callable[[dict[str, pa.Array]], dict | Iterable[dict] | None], schema: str) -> DataFrame:
+    """Run ``work`` over the columns of each Arrow batch; it returns the columns of the result, or several such sets."""
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = work({name: batch.column(k) for k, name in enumerate(batch.schema.names)})
-                if out is not None:
+                done = work({name: batch.column(k) for k, name in enumerate(batch.schema.names)})
+                for out in [done] if isinstance(done, dict) else done or ():
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)

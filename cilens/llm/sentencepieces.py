@@ -175,10 +175,10 @@ def pieces(path: str) -> Pieces:
 
 
 def _encoded(cols, path: str):
-    """(text, ids) of each row, the texts taken about a megabyte at a time."""
-    texts, model = cols["t"].to_pylist(), pieces(path)
+    """(doc_ids, texts, their ids) of runs of rows with about a megabyte of text each."""
+    doc_ids, texts = cols["doc_id"], cols["t"].to_pylist()
     for a, b in steps(map(len, texts), _STEP):
-        yield from zip(texts[a:b], model.library.encode(texts[a:b], num_threads=1))
+        yield doc_ids[a:b], texts[a:b], pieces(path).library.encode(texts[a:b], num_threads=1)
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
@@ -196,8 +196,10 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
 
     def work(cols):
         own = pieces(path)
-        done = [(np.array(ids, np.int32), *own.spans(t, ids), own.library.decode(ids) == t) for t, ids in _encoded(cols, path)]
-        return {"doc_id": cols["doc_id"]} | dict(zip(("ids", "starts", "ends", "round_trip"), map(list, zip(*done))))
+        for doc_ids, texts, ids in _encoded(cols, path):
+            spans = [own.spans(t, i) for t, i in zip(texts, ids)]
+            yield {"doc_id": doc_ids, "ids": [np.array(i, np.int32) for i in ids], "starts": [s for s, _ in spans], "ends": [e for _, e in spans],
+                   "round_trip": [own.library.decode(i) == t for t, i in zip(texts, ids)]}
 
     return map_rows(_rows(docs, text), work, "doc_id bigint, ids array<int>, starts array<bigint>, ends array<bigint>, round_trip boolean")
 
@@ -222,14 +224,12 @@ def digests(docs: DataFrame, text: str = "text", model: str | None = None) -> Da
 
     def work(cols):
         own = pieces(path)
-        out = {name: [] for name in ("n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32")}
-        for t, ids in _encoded(cols, path):
-            start, end = own.spans(t, ids)
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join([own.names[i] for i in ids]).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(own.library.decode(ids).encode()).hexdigest())
-            out["spans_crc32"].append(zlib.crc32(end.astype("<i8").tobytes(), zlib.crc32(start.astype("<i8").tobytes())))
-        return out | {"doc_id": cols["doc_id"]}
+        for doc_ids, texts, ids in _encoded(cols, path):
+            spans = [own.spans(t, i) for t, i in zip(texts, ids)]
+            yield {"doc_id": doc_ids, "n_tokens": list(map(len, ids)),
+                   "ids_sha256": [hashlib.sha256(",".join([own.names[k] for k in i]).encode()).hexdigest() for i in ids],
+                   "decoded_sha256": [hashlib.sha256(own.library.decode(i).encode()).hexdigest() for i in ids],
+                   "spans_crc32": [zlib.crc32(e.astype("<i8").tobytes(), zlib.crc32(s.astype("<i8").tobytes())) for s, e in spans]}
 
     return map_rows(_rows(docs, text), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint")
 
