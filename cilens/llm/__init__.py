@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import decontaminate, pii, quality, sentencepieces, simhash
+from cilens.llm import decontaminate, pii, quality, sentencepieces, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
+    "op4_token_store": token_store.query,
     "op5_simhash": simhash.query,
     "op6_decontaminate": decontaminate.query,
     "op7_sentencepiece": sentencepieces.query,
