@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import decontaminate, pii, quality, sentencepieces, simhash, token_store
+from cilens.llm import decontaminate, pii, quality, sentencepieces, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -18,7 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": decontaminate.query,
     "op7_sentencepiece": sentencepieces.query,
     "op8_quality": quality.query,
+    "op10_warc": warc.query,
 }
 
 #: DuckDB texts where SQL can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_warc": warc.ORACLE}
