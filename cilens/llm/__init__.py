@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import decontaminate, pii, quality, sentencepieces, simhash, token_store, warc
+from cilens.llm import decontaminate, minhash, pii, quality, sentencepieces, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": decontaminate.query,
     "op7_sentencepiece": sentencepieces.query,
     "op8_quality": quality.query,
+    "op9_minhash": minhash.query,
     "op10_warc": warc.query,
 }
 
