@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import chat, decontaminate, minhash, pii, quality, sentencepieces, simhash, token_store, warc
+from cilens.llm import chat, decontaminate, license_scan, minhash, pii, quality, sentencepieces, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
+    "op2_license_scan": license_scan.query,
     "op3_chat_turns": chat.query,
     "op4_token_store": token_store.query,
     "op5_simhash": simhash.query,
