@@ -13,6 +13,7 @@ manifest written by Spark lists the files of the attempts that succeeded: files
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -34,70 +35,76 @@ FILE_TOKENS = 1 << 24
 MAGIC = b"CLDAC001"
 #: Bits of a bitmap that one entry of its rank directory covers.
 RANK_BITS = 512
-_STEP = 1 << 20
+_STEP = 1 << 22
 _READ = 1 << 20
 _MANIFEST = "part int, seq int, path string, n_docs bigint, n_tokens bigint"
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 1_000_000
 
 
 class Encoder:
     """The tokenizer, with the ids of words already seen.
 
-    Byte-level tokenizers of this family cut a text before every single space between two other characters, whatever
-    stands around it, so a text's ids are those of its parts. Parts are encoded by the library once per task while
-    they are remembered; where white space stands in a row, parts stay together.
+    Byte-level tokenizers of this family cut a text before every single space or line end between two other
+    characters, whatever stands around it, so a text's ids are those of its parts, a part being a word with what
+    separates it from the word before. Parts are encoded by the library once while they are remembered; texts in
+    which white space meets white space, or is of another kind, are encoded whole.
     """
 
-    _odd = re.compile("[\\s᠎] | [\\s᠎]|^ | $")
-    _cut = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
+    _other = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str):
+        # a task has one core: the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         state = json.loads(self.library.to_str())
-        before, added = state["pre_tokenizer"] or {}, [t["content"] for t in state["added_tokens"]]
+        before, added = state["pre_tokenizer"] or {}, state["added_tokens"]
+        self.line_end = self._library_ids(["\n"])[0]
         self.by_parts = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-                         and state["normalizer"] is None and not any(re.search(r"\s", t) for t in added)
-                         and not any(t["lstrip"] or t["rstrip"] for t in state["added_tokens"]))
+                         and state["normalizer"] is None and len(self.line_end) == 4
+                         and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added))
         self.known: dict[str, bytes] = {}
 
-        self.line_end = self._library_ids(["\n"])[0]
-
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words as they are after a space; many go into one text, each on a line of its own.
+    def _whole(self, text: str) -> bool:
+        return (text[:1] in (" ", "\n", "") or text[-1:] in (" ", "\n") or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+                or self._other.search(text) is not None)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of parts: a word alone follows a space, one with a line end before it follows that.
 
-        A line end before a space is a token by itself and no other token has its id, so the ids can be told apart.
+        Many words go into one text, each on a line of its own. A line end there is a token by itself, and no other
+        token has its id, so the ids of the words can be told apart.
         """
-        lone = [w for w in words if "\n" in w] if len(self.line_end) == 4 else words
-        self.known.update(zip(lone, self._library_ids([f" {w}" for w in lone])))
-        words = [w for w in words if w not in self.known]
-        runs = [words[k:k + 1000] for k in range(0, len(words), 1000)]
         mark = int(np.frombuffer(self.line_end, "<u4")[0])
-        for run, encoded in zip(runs, self.library.encode_batch_fast(["\n".join([f" {w}" for w in run]) for run in runs], add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
-            data, at = ids.tobytes(), 0
-            for word, end in zip(run, ends.tolist(), strict=True):
-                self.known[word] = data[at:end]
-                at = end + 4
+        lines = [p for p in parts if p[0] == "\n"]
+        spaced = [p for p in parts if p[0] != "\n"]
+        for keys, before, words in ((spaced, b"", [f" {p}" for p in spaced]), (lines, self.line_end, [p[1:] for p in lines])):
+            cuts = range(0, len(words), 4000)
+            texts = ["\n".join(words[k:k + 4000]) for k in cuts]
+            for k, encoded in zip(cuts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(encoded.ids, "<u4")
+                ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
+                data, starts, ends = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()], ends.tolist()
+                values = [before + data[x:y] for x, y in zip(starts, ends)] if before else [data[x:y] for x, y in zip(starts, ends)]
+                self.known.update(zip(keys[k:k + 4000], values, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if not self.by_parts:
-            return self._library_ids(texts)
-        parts = [self._cut.split(t) if self._odd.search(t) else t.split(" ") for t in texts]
-        heads = self._library_ids([p[0] for p in parts])
-        new = list(set().union(*(p[1:] for p in parts)).difference(self.known))
+        whole = [not self.by_parts or self._whole(t) for t in texts]
+        parts = [[] if alone else t.replace("\n", " \n").split(" ") for t, alone in zip(texts, whole)]
+        heads = self._library_ids([t if alone else p[0] for t, alone, p in zip(texts, whole, parts)])
+        rest = [p[1:] for p in parts]
+        new = set().union(*rest).difference(self.known)
         if len(self.known) + len(new) > _KNOWN_WORDS:
             self.known.clear()
-            new = list(set().union(*(p[1:] for p in parts)))
-        self._learn(new)
+            new = set().union(*rest)
+        self._learn(list(new))
         ids = self.known.__getitem__
-        return [head + b"".join(map(ids, p[1:])) for head, p in zip(heads, parts)]
+        return [head + b"".join(map(ids, p)) for head, p in zip(heads, rest)]
 
 
 @lru_cache(maxsize=2)
@@ -217,9 +224,9 @@ def write(docs: DataFrame, folder: str, text: str = "text", tokenizer: str | Non
                     ids += [found, end]
                     held.append((doc_id, len(found) // 4 + 1))
                     size += held[-1][1]
-                if size >= file_tokens:
-                    yield pa.RecordBatch.from_pylist([_flush(folder, part, seq, held, ids)], schema=schema)
-                    seq, held, ids, size = seq + 1, [], [], 0
+                    if size >= file_tokens:
+                        yield pa.RecordBatch.from_pylist([_flush(folder, part, seq, held, ids)], schema=schema)
+                        seq, held, ids, size = seq + 1, [], [], 0
         if held:
             yield pa.RecordBatch.from_pylist([_flush(folder, part, seq, held, ids)], schema=schema)
 
