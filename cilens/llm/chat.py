@@ -72,15 +72,22 @@ def render(role: str, content: str) -> str:
     return f"<|im_start|>{role}\n{content}<|im_end|>\n"
 
 
+def _exact(counts: np.ndarray) -> np.ndarray:
+    return np.round(np.log(counts / counts.sum(axis=1, keepdims=True)) * 2**20).astype(np.int64)
+
+
 class Model:
-    """Log probabilities: ``step`` from a role, or from the start in its last row, to a role; ``seen`` of a code by role."""
+    """Log probabilities: ``step`` from a role, or from the start in its last row, to a role; ``seen`` of a code by role.
+
+    They are whole multiples of 2^-20, so that sums are exact and a path's value does not depend on how it is cut.
+    """
 
     def __init__(self, emissions: list[tuple[int, int, int]], transitions: list[tuple[int, int, int]]):
         n = len(ROLES)
         step = np.full((n + 1, n), _PLAIN_WEIGHT)
         for a, b, count in transitions:
             step[a, b] += count
-        self.step = np.log(step / step.sum(axis=1, keepdims=True))
+        self.step = _exact(step)
         parts = []
         for k, size in enumerate(_SIZES):
             held = np.full((n, size), _PLAIN_WEIGHT)
@@ -90,7 +97,7 @@ class Model:
                 held[role, np.unravel_index(seen, _SIZES)[k]] += count
             if k == 0:
                 held[np.arange(n), np.arange(n) + 1] = np.maximum(held[np.arange(n), np.arange(n) + 1], held.sum() / (n + 1))
-            parts.append(np.log(held / held.sum(axis=1, keepdims=True)))
+            parts.append(_exact(held))
         every = np.stack(np.unravel_index(np.arange(np.prod(_SIZES)), _SIZES))
         self.seen = sum(part[:, at].T for part, at in zip(parts, every))
 
@@ -148,7 +155,7 @@ def _segment_ends(leaves: DataFrame) -> DataFrame:
             made = [_product([np.reshape(k["m"], _SHAPE) for k in kids]) for kids in cols["kids"].to_pylist()]
             return {"ck": cols["ck"], "idx": cols["up"], "m": [m.ravel() for m in made], "kids": cols["kids"]}
 
-        levels.append(cut_lineage(map_rows(kids, combine, "ck string, idx bigint, m array<double>, kids array<struct<idx:bigint,m:array<double>>>")))
+        levels.append(cut_lineage(map_rows(kids, combine, "ck string, idx bigint, m array<bigint>, kids array<struct<idx:bigint,m:array<bigint>>>")))
 
     def top(cols):
         end = [int(np.reshape(m, _SHAPE)[-1].argmax()) for m in cols["m"].to_pylist()]
@@ -220,7 +227,7 @@ def parse(rows: DataFrame, text: str = "text", model: Model | None = None) -> Da
         return {"ck": cols["ck"], "idx": cols["idx"], "m": [model.matrix(c).ravel() for c in codes], "rows": cols["rows"]}
 
     kind = "array<struct<position:bigint,t:bigint,h:bigint,conv_id:bigint,turn:bigint,role:int,codes:array<int>>>"
-    leaves = cut_lineage(map_rows(leaves, measure, f"ck string, idx bigint, m array<double>, rows {kind}"))
+    leaves = cut_lineage(map_rows(leaves, measure, f"ck string, idx bigint, m array<bigint>, rows {kind}"))
 
     def decode(cols):
         out = {name: [] for name in ("ck", "conv_id", "turn", "t", "h", "position", "given", "roles")}

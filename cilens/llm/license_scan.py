@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cilens.llm.common import LOWER, STEP_BYTES, arrow_schema, blocks, map_rows, mix, runs, slice_hashes, steps, table, whole_text
+from cilens.llm.common import LOWER, STEP_BYTES, arrow_schema, blocks, cut_lineage, map_rows, mix, runs, slice_hashes, steps, table, whole_text
 
 #: Ordinary paragraphs that teach, on average.
 SAMPLE_ROWS = 3000
@@ -126,7 +126,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, int]], passes: int = 30) -> np.ndarray:
+def fit(rows: list[tuple[str, int]], passes: int = 15) -> np.ndarray:
     """Weights and bias, already divided by the temperature that suits the examples set aside."""
     rows = sorted(set(rows), key=lambda r: hashlib.sha256(r[0].encode("utf-8", "surrogatepass")).digest())
     size, n = (1 << BITS) + 1, len(CLASSES)
@@ -177,22 +177,24 @@ def similarity(text: str, family: str) -> float:
 
 
 def train(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights from the fixed examples and about ``rows`` ordinary paragraphs, one drawn from each sampled document.
+    """Weights from the fixed examples and about ``rows`` distinct ordinary paragraphs of about as many documents.
 
     Paragraphs that already look like a template teach nothing; an empty table teaches by the fixed examples alone.
     """
-    whole = whole_text(docs, text)
-    share = min(1.0, rows / max(1, docs.count()))
-    drawn = docs.select(whole.alias("t"), F.xxhash64(whole).alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"])
-    lines = drawn.select(F.split("t", "\n").alias("l"), "h").select(F.get("l", F.pmod(F.shiftright("h", 31), F.size("l")).cast("int")).alias("line"))
+    def drawn(df: DataFrame, column: str) -> DataFrame:
+        share = min(1.0, rows / max(1, df.count()))
+        return df.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates([column])
+
+    some = drawn(docs.select(whole_text(docs, text).alias("t")), "t")
+    lines = drawn(cut_lineage(some.select(F.explode(F.split("t", "\n")).alias("line"))), "line")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [t for batch in batches for t in batch.column(0).to_pylist() if t and t.strip()]
         plain = [t for t in found if max(similarity(t, family) for family in NAMES) < 0.3]
         yield pa.RecordBatch.from_arrays([pa.array([fit([*examples(), *((t, 0) for t in plain)]).tobytes()], pa.binary())], names=["w"])
 
-    done = lines.repartition(1).mapInArrow(learn, "w binary").first()["w"]
-    return np.frombuffer(done, np.float32).reshape(-1, len(CLASSES))
+    done = lines.repartition(1).mapInArrow(learn, "w binary").first()  # no row where Spark knows that there are no lines
+    return np.frombuffer(done["w"], np.float32).reshape(-1, len(CLASSES)) if done else fit(examples())
 
 
 def _long(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -224,6 +226,8 @@ def found_in(texts: list[str], weights: np.ndarray) -> list[tuple]:
                 best = 2 + int(p[k, 2:].argmax())
                 sure = float(p[k, best])
                 like = similarity(line, CLASSES[best])
+                if max(sure, p[k, 1]) < LEAST_PROBABILITY and like < LEAST_SIMILARITY:
+                    continue  # no class is likely and no template is near: too little text to tell
                 family = CLASSES[best] if sure >= LEAST_PROBABILITY and like >= LEAST_SIMILARITY else "unknown"
                 place = len(raw[row][:at].decode("utf-8", "surrogatepass"))
                 out.append((row, raw[row].count(b"\n", 0, at), place, place + len(line), CLASSES[best], sure, like, family))
@@ -234,7 +238,7 @@ _SCHEMA = "doc_id bigint, paragraph bigint, start bigint, end bigint, predicted
 
 
 def scan(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """A row per licence paragraph: its number and place in code points, the best family with its calibrated
+    """A row per licence paragraph, one that is likelier than not no ordinary text: its number and place in code points, the best family with its calibrated
     probability and template similarity, and the family reported, ``unknown`` unless both reach their thresholds.
 
     Null and empty texts hold none. Rows are scanned one by one: repeated rows and null ids are kept, an empty table

@@ -150,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         yield pa.RecordBatch.from_arrays([pa.array([follow_the_leader([found[k][1:] for k in order]).tobytes()], pa.binary())], names=["w"])
 
     sparse_rows = map_rows(taught, sparse, "doc_id bigint, y double, i array<int>, x array<float>")
-    return np.frombuffer(sparse_rows.repartition(1).mapInArrow(learn, "w binary").first()["w"])
+    done = sparse_rows.repartition(1).mapInArrow(learn, "w binary").first()  # no row where Spark knows that nothing teaches
+    return np.frombuffer(done["w"]) if done else np.zeros((1 << BITS) + 1)
 
 
 def probabilities(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
