@@ -43,6 +43,11 @@ def lines(col: Column) -> Column:
     return F.split(col, r"\r\n|\r|\n")
 
 
+def unix_lines(col: Column) -> Column:
+    """A text, null as empty, whose lines all end in a line feed; a lone carriage return ends a line too."""
+    return F.regexp_replace(F.coalesce(col, F.lit("")), r"\r\n?", "\n")
+
+
 def ansi_free(col: Column) -> Column:
     return F.regexp_replace(F.coalesce(col, F.lit("")), rules.ANSI, "")
 
@@ -100,10 +105,10 @@ def any_test_path(path: Column) -> Column:
             | F.contains(b, F.lit(".spec.")) | F.contains(p, F.lit("/tests/")) | F.contains(p, F.lit("/__tests__/")))
 
 
-def vendored(path: Column) -> Column:
-    """Whether any path segment is a dependency or build folder."""
+def vendored(path: Column, extra: tuple[str, ...] = ()) -> Column:
+    """Whether any path segment is a dependency or build folder, or one of ``extra``."""
     p = F.regexp_replace(slashes(path), r"^(\./)+", "")
-    return F.exists(F.split(p, "/"), lambda seg: seg.rlike(rules.VENDORED_RE))
+    return F.arrays_overlap(F.split(p, "/"), F.array(*[F.lit(seg) for seg in (*rules.VENDORED, *extra)]))
 
 
 def language_of_path(path: Column) -> Column:

@@ -82,7 +82,7 @@ def targeted_tests(patches: DataFrame, symbols: DataFrame, edges: DataFrame) ->
     covering = (edges.where("src_test and not dst_test").join(code, "dst").join(tests, "src")
                 .groupBy("repo_id", "base", "test_name").agg(F.min(F.struct("dst", "src")).alias("place")))
     found = (patches.withColumn("base", X.basename(F.col("target_file")))
-             .join(covering, ["repo_id", "base"]).where("test_name <> failing_test")
+             .join(covering, ["repo_id", "base"]).where(~F.col("test_name").eqNullSafe(F.col("failing_test")))
              .select("patch_id", "test_name", F.lit(1).alias("tier"), "place"))
     none = F.struct(F.lit(0).cast("bigint").alias("dst"), F.lit(0).cast("bigint").alias("src"))
     own = patches.where("failing_test <> ''").select("patch_id", F.col("failing_test").alias("test_name"), F.lit(0).alias("tier"), none.alias("place"))

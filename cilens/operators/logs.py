@@ -210,20 +210,25 @@ def _read_python(raw: Column) -> Column:
     return X.let(F.element_at(python_sections(raw), 1), lambda section: X.let(signals(section), resolve))
 
 
+def _js_block(raw: Column) -> Column:
+    """What is parsed of a script log or block: without colours, from its first heading to the run's totals."""
+    def block(clean: Column) -> Column:
+        return X.let(F.element_at(js_sections(clean), 1), lambda head: F.when(
+            head.rlike("(?d)^" + _JS_HEAD), X.drop_last_newline(F.element_at(F.split(head, _JS_STOP_AHEAD), 1))).otherwise(clean))
+
+    return X.let(X.ansi_free(raw), block)
+
+
 def _read_js(raw: Column) -> Column:
     def resolve(p: Column) -> Column:
         section, site = p["section"], js_site(p["frames"])
         return _found(section, p["frames"], js_test_name(section), p["exc"]["type"], p["exc"]["message"],
                       site["file"], site["line"])
 
-    def block(clean: Column) -> Column:
-        return X.let(F.element_at(js_sections(clean), 1), lambda head: F.when(
-            head.rlike("(?d)^" + _JS_HEAD), X.drop_last_newline(F.element_at(F.split(head, _JS_STOP_AHEAD), 1))).otherwise(clean))
-
     def signals(section: Column) -> Column:
         return F.struct(section.alias("section"), js_frames(section).alias("frames"), js_error(section).alias("exc"))
 
-    return X.let(X.ansi_free(raw), lambda clean: X.let(block(clean), lambda section: X.let(signals(section), resolve)))
+    return X.let(_js_block(raw), lambda section: X.let(signals(section), resolve))
 
 
 def _read_cpp(raw: Column) -> Column:
@@ -242,8 +247,12 @@ def _read_cpp(raw: Column) -> Column:
 def _reader(session_id: str, text: str, language: str) -> Column:
     """The parse expression over two named columns. Putting it together takes many calls into the
     JVM, so a session builds it once."""
-    raw, lang = F.coalesce(F.col(text), F.lit("")), F.col(language)
-    return F.when(lang == "python", _read_python(raw)).when(lang == "javascript", _read_js(raw)).when(lang == "cpp", _read_cpp(raw))
+    lang = F.col(language)
+
+    def read(raw: Column) -> Column:
+        return F.when(lang == "python", _read_python(raw)).when(lang == "javascript", _read_js(raw)).when(lang == "cpp", _read_cpp(raw))
+
+    return X.let(X.unix_lines(F.col(text)), read)
 
 
 def parse(df: DataFrame, text: str = "log_text", language: str = "language") -> DataFrame:
@@ -289,16 +298,16 @@ def rejects(run_logs: DataFrame) -> DataFrame:
         .otherwise("check that the log holds a failure section"))
 
 
-def _readable(section: Column) -> Column:
-    """A headed script block only fails to parse when it has neither name, error nor frames."""
-    return ((F.coalesce(js_test_name(section), F.lit("")) != "") | js_error(section).isNotNull()
-            | (F.size(js_frames(section)) > 0))
+def _readable(raw: Column) -> Column:
+    """A script block only fails to parse when what is parsed of it has neither name, error nor frames."""
+    return X.let(_js_block(raw), lambda section: (F.coalesce(js_test_name(section), F.lit("")) != "")
+                 | js_error(section).isNotNull() | (F.size(js_frames(section)) > 0))
 
 
 def failure_sections(run_logs: DataFrame, readable_only: bool = False) -> DataFrame:
     """Failure blocks of each log for every runner that claims it, numbered from 1."""
     owned = spread(run_logs).withColumn("language", F.explode(owned_languages(F.col("log_text"))))
-    blocks = sections(F.col("log_text"), F.col("language"))
+    blocks = X.let(X.unix_lines(F.col("log_text")), lambda text: sections(text, F.col("language")))
     if readable_only:
         blocks = F.when(F.col("language") == "javascript", F.filter(blocks, _readable)).otherwise(blocks)
     rest = [c for c in owned.columns if c != "log_text"]
@@ -330,9 +339,11 @@ def ran_nothing(exit_code: Column, output: Column, language: Column) -> Column:
     return by_code | by_text
 
 
-def scan_status(run_logs: DataFrame, languages: tuple[str, ...] = rules.LANGUAGES) -> DataFrame:
+def scan_status(run_logs: DataFrame, repo_languages: DataFrame | None = None, languages: tuple[str, ...] = rules.LANGUAGES) -> DataFrame:
     """Status of each run seen by each language's runner, with its failure count and excerpt.
 
+    With ``repo_languages`` (repo_id, languages), a run is only seen by its own repository's runners.
+
     A run without output, without tests or not owned by that runner ends there; the rest is
     failed or unparsed depending on how many of its blocks parse. One short row per run takes
     part in the join, and languages are laid out after it.
@@ -345,6 +356,9 @@ def scan_status(run_logs: DataFrame, languages: tuple[str, ...] = rules.LANGUAGE
     found = F.array(*[F.coalesce(f"n_{l}", F.lit(0)).cast("bigint") for l in languages])
     joined = runs.join(counts, "log_id", "left").withColumn("found", found).select(
         "log_id", "repo_id", "log_excerpt", "blank", "owners", "found", F.posexplode("flags").alias("p", "f"))
+    if repo_languages is not None:
+        own = repo_languages.select("repo_id", F.explode("languages").alias("own"))
+        joined = joined.join(own, (joined["repo_id"] == own["repo_id"]) & (F.col("f.language") == F.col("own")), "left_semi")
     n = F.get("found", F.col("p"))
     status = (F.when(F.col("blank"), "no_output").when(F.col("f.empty"), "no_tests")
               .when(~F.array_contains("owners", F.col("f.language")), "passed").when(n > 0, "failed").otherwise("unparsed_failure"))

@@ -27,13 +27,14 @@ def env_pairs(blocks: DataFrame) -> DataFrame:
         "req_id", "pairs", F.try_element_at(F.filter(F.transform("pairs", lambda p: p["key"]), lambda k: ~k.rlike(ENV_NAME)), F.lit(1)).alias("bad_name"))
 
 
-def redact(texts: DataFrame, secrets: DataFrame, key: str) -> DataFrame:
-    """Replace every supplied value of three characters or more, in key order.
+def redact(texts: DataFrame, secrets: DataFrame, key: str, order: str) -> DataFrame:
+    """Replace every supplied value of three characters or more, in the order supplied.
 
-    A key owner's secrets are one environment block, folded over each of its texts.
+    Where values overlap, the one that comes first is masked whole. An owner's secrets are one environment block,
+    which is folded over each of its texts.
     """
     per_owner = (secrets.where(F.length("value") >= 3).groupBy(key)
-                 .agg(F.array_sort(F.collect_list(F.struct(F.col("key").alias("k"), "value"))).alias("values")))
+                 .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("key").alias("k"), "value"))).alias("values")))
     clean = F.aggregate("values", F.col("text"), lambda acc, s: F.replace(acc, s["value"], F.concat(F.lit("<redacted:"), s["k"], F.lit(">"))))
     return texts.join(per_owner, key, "left").withColumn("text", F.when(F.col("values").isNull(), F.col("text")).otherwise(clean)).drop("values")
 

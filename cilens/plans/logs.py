@@ -21,7 +21,7 @@ _TRIM = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 # One SQL reading of the dialects over a line table: banner flags and running sums instead
 # of the row-wise arrays the Spark side uses, so the two do not share their method.
 cte("d_logs", f"""
-SELECT *, regexp_replace(log_text, {_q(rules.ANSI)}, '', 'g') AS clean FROM run_logs""")
+SELECT * REPLACE (regexp_replace(log_text, '\\r\\n?', chr(10), 'g') AS log_text), log_text AS raw_text, regexp_replace(regexp_replace(log_text, '\\r\\n?', chr(10), 'g'), {_q(rules.ANSI)}, '', 'g') AS clean FROM run_logs""")
 cte("d_lang", f"""
 SELECT *, CASE WHEN trim(regexp_replace(log_text, '\\s', '', 'g')) = '' THEN NULL
   WHEN {_words('log_text', rules.PY_MARKERS)} OR (contains(log_text, 'FAILED ') AND contains(log_text, '.py::')) THEN 'python'
@@ -180,7 +180,7 @@ def failures_by_type(t):
             .agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("repos")))
 
 
-@query("l1_ansi_strip", "SELECT log_id, clean AS clean_text FROM d_logs")
+@query("l1_ansi_strip", f"SELECT log_id, regexp_replace(log_text, {_q(rules.ANSI)}, '', 'g') AS clean_text FROM run_logs")
 def ansi_strip(t):
     return t.run_logs.select("log_id", X.ansi_free(F.col("log_text")).alias("clean_text"))
 
@@ -228,7 +228,8 @@ def script_frames(t):
 
 
 def _python_logs(t):
-    return L.first_owned(t.run_logs).where("language = 'python'").withColumn(
+    logs = L.first_owned(t.run_logs).where("language = 'python'").withColumn("log_text", X.unix_lines(F.col("log_text")))
+    return logs.withColumn(
         "section", F.element_at(L.python_sections(F.col("log_text")), 1))
 
 
@@ -293,11 +294,11 @@ def parse_or_reject(t):
     return L.rejects(t.run_logs)
 
 
-_NOTHING = " OR ".join(f"(language = '{lang}' AND {_words('lower(log_text)', words)})" for lang, words in rules.COLLECTED_NOTHING.items())
+COLLECTED_NOTHING = " OR ".join(f"(language = '{lang}' AND {_words('lower(log_text)', words)})" for lang, words in rules.COLLECTED_NOTHING.items())
 
 
 @query("l19_ran_nothing", f"""
-SELECT log_id, language, exit_code, ({_NOTHING}) AS collected_nothing,
+SELECT log_id, language, exit_code, ({COLLECTED_NOTHING}) AS collected_nothing,
  (language = 'python' AND exit_code IN (4, 5)) OR (language = 'cpp' AND {_words('lower(log_text)', rules.RAN_NOTHING_TEXT['cpp'])}) OR (language = 'javascript' AND {_words('lower(log_text)', rules.RAN_NOTHING_TEXT['javascript'])}) AS ran_nothing
 FROM (SELECT log_id, coalesce(language, 'python') AS language, log_id % 6 AS exit_code, log_text FROM d_lang)""")
 def ran_nothing(t):
@@ -313,15 +314,6 @@ def run_failures(t):
     return L.run_failures(t.run_logs).select(*PARSED, "failure_id")
 
 
-@query("l21_run_status", f"""
-SELECT log_id, repo_id, l.language, CASE WHEN trim(log_text) = '' THEN 'no_output' WHEN ({_NOTHING.replace('language', 'l.language')}) THEN 'no_tests'
-  WHEN r.language IS DISTINCT FROM l.language THEN 'passed' WHEN coalesce(n, 0) > 0 THEN 'failed' ELSE 'unparsed_failure' END AS status,
- CAST(CASE WHEN r.language = l.language THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS failure_count, left(log_text, 1200) AS log_excerpt
-FROM d_lang r CROSS JOIN (VALUES ('python'), ('cpp'), ('javascript')) l(language) LEFT JOIN (SELECT log_id, count(*) AS n FROM d_run_failures GROUP BY log_id) USING (log_id)""")
-def run_status(t):
-    return L.scan_status(t.run_logs)
-
-
 @query("l22_feedback_truncation", """
 SELECT doc_id, CASE WHEN length(text) <= 4000 THEN text ELSE left(text, 2000) || chr(10) || '...' || chr(10) || '[truncated]' || chr(10) || '...' || chr(10) || right(text, 2000) END AS feedback FROM documents""")
 def feedback_truncation(t):

@@ -18,9 +18,12 @@ def env_blocks(t):
 
 
 @query("p10_secret_redaction", """
-SELECT c.conv_id, c.turn, CASE WHEN s.value IS NULL THEN c.text ELSE replace(c.text, s.value, '<redacted:' || s.key || '>') END AS text FROM conversations c LEFT JOIN (SELECT * FROM secrets WHERE length(value) >= 3) s ON s.conv_id = c.conv_id""")
+WITH s AS (SELECT conv_id, max(value) FILTER (key = 'KEY_A' AND length(value) >= 3) AS a, max(value) FILTER (key = 'KEY_B' AND length(value) >= 3) AS b FROM secrets GROUP BY conv_id)
+SELECT c.conv_id, c.turn, CASE WHEN c.conv_id % 2 = 0 THEN replace(replace(c.text, coalesce(a, ''), CASE WHEN a IS NULL THEN '' ELSE '<redacted:KEY_A>' END), coalesce(b, ''), CASE WHEN b IS NULL THEN '' ELSE '<redacted:KEY_B>' END)
+ ELSE replace(replace(c.text, coalesce(b, ''), CASE WHEN b IS NULL THEN '' ELSE '<redacted:KEY_B>' END), coalesce(a, ''), CASE WHEN a IS NULL THEN '' ELSE '<redacted:KEY_A>' END) END AS text
+FROM conversations c LEFT JOIN s USING (conv_id)""")
 def secret_redaction(t):
-    return R.redact(t.conversations.select("conv_id", "turn", "text"), t.secrets, "conv_id")
+    return R.redact(t.conversations.select("conv_id", "turn", "text"), t.secrets, "conv_id", "place")
 
 
 @query("p11_request_masking", "SELECT conv_id, turn, role, CASE WHEN env <> '' THEN '<redacted>' ELSE env END AS env_text FROM (SELECT *, CASE WHEN role = 'user' THEN text ELSE '' END AS env FROM conversations)")
@@ -120,21 +123,23 @@ def keyed_table(t):
 
 
 @query("j14_incident_status", """
-SELECT incident_id, CASE WHEN bool_or(action = 'STATE_TRANSITION' AND output_summary IN ('COMPLETED', 'PENDING_APPROVAL')) THEN 'completed' WHEN bool_or(action = 'PIPELINE_HALTED') THEN 'error' ELSE 'running' END AS status FROM telemetry GROUP BY incident_id""")
+SELECT incident_id, CASE WHEN bool_or(action = 'STATE_TRANSITION' AND output_summary IN ('COMPLETED', 'FAILED', 'PENDING_APPROVAL')) THEN 'completed' WHEN bool_or(action = 'PIPELINE_HALTED') THEN 'error' ELSE 'running' END AS status FROM telemetry GROUP BY incident_id""")
 def incident_status(t):
+    """A pipeline that ends in FAILED still delivered its summary; only a halt before any end is an error."""
     tel = t.telemetry
-    results = tel.where("action = 'STATE_TRANSITION' and output_summary in ('COMPLETED', 'PENDING_APPROVAL')")
+    results = tel.where("action = 'STATE_TRANSITION' and output_summary in ('COMPLETED', 'FAILED', 'PENDING_APPROVAL')")
     return R.incident_status(tel.select("incident_id").distinct(), results, tel.where("action = 'PIPELINE_HALTED'"))
 
 
 @query("j15_scan_failure_lookup", """
 WITH f AS (SELECT CAST(log_id AS VARCHAR) AS scan_id, failure_id, test_name FROM d_run_failures),
-a AS (SELECT CAST(event_id AS VARCHAR) AS scan_id, CASE event_type WHEN 'error' THEN 'python-2' WHEN 'purchase' THEN 'cpp-1' ELSE 'javascript-1' END AS failure_id FROM events)
-SELECT a.scan_id, a.failure_id, f.test_name, CASE WHEN a.scan_id NOT IN (SELECT scan_id FROM f) THEN 'no scan' WHEN f.test_name IS NULL THEN 'no failure' ELSE 'found' END AS answer FROM a LEFT JOIN f ON f.scan_id = a.scan_id AND f.failure_id = a.failure_id""")
+a AS (SELECT CAST(CASE WHEN event_id % 19 = 0 THEN event_id + 1000000000 ELSE event_id END AS VARCHAR) AS scan_id, CASE event_type WHEN 'error' THEN 'python-2' WHEN 'purchase' THEN 'cpp-1' ELSE 'javascript-1' END AS failure_id FROM events)
+SELECT a.scan_id, a.failure_id, f.test_name, CASE WHEN a.scan_id NOT IN (SELECT CAST(log_id AS VARCHAR) FROM run_logs) THEN 'no scan' WHEN f.test_name IS NULL THEN 'no failure' ELSE 'found' END AS answer FROM a LEFT JOIN f ON f.scan_id = a.scan_id AND f.failure_id = a.failure_id""")
 def scan_failure_lookup(t):
     from cilens.operators import logs as L
 
     found = L.run_failures(t.run_logs).select(F.col("log_id").cast("string").alias("scan_id"), "failure_id", "test_name")
-    asked = t.events.select(F.col("event_id").cast("string").alias("scan_id"), F.when(F.col("event_type") == "error", "python-2").when(
+    unknown = F.when(F.col("event_id") % 19 == 0, F.col("event_id") + 1_000_000_000).otherwise(F.col("event_id"))
+    asked = t.events.select(unknown.cast("string").alias("scan_id"), F.when(F.col("event_type") == "error", "python-2").when(
         F.col("event_type") == "purchase", "cpp-1").otherwise("javascript-1").alias("failure_id"))
-    return R.scan_lookup(asked, found, found)
+    return R.scan_lookup(asked, t.run_logs.select(F.col("log_id").cast("string").alias("scan_id")), found)

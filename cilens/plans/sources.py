@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from cilens import rules
 from cilens.functions import text as X
+from cilens.operators import logs as L
+from cilens.plans.logs import COLLECTED_NOTHING
 from cilens.plans.registry import cte, query
 from cilens.session import scratch_path
 from cilens.sources import checker_reports as C, tables as S, trees as T
@@ -31,7 +33,7 @@ def page_files(t):
 
 
 @query("s1_source_files", f"""
-SELECT page_id, path FROM d_files WHERE {_language('path')} IS NOT NULL AND NOT list_has_any(string_split(regexp_replace(path, '^(\\./)+', ''), '/'), {_SKIP}) AND NOT regexp_matches('/' || path, '/\\.[a-z]+_venv/')""")
+SELECT page_id, path FROM d_files WHERE {_language('path')} IS NOT NULL AND NOT list_has_any(string_split(regexp_replace(path, '^(\\./)+', ''), '/'), {_SKIP})""")
 def source_files(t):
     return T.own_source(page_files(t), "path").select("page_id", "path")
 
@@ -61,7 +63,7 @@ cte("d_repo_langs", f"""
 SELECT repo_id, CASE WHEN count(m) > 0 THEN concat_ws(',', CASE WHEN bool_or(m = 'python') THEN 'python' END, CASE WHEN bool_or(m = 'cpp') THEN 'cpp' END, CASE WHEN bool_or(m = 'javascript') THEN 'javascript' END)
  ELSE concat_ws(',', CASE WHEN bool_or(e = 'python') THEN 'python' END, CASE WHEN bool_or(e = 'cpp') THEN 'cpp' END, CASE WHEN bool_or(e = 'javascript') THEN 'javascript' END) END AS languages
 FROM (SELECT repo_id, CASE WHEN path IN ('requirements.txt','pyproject.toml','setup.py','setup.cfg','Pipfile') THEN 'python' WHEN path IN ('CMakeLists.txt','Makefile','makefile') THEN 'cpp' WHEN path = 'package.json' THEN 'javascript' END AS m,
- CASE WHEN NOT list_has_any(string_split(regexp_replace(path, '^(\\./)+', ''), '/'), {_SKIP}) AND NOT regexp_matches('/' || path, '/\\.[a-z]+_venv/') THEN {_language('path')} END AS e FROM d_repo_files) GROUP BY repo_id""")
+ CASE WHEN NOT list_has_any(string_split(regexp_replace(path, '^(\\./)+', ''), '/'), {_SKIP}) THEN {_language('path')} END AS e FROM d_repo_files) GROUP BY repo_id""")
 
 
 @query("s3_repo_languages", "SELECT repo_id, languages FROM d_repo_langs")
@@ -69,13 +71,21 @@ def repo_languages(t):
     return T.repo_languages(repo_files(t)).select("repo_id", F.array_join("languages", ",").alias("languages"))
 
 
+@query("l21_run_status", f"""
+SELECT log_id, repo_id, l.language, CASE WHEN trim(log_text) = '' THEN 'no_output' WHEN ({COLLECTED_NOTHING.replace('language', 'l.language')}) THEN 'no_tests'
+  WHEN r.language IS DISTINCT FROM l.language THEN 'passed' WHEN coalesce(n, 0) > 0 THEN 'failed' ELSE 'unparsed_failure' END AS status,
+ CAST(CASE WHEN r.language = l.language THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS failure_count, left(raw_text, 1200) AS log_excerpt
+FROM d_lang r JOIN (SELECT repo_id AS own, unnest(string_split(languages, ',')) AS language FROM d_repo_langs) l ON l.own = r.repo_id LEFT JOIN (SELECT log_id, count(*) AS n FROM d_run_failures GROUP BY log_id) USING (log_id)""")
+def run_status(t):
+    """Each run as the runners of its repository's languages see it."""
+    return L.scan_status(t.run_logs, T.repo_languages(repo_files(t)))
+
+
 @query("l3_toolchain", f"""
 SELECT log_id, coalesce(language, {_language('file_path')}, nullif(split_part(languages, ',', 1), '')) AS toolchain
 FROM d_lang l LEFT JOIN (SELECT ord, file_path FROM symbols WHERE ord % 2 = 0) s ON s.ord = log_id LEFT JOIN d_repo_langs r ON r.repo_id = l.repo_id""")
 def toolchain(t):
     """Log first, then the suspect file's extension, then the repository's first language."""
-    from cilens.operators import logs as L
-
     suspect = t.symbols.where("ord % 2 = 0").select(F.col("ord").alias("log_id"), "file_path")
     langs = T.repo_languages(repo_files(t))
     return (t.run_logs.withColumn("language", L.runner_language(F.col("log_text"))).join(suspect, "log_id", "left").join(langs, "repo_id", "left")
@@ -87,7 +97,7 @@ _TEL = "SELECT event_id, incident_id, agent, action, output_summary, result FROM
 
 @query("s4_telemetry_sink", _TEL)
 def telemetry_sink(t):
-    """Written as JSON lines, one folder per incident, and read back."""
+    """Written as JSON lines in folders by hash of the incident, and read back."""
     folder = scratch_path(t.spark, "telemetry")
     S.append_telemetry(t.telemetry, folder)
     return S.read_telemetry(t.spark, folder).select("event_id", "incident_id", "agent", "action", "output_summary", "result")
@@ -95,20 +105,26 @@ def telemetry_sink(t):
 
 @query("s5_telemetry_replay", "SELECT incident_id, event_id, action, row_number() OVER (PARTITION BY incident_id ORDER BY ts, event_id) AS n FROM telemetry")
 def telemetry_replay(t):
-    """Write order within each incident, numbered through day buckets rather than one window."""
+    """The stored lines of every incident in write order, and those of one that was never written: none."""
     from cilens.operators.prefix import positions
 
+    folder = scratch_path(t.spark, "telemetry")
+    S.append_telemetry(t.telemetry, folder)
+    stored = S.read_telemetry(t.spark, folder).unionByName(S.read_telemetry(t.spark, folder, "inc_unknown"))
     day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400)
-    return positions(t.telemetry.select("incident_id", "event_id", "action", "ts"), ["incident_id"], day, ["ts", "event_id"], "n").drop("ts")
+    return positions(stored.select("incident_id", "event_id", "action", "ts"), ["incident_id"], day, ["ts", "event_id"], "n").drop("ts")
 
 
 @query("s6_fix_history_append", """
 WITH base AS (SELECT count(*) AS n0 FROM fix_history), v AS (SELECT a.ord, f.exception_type FROM attempts a JOIN fix_history f USING (ord) WHERE a.outcome = 'passed')
 SELECT ord, 'fix_' || CAST(n0 + row_number() OVER (ORDER BY ord) AS VARCHAR) || '_' || exception_type AS fix_id, exception_type FROM v, base""")
 def fix_history_append(t):
-    """Only verified attempts are recorded, with ids continuing the stored history."""
-    verified = t.attempts.where("outcome = 'passed'").select("ord").join(t.fix_history.select("ord", "exception_type"), "ord")
-    return S.record_fixes(t.fix_history, verified).select("ord", "fix_id", "exception_type")
+    """Verified attempts appended to a stored history, with ids that continue it, and loaded again."""
+    folder = scratch_path(t.spark, "fixes")
+    S.append_fixes(t.fix_history.withColumn("fix_id", F.lit(None).cast("string")), folder)
+    verified = t.attempts.where("outcome = 'passed'").select("ord").join(t.fix_history, "ord")
+    S.append_fixes(S.record_fixes(S.load_fixes(t.spark, folder), verified), folder)
+    return S.load_fixes(t.spark, folder).where("fix_id is not null").select("ord", "fix_id", "exception_type")
 
 
 @query("s7_scorecard_store", """
@@ -119,7 +135,8 @@ def scorecard_store(t):
 
     folder = scratch_path(t.spark, "scorecard")
     card = scorecard(case_metrics(t.case_runs))
-    S.save_scorecard(card.limit(0).unionByName(card), folder)
+    S.save_scorecard(scorecard(case_metrics(t.case_runs.where("case_id % 2 = 0"))), folder)
+    S.save_scorecard(card, folder)
     found = S.load_scorecard(t.spark, folder).select("recorded", "total_cases", "successful_fixes")
     missing = S.load_scorecard(t.spark, scratch_path(t.spark, "scorecard"))
     return found.unionByName(missing.select("recorded", F.lit(0).cast("bigint").alias("total_cases"), F.lit(0).cast("bigint").alias("successful_fixes")))

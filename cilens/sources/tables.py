@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TELEMETRY = "event_id bigint, ts timestamp_ntz, agent string, action string, output_summary string, result string, incident_id string"
 
 
+#: Folders that telemetry is spread over; a store keeps the number it was begun with.
+BUCKETS = 64
+
+
+def _bucket(incident_id: Column) -> Column:
+    return F.pmod(F.xxhash64(incident_id), F.lit(BUCKETS)).cast("int")
+
+
 def append_telemetry(events: DataFrame, folder: str) -> None:
-    """One folder per incident. Rows are rebalanced by incident: quiet incidents get one file, and
-    the runtime splits a busy one over several tasks by its measured size."""
-    (events.hint("rebalance", "incident_id").write.mode("append").partitionBy("incident_id").json(folder))
+    """JSON lines in ``BUCKETS`` folders by hash of the incident, each file sorted by incident.
+
+    Rows are rebalanced by folder: a quiet one gets one file, and the runtime splits a busy one over several tasks
+    by its measured size. The number of folders does not grow with the number of incidents.
+    """
+    (events.withColumn("bucket", _bucket(F.col("incident_id"))).hint("rebalance", "bucket").sortWithinPartitions("incident_id", "ts", "event_id")
+     .write.mode("append").partitionBy("bucket").json(folder))
 
 
 def read_telemetry(spark: SparkSession, folder: str, incident_id: str | None = None) -> DataFrame:
-    rows = spark.read.schema(TELEMETRY).json(folder)
-    return rows.where(F.col("incident_id") == incident_id) if incident_id else rows
+    """All stored events, or those of one incident, for which only its folder is opened. Blank lines are skipped."""
+    rows = spark.read.schema(f"{TELEMETRY}, bucket int").json(folder)
+    if incident_id is not None:
+        number = spark.range(1).select(_bucket(F.lit(incident_id)).alias("b")).first()["b"]
+        rows = rows.where((F.col("bucket") == number) & (F.col("incident_id") == incident_id))
+    return rows.drop("bucket")
+
+
+def append_fixes(fixes: DataFrame, folder: str) -> None:
+    fixes.write.mode("append").parquet(folder)
+
+
+def load_fixes(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
 
 
 def record_fixes(history: DataFrame, verified: DataFrame) -> DataFrame:

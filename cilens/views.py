@@ -20,6 +20,9 @@ _EXC = ("CASE WHEN user_id % 3 = 0 THEN 'ZeroDivisionError: division by zero' "
 _EXC_TYPE = ("CASE WHEN user_id % 3 = 0 THEN 'ZeroDivisionError' "
              "WHEN user_id % 3 = 1 THEN 'KeyError' ELSE 'AssertionError' END")
 _NL = "chr(10)"
+# every third of these logs is coloured on each line
+_RED = "CASE WHEN event_id % 3 = 0 THEN concat(chr(27), '[31m') ELSE '' END"
+_PLAIN = "CASE WHEN event_id % 3 = 0 THEN concat(chr(27), '[39m') ELSE '' END"
 
 VIEWS: dict[str, str] = {
     # one row per code symbol; 400 symbols per repository, names repeat inside one
@@ -39,12 +42,12 @@ SELECT event_id AS log_id, concat('repo_', CAST(CAST(floor(user_id / 30) AS BIGI
  CASE event_type WHEN 'error' THEN concat('=== FAILURES ===', {_NL}, '______________ test_fn_', CAST(user_id AS STRING), ' ______________', {_NL},
    'tests/test_mod_', CAST(user_id % 40 AS STRING), '.py:5: in test_fn_', CAST(user_id AS STRING), {_NL},
    CASE WHEN event_id % 4 = 0 THEN concat('  File "src/mod_', CAST(event_id % 40 AS STRING), '.py", line ', CAST(1 + event_id % 120 AS STRING), ', in fn_', CAST(event_id % 200 AS STRING)) ELSE concat('src/mod_', CAST(event_id % 40 AS STRING), '.py:', CAST(1 + event_id % 120 AS STRING), ': in fn_', CAST(event_id % 200 AS STRING)) END, {_NL},
-   'E       ', {_EXC}, {_NL},
+   'E       ', {_EXC}, CASE WHEN event_id % 10 = 7 THEN concat(chr(13), 'progress 10%') ELSE '' END, {_NL},
    CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('src/mod_', CAST(event_id % 40 AS STRING), '.py:', CAST(1 + event_id % 120 AS STRING), ': ', {_EXC_TYPE}, {_NL}) END,
    CASE WHEN event_id % 6 = 0 THEN concat('______________ test_second_', CAST(user_id AS STRING), ' ______________', {_NL}, 'src/mod_', CAST(event_id % 40 AS STRING), '.py:7: in helper', {_NL}, 'ValueError: bad input', {_NL}) ELSE '' END,
    CASE WHEN event_id % 2 = 0 THEN concat('FAILED tests/test_mod_', CAST(user_id % 40 AS STRING), '.py::test_fn_', CAST(user_id AS STRING), ' - ', {_EXC}) ELSE '' END)
- WHEN 'click' THEN concat(' FAIL  src/cart.test.ts', {_NL}, '  ', '●', ' cart ', '›', ' case ', CAST(user_id AS STRING), {_NL}, '    Expected: ', CAST(user_id AS STRING), {_NL}, '    Received: ', CAST(event_id % 100 AS STRING), {_NL}, '      at applyDiscount (src/cart_', CAST(event_id % 20 AS STRING), '.ts:', CAST(1 + event_id % 90 AS STRING), ':10)', {_NL}, 'Test Suites: 1 failed, 1 total')
- WHEN 'view' THEN concat(chr(27), '[31m FAIL  src/v', CAST(event_id % 9 AS STRING), '.test.ts > cart > case ', CAST(user_id AS STRING), chr(27), '[0m', {_NL}, 'TypeError: x is not a function', {_NL}, ' ', '❯', ' src/v', CAST(event_id % 9 AS STRING), '.ts:', CAST(1 + event_id % 90 AS STRING), ':3', {_NL}, ' RUN  v1.2.0')
+ WHEN 'click' THEN concat(' FAIL  web/parcel.test.ts', {_NL}, '  ', '●', ' parcel ', '›', ' case ', CAST(user_id AS STRING), {_NL}, '    Expected: ', CAST(user_id AS STRING), {_NL}, '    Received: ', CAST(event_id % 100 AS STRING), {_NL}, '      at quotePostage (web/parcel_', CAST(event_id % 20 AS STRING), '.ts:', CAST(1 + event_id % 90 AS STRING), ':10)', {_NL}, 'Test Suites: 1 failed, 1 total')
+ WHEN 'view' THEN concat(chr(27), '[31m FAIL  src/v', CAST(event_id % 9 AS STRING), '.test.ts > parcel > case ', CAST(user_id AS STRING), chr(27), '[0m', {_NL}, {_RED}, 'TypeError: x is not a function', {_PLAIN}, {_NL}, {_RED}, ' ', '❯', ' src/v', CAST(event_id % 9 AS STRING), '.ts:', CAST(1 + event_id % 90 AS STRING), ':3', {_PLAIN}, {_NL}, ' RUN  v1.2.0')
  WHEN 'purchase' THEN concat('src/m', CAST(event_id % 30 AS STRING), '.cpp:', CAST(1 + event_id % 200 AS STRING), ':5: error: use of undeclared identifier ', chr(39), 'v', CAST(user_id AS STRING), chr(39))
  ELSE 'collected 0 items' END AS log_text FROM events""",
     "telemetry": """
@@ -57,7 +60,7 @@ SELECT event_id, ts, concat('inc_', CAST(user_id AS STRING)) AS incident_id,
 SELECT event_id AS ord, concat('repo_', CAST(CAST(floor(user_id / 6) AS BIGINT) AS STRING)) AS repo_id, CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'after' END AS phase,
  CASE event_type WHEN 'error' THEN 'python-syntax' WHEN 'click' THEN 'ruff' WHEN 'view' THEN 'tsc' WHEN 'purchase' THEN 'eslint' ELSE 'pyflakes' END AS gate,
  concat(CASE WHEN event_id % 11 = 0 THEN 'node_modules/x/' WHEN event_id % 13 = 0 THEN './.venv/lib/' ELSE 'src/' END, 'm', CAST(event_id % 6 AS STRING), '.py') AS file_path,
- event_id % 300 + 1 AS line, concat('E', CAST(event_id % 4 AS STRING)) AS code, concat('problem ', CAST(user_id % 3 AS STRING)) AS message,
+ event_id % 300 + 1 AS line, concat('E', CAST(event_id % 4 AS STRING)) AS code, concat('problem ', CAST(user_id % 3 AS STRING), CASE WHEN event_id % 17 = 0 THEN concat(' in fn_', CAST(event_id % 200 AS STRING)) ELSE '' END) AS message,
  CASE WHEN event_id % 5 = 0 THEN 'warning' ELSE 'error' END AS severity, CASE WHEN event_id % 3 = 0 THEN 'safe' WHEN event_id % 3 = 1 THEN 'unsafe' ELSE '' END AS fix_applicability FROM events""",
     "attempts": """
 SELECT o_orderkey AS ord, concat('inc_', CAST(o_custkey AS STRING)) AS incident_id,
@@ -83,12 +86,13 @@ SELECT source AS repo_id, concat('doc_', CAST(doc_id AS STRING)) AS chunk_id, te
     "chunk_new": """
 SELECT source AS repo_id, concat('doc_', CAST(doc_id AS STRING)) AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN concat(text, ' x') ELSE text END AS code FROM documents WHERE doc_id % 7 <> 0""",
     "secrets": """
-SELECT conv_id, 'KEY_A' AS key, substr(text, 1, 4) AS value FROM conversations WHERE turn = 0""",
+SELECT conv_id, 'KEY_A' AS key, substr(text, 1, 4) AS value, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 3 END AS place FROM conversations WHERE turn = 0
+UNION ALL SELECT conv_id, 'KEY_B' AS key, substr(text, 1, 9) AS value, 2 AS place FROM conversations WHERE turn = 0""",
     "lint_reports": f"""
 SELECT event_id AS report_id, event_type AS kind,
  CASE event_type WHEN 'error' THEN concat('[{{"filename":"/r/src/m', CAST(event_id % 6 AS STRING), '.py","location":{{"row":', CAST(event_id % 300 AS STRING), '}},"message":"problem ', CAST(user_id % 3 AS STRING), '","code":"E', CAST(event_id % 4 AS STRING), '","fix":', CASE WHEN event_id % 2 = 0 THEN '{{"applicability":"safe","edits":[{{"content":"a"}},{{"content":"b"}}]}}' ELSE 'null' END, '}}]')
  WHEN 'click' THEN concat('[{{"filePath":"/r/src/a', CAST(event_id % 6 AS STRING), '.js","messages":[{{"severity":2,"line":', CAST(event_id % 90 AS STRING), ',"message":"bad","ruleId":"no-x"}},{{"severity":1,"line":1,"message":"meh","ruleId":"no-y"}}]}}]')
- WHEN 'view' THEN concat('src/cart', CAST(event_id % 6 AS STRING), '.ts(', CAST(event_id % 90 AS STRING), ',3): ', CASE WHEN event_id % 4 = 0 THEN 'warning' ELSE 'error' END, ' TS2345: Argument ', CAST(user_id AS STRING), {_NL}, 'noise line')
+ WHEN 'view' THEN concat('web/parcel', CAST(event_id % 6 AS STRING), '.ts(', CAST(event_id % 90 AS STRING), ',3): ', CASE WHEN event_id % 4 = 0 THEN 'warning' ELSE 'error' END, ' TS2345: Argument ', CAST(user_id AS STRING), {_NL}, 'noise line')
  ELSE concat('src/m', CAST(event_id % 6 AS STRING), '.py:', CAST(event_id % 90 AS STRING), ':5: undefined name x', CAST(user_id AS STRING), {_NL}, 'no colons here') END AS report_text FROM events""",
     "env_blocks": f"""
 SELECT c_custkey AS req_id, concat('# comment', {_NL}, 'API_KEY="k', CAST(c_custkey AS STRING), '"', {_NL}, {_NL}, CASE WHEN c_custkey % 10 = 0 THEN '9BAD=1' ELSE 'REGION = eu=west' END) AS env_text FROM customer""",

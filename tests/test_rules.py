@@ -71,8 +71,9 @@ def test_model_answers_and_fallback(spark):
 
 
 def test_vendored_paths(spark):
-    flags = one(spark, a=X.vendored(F.lit("./.venv/lib/x.py")), b=X.vendored(F.lit("distribution/x.py")), c=X.vendored(F.lit("a/.tool_venv/x.py")), d=X.vendored(F.lit("src/build/x.py")))
-    assert tuple(flags) == (True, False, True, True)
+    flags = one(spark, a=X.vendored(F.lit("./.venv/lib/x.py")), b=X.vendored(F.lit("distribution/x.py")), c=X.vendored(F.lit("a/.tool_venv/x.py")), d=X.vendored(F.lit("src/build/x.py")),
+                e=X.vendored(F.lit("a/.tool_venv/x.py"), (".tool_venv",)))
+    assert tuple(flags) == (True, False, False, True, True)  # other folders count only where they are named
 
 
 def test_gate_verdict(spark):
@@ -136,8 +137,10 @@ def test_env_and_redaction(spark):
     rows = {r.req_id: r for r in R.env_pairs(blocks).collect()}
     assert [(p.key, p.value) for p in rows[1].pairs] == [("A", "x=y"), ("B", "2")] and rows[1].bad_name is None and rows[2].bad_name == "9X"
     texts = spark.createDataFrame([(1, "tok abcd ab"), (2, "abcd")], "id bigint, text string")
-    secrets = spark.createDataFrame([(1, "K", "abcd"), (1, "S", "ab")], "id bigint, key string, value string")
-    assert {r.id: r.text for r in R.redact(texts, secrets, "id").collect()} == {1: "tok <redacted:K> ab", 2: "abcd"}
+    secrets = spark.createDataFrame([(1, "K", "abcd", 1), (1, "S", "ab", 2)], "id bigint, key string, value string, place int")
+    assert {r.id: r.text for r in R.redact(texts, secrets, "id", "place").collect()} == {1: "tok <redacted:K> ab", 2: "abcd"}
+    overlapping = spark.createDataFrame([(1, "Z", "abc", 1), (1, "A", "abcd", 2)], "id bigint, key string, value string, place int")
+    assert R.redact(texts, overlapping, "id", "place").where("id = 1").first().text == "tok <redacted:Z>d ab"  # as supplied, not by name
 
 
 def test_latest_records_follow_a_loop(spark):
