@@ -109,14 +109,10 @@ def named_in_text(failures: DataFrame, symbols: DataFrame) -> DataFrame:
     return plain.unionByName(other)
 
 
-SEED_BITS, DEPTH_BITS = 40, 21
-
-
 def _evidence(rows: DataFrame, points, group: int, depth, reason) -> DataFrame:
-    """One observation. ``place`` packs signal, frame depth and symbol into one number, so the
-    first implicated symbol is a plain minimum that hash aggregation can keep in place."""
-    packed = (F.lit(group << (SEED_BITS + DEPTH_BITS)).cast("bigint") + F.shiftleft(depth.cast("bigint"), SEED_BITS) + F.col("ord"))
-    return rows.select("failure_id", "ord", points.cast("bigint").alias("points"), packed.alias("place"), reason.alias("reason"))
+    """One observation. Its ``place``, signal, then frame depth, then symbol, orders what implicates a symbol first."""
+    place = F.struct(F.lit(group).alias("signal"), depth.cast("bigint").alias("depth"), F.col("ord").alias("seed"))
+    return rows.select("failure_id", "ord", points.cast("bigint").alias("points"), place.alias("place"), reason.alias("reason"))
 
 
 def direct_evidence(failures: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -168,7 +164,7 @@ def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame, top: int |
             .join(seeds.select("failure_id", "ord"), ["failure_id", "ord"], "left_anti"))
     merged = seeds.select("failure_id", "ord", "points", "reasons", F.lit(-1).cast("bigint").alias("seed")).unionByName(
         near.select("failure_id", "ord", F.lit(rules.NEIGHBOUR_POINTS).cast("bigint").alias("points"), F.lit(None).cast("array<string>").alias("reasons"),
-                    F.col("place").bitwiseAND(F.lit((1 << SEED_BITS) - 1)).alias("seed")))
+                    F.col("place.seed").alias("seed")))
     credited = symbols.select(F.col("ord").alias("seed"), F.concat(F.lit("adjacent in the call graph to "), "name").alias("adjacent"))
     return merged.join(code, "ord").join(credited, "seed", "left").select(
         "failure_id", "ord", "symbol_id", "name", "file_path",

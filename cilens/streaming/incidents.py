@@ -12,11 +12,15 @@ from cilens.views import VIEWS
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of part files.
+
+    The path is given as a pattern that only the table itself matches: a stream takes a single file in no other form.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{table}.parque[t]")
 
 
 def view_stream(spark: SparkSession, folder: str, view: str, table: str, files_per_batch: int | None = None) -> DataFrame:
@@ -55,6 +59,7 @@ def run_upserts(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     job = (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/progress")
            .trigger(availableNow=True).start())
     job.awaitTermination()
+    write(spark.createDataFrame([], stream.schema), -1)  # so that a stream without rows has a folder too
     stored = spark.read.parquet(f"{folder}/rows").drop("part")
     rest = [c for c in stored.columns if c not in (*keys, "batch")]
     return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")

@@ -150,3 +150,19 @@ def test_path_pairs_equal_the_literal_rule(spark):
     got = sorted((x.symbol_path, x.reported_path) for x in Z.path_pairs(symbols, reported).collect())
     assert got == sorted((s, r) for s in paths[::2] for r in paths[1::2] if same(s, r))
     assert len(got) == len(set(got))
+
+
+def test_credit_of_symbols_with_large_numbers(spark):
+    """Numbers as monotonically_increasing_id gives them on many partitions lose no bits."""
+    big = (1 << 33) * 700
+    symbols = spark.createDataFrame(
+        [("r", big + k, f"a.py::f{k}", f"func_{k}", "function", "a.py", 10 * k + 1, 10 * k + 9, False) for k in range(3)],
+        "repo_id string, ord bigint, symbol_id string, name string, symbol_type string, file_path string, start_line bigint, end_line bigint, is_test boolean")
+    failures = spark.createDataFrame([(1, "r", "a.py", 12, [("a.py", 12, "func_1")], "boom")],
+                                     "failure_id bigint, repo_id string, failing_file string, failing_line bigint, frames array<struct<file_path:string,line_number:bigint,function_name:string>>, section string")
+    failures = failures.where("failing_file <> ''")
+    edges = spark.createDataFrame([("r", big + 1, big + 2, False, False, "calls")], "repo_id string, src bigint, dst bigint, src_test boolean, dst_test boolean, relation string")
+    rows = {r.ord - big: r.evidence for r in Z.score(failures, symbols.where("ord <> 0"), edges).collect()}
+    assert all(e is not None and None not in e for e in rows.values())
+    near = Z.score(failures.withColumn("failing_file", F.lit("")), symbols.where("name <> 'func_0'"), edges).where(F.col("ord") == big + 2).first()
+    assert near.evidence[0] == "adjacent in the call graph to func_1"
