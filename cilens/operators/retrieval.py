@@ -15,6 +15,7 @@ from cilens.session import cut_lineage, spread
 
 QUERY_BLOCK = 1024  # queries one task holds; up to that many are sent to every task
 ITEM_BLOCK = 8192  # items one task holds when queries are too many to send around
+DENSE_ROWS = 512  # items whose sparse counts are laid out at a time
 PACK_CHUNK = 262_144  # rows per packing task, far more than one batch can hold
 
 
@@ -50,28 +51,40 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 # --- vectors -----------------------------------------------------------------------------
 
 def hash_counts(text: Column, dim: int = rules.HASH_DIM) -> Column:
-    """Character-position counts of a text, the offline embedding before normalization.
+    """Character-position counts of a text, the offline embedding before normalization, as sparse (slot, n).
 
     Each character adds one to slot (code point + position) mod dim, over the leading
-    characters the embedding is defined on.
+    characters the embedding is defined on; slots are in ascending order. An empty text has none.
     """
     limit = rules.HASH_CHARS
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<slot:int,n:int>>")
     def counts(texts: pd.Series) -> pd.Series:
-        def one(value):
-            points = np.frombuffer((value or "")[:limit].encode("utf-32-le"), dtype="<u4").astype(np.int64)
-            return np.bincount((points + np.arange(len(points))) % dim, minlength=dim).astype(np.int32)
-
-        return texts.map(one)
+        points = [np.frombuffer((value or "")[:limit].encode("utf-32-le"), dtype="<u4").astype(np.int64) for value in texts]
+        size = np.array([len(p) for p in points], dtype=np.int64)
+        if not size.sum():
+            return pd.Series([[] for _ in points])
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        key, n = np.unique(np.repeat(np.arange(len(points)), size) * dim + (np.concatenate(points) + place) % dim, return_counts=True)
+        cut = np.searchsorted(key // dim, np.arange(len(points) + 1))
+        return pd.Series([[{"slot": s, "n": c} for s, c in zip((key[a:b] % dim).tolist(), n[a:b].tolist())] for a, b in zip(cut, cut[1:])])
 
     return counts(text)
 
 
 def unit(counts: Column) -> Column:
-    """Counts scaled to length one; an empty text stays all zeros."""
-    norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x))
-    return X.let(norm, lambda n: F.transform(counts, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))
+    """Sparse counts scaled to length one, as (slot, weight); an empty text stays empty."""
+    norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x["n"].cast("bigint") * x["n"]))
+    return X.let(norm, lambda n: F.transform(counts, lambda x: F.struct(x["slot"].alias("slot"), (x["n"] / n).alias("weight"))))
+
+
+def _dense(rows, dim: int) -> np.ndarray:
+    """Sparse counts of some rows as a matrix; whole numbers, so products of it are exact."""
+    out = np.zeros((len(rows), dim))
+    for k, row in enumerate(rows):
+        if len(row):
+            out[k, [x["slot"] for x in row]] = [x["n"] for x in row]
+    return out
 
 
 def fit_dimension(vector: Column, dim: int) -> Column:
@@ -158,18 +171,25 @@ def nearest(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, i
     return _search(items, queries, cost, n, id_type, block)
 
 
-def nearest_hashed(items: DataFrame, queries: DataFrame, n: int = rules.CODE_HITS, id_type: str = "bigint", block: int = QUERY_BLOCK) -> DataFrame:
-    """Same search over hashed texts: ``vec`` holds integer counts, so the squared distance of
-    the unit vectors, 2 - 2 dot / sqrt(|a|^2 |b|^2), is the same number on every machine."""
+def nearest_hashed(items: DataFrame, queries: DataFrame, n: int = rules.CODE_HITS, id_type: str = "bigint", block: int = QUERY_BLOCK,
+                   dim: int = rules.HASH_DIM) -> DataFrame:
+    """Same search over hashed texts: ``vec`` holds sparse integer counts, so the squared distance of
+    the unit vectors, |a|^2 + |b|^2 - 2 dot / sqrt(|a|^2 |b|^2), is the same number on every machine.
+
+    An empty text is the zero vector: one apart from any other text, and not at all from another empty one.
+    """
     def cost(batch, block, n):
         for part, rows in batch.groupby("part", sort=False):
             asked = block[block["part"] == part]
             if len(asked):
-                x, q = np.stack(rows["vec"]).astype(np.int64), np.stack(asked["vec"]).astype(np.int64)
-                dot = x @ q.T
-                size = np.outer((x * x).sum(axis=1), (q * q).sum(axis=1))
-                gaps = 2.0 - 2.0 * (dot / np.sqrt(np.maximum(size, 1).astype(np.float64)))
-                yield _best_rows(gaps, rows["item_id"].to_numpy(), asked["query_id"].to_numpy(), n)
+                q = _dense(list(asked["vec"]), dim)
+                q2 = (q * q).sum(axis=1)
+                for a in range(0, len(rows), DENSE_ROWS):
+                    some = rows.iloc[a:a + DENSE_ROWS]
+                    x = _dense(list(some["vec"]), dim)
+                    x2 = (x * x).sum(axis=1)
+                    gaps = np.add.outer((x2 > 0) * 1.0, (q2 > 0) * 1.0) - 2.0 * (x @ q.T / np.sqrt(np.maximum(np.outer(x2, q2), 1.0)))
+                    yield _best_rows(gaps, some["item_id"].to_numpy(), asked["query_id"].to_numpy(), n)
 
     return _search(items, queries, cost, n, id_type, block)
 
@@ -179,10 +199,8 @@ def _word_finder(vocabulary: list[str]):
 
     Words hold no blanks, so fields joined by a newline cannot match across their border.
     """
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [i for i, w in enumerate(vocabulary) if w in text]
+    import ahocorasick
+
     machine = ahocorasick.Automaton()
     for i, word in enumerate(vocabulary):
         machine.add_word(word, i)
@@ -193,25 +211,32 @@ def _word_finder(vocabulary: list[str]):
 def keyword_hits(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, block: int = QUERY_BLOCK) -> DataFrame:
     """Fallback search: how many distinct query words occur inside a chunk's code or name.
 
-    items: item_id, code, name; queries: query_id, text. A word is looked up once per chunk
-    however many queries hold it; the per-query counts are one matrix product.
+    items: item_id, repo_id, code, name; queries: query_id, repo_id, text. Only chunks of the
+    query's own repository are looked at. A word is looked up once per chunk however many
+    queries hold it, and only the words found are counted.
     """
-    prepared = queries.select("query_id", F.lit("all").alias("part"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words"))
+    prepared = queries.select("query_id", F.col("repo_id").alias("part"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words"))
 
     def cost(batch, block, n):
-        vocabulary = sorted({w for words in block["words"] for w in words})
-        place = {w: i for i, w in enumerate(vocabulary)}
-        member = np.zeros((len(vocabulary), len(block)), dtype=np.float32)
-        for col, words in enumerate(block["words"]):
-            member[[place[w] for w in words], col] = 1
-        occurring = _word_finder(vocabulary)
-        hits = np.zeros((len(batch), len(vocabulary)), dtype=np.float32)
-        for i, (code, name) in enumerate(zip(batch["code"], batch["name"])):
-            hits[i, occurring(f"{code.lower()}\n{name.lower()}")] = 1
-        score = (hits @ member).astype(np.float64)
-        yield _best_rows(np.where(score > 0, -score, np.inf), batch["item_id"].to_numpy(), block["query_id"].to_numpy(), n)
-
-    found = _search(spread(items.select("item_id", F.lit("all").alias("part"), "code", "name")), prepared, cost, n, block=block)
+        for part, rows in batch.groupby("part", sort=False):
+            asked = block[block["part"] == part]
+            vocabulary = sorted({w for words in asked["words"] for w in words})
+            if not vocabulary:
+                continue
+            holders = {w: [] for w in vocabulary}  # which queries hold a word
+            for col, words in enumerate(asked["words"]):
+                for w in words:
+                    holders[w].append(col)
+            holders = [np.array(holders[w]) for w in vocabulary]
+            occurring = _word_finder(vocabulary)
+            score = np.zeros((len(rows), len(asked)))
+            for i, (code, name) in enumerate(zip(rows["code"], rows["name"])):
+                found = occurring(f"{code.lower()}\n{name.lower()}")
+                if found:
+                    score[i] = np.bincount(np.concatenate([holders[w] for w in found]), minlength=len(asked))
+            yield _best_rows(np.where(score > 0, -score, np.inf), rows["item_id"].to_numpy(), asked["query_id"].to_numpy(), n)
+
+    found = _search(spread(items.select("item_id", F.col("repo_id").alias("part"), "code", "name")), prepared, cost, n, block=block)
     return found.select("query_id", "item_id", (-F.col("cost")).cast("bigint").alias("score"), "hit")
 
 
@@ -264,9 +289,10 @@ def similar_fixes(failures: DataFrame, history: DataFrame, limit: int = rules.FI
     long word of the failure's message.
 
     Failures are reduced to distinct (type, message) first, and history to its newest rows per
-    type or message, so hot types cost two rows. The contains test is an equi-join on four
-    characters: every word compared has at least four, so its first four must occur in the
-    message.
+    type or message, so hot types cost two rows. Each distinct word finds its newest rows once,
+    however many messages hold it, and a message takes the newest over its words. The contains
+    test is an equi-join on four characters: every word compared has at least four, so its first
+    four must occur in the message.
     """
     signs = failures.select("exception_type", "exception_message").distinct().withColumn("kind", F.lower("exception_type"))
     past = history.withColumn("kind", F.lower("exception_type")).withColumn("said", F.lower("exception_message")).select("ord", "kind", "said")
@@ -275,15 +301,15 @@ def similar_fixes(failures: DataFrame, history: DataFrame, limit: int = rules.FI
 
     rest = signs.join(by_type.select("kind").distinct(), "kind", "left_anti")
     words = rest.select("exception_type", "exception_message", F.explode(F.array_distinct(F.split(F.lower("exception_message"), r"\s+"))).alias("word")) \
-        .where(F.length("word") >= rules.FIX_WORD_CHARS).withColumn("gram", F.left("word", F.lit(rules.FIX_WORD_CHARS)))
+        .where(F.length("word") >= rules.FIX_WORD_CHARS)
+    asked = words.select("word").distinct().withColumn("gram", F.left("word", F.lit(rules.FIX_WORD_CHARS)))
     said = newest(past, ["said"], limit).select("said", "ord")
     starts = F.sequence(F.lit(1), F.length("said") - (rules.FIX_WORD_CHARS - 1))
     grams = past.select("said").distinct().where(F.length("said") >= rules.FIX_WORD_CHARS).select("said", F.explode(F.array_distinct(
         F.transform(starts, lambda i: F.substr(F.col("said"), i, F.lit(rules.FIX_WORD_CHARS))))).alias("gram"))
-    alike = words.join(grams, "gram").where(F.contains("said", F.col("word"))).select("exception_type", "exception_message", "said").distinct()
-    order = Window.partitionBy("exception_type", "exception_message").orderBy(F.desc("ord"))
-    loose = (alike.join(said, "said").withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
-             .select("exception_type", "exception_message", "ord", "n"))
+    latest = newest(asked.join(grams, "gram").where(F.contains("said", F.col("word"))).select("word", "said").join(said, "said"), ["word"], limit)
+    alike = words.join(latest.select("word", "ord"), "word").select("exception_type", "exception_message", "ord").distinct()
+    loose = newest(alike, ["exception_type", "exception_message"], limit).select("exception_type", "exception_message", "ord", "n")
     found = exact.unionByName(loose)
     return (failures.select("failure_id", "exception_type", "exception_message").join(found, ["exception_type", "exception_message"])
             .select("failure_id", F.col("ord").alias("fix_ord"), F.col("n").cast("bigint").alias("n")))

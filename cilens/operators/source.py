@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cilens import rules
 from cilens.functions import text as X
 
+# script heads that go on after their line: an arrow's parameters, a test call's label
+_JS_OPEN_TEST = r"\b(?:describe|it|test)\s*\(\s*$"
+_JS_OPEN = r"^\s*(?:export\s+)?(?:const|let|var)\s+[A-Za-z_$][A-Za-z0-9_$]*\s*=\s*(?:async\s*)?(?:\([^)]*)?$|" + _JS_OPEN_TEST
+_JS_WRAPPED_TEST = r"\A[^\n]*" + rules.JS_TEST_CALL
+
 SYMBOL = "struct<name:string,qualified:string,symbol_type:string,start_line:bigint,end_line:bigint,calls:array<string>,is_test:boolean>"
 
 
@@ -30,8 +35,9 @@ def _symbol(name, qualified, kind, start, end, calls, is_test) -> Column:
 
 
 def _emit(files: DataFrame, found: Column) -> DataFrame:
-    return (files.select("repo_id", "file_path", F.inline(found.cast(f"array<{SYMBOL}>")))
-            .withColumn("symbol_id", F.concat("file_path", F.lit("::"), "qualified")))
+    rows = files.select("repo_id", "file_path", "lines", F.inline(found.cast(f"array<{SYMBOL}>")))
+    return (rows.withColumn("symbol_id", F.concat("file_path", F.lit("::"), "qualified"))
+            .withColumn("code", _body(F.col("lines"), F.col("start_line"), F.col("end_line"))).drop("lines"))
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -73,13 +79,24 @@ def script_symbols(files: DataFrame) -> DataFrame:
     """JavaScript functions, arrow constants and test blocks; the next one ends the span."""
     df = files.withColumn("lines", X.lines(F.col("content"))).withColumn("test_file", X.js_test_path(F.col("file_path")))
 
-    def heads(line: Column, i: Column) -> Column:
+    # a head that stays open at its line's end is read together with the lines after it
+    def whole(line: Column, i: Column) -> Column:
+        rest = F.array_join(F.slice("lines", i + 1, F.size("lines")), "\n")
+        return F.when(line.rlike(_JS_OPEN), rest).otherwise(line)
+
+    def heads(first: Column, i: Column) -> Column:
+        return X.let(whole(first, i), lambda line: heads_of(line, i, first))
+
+    def heads_of(line: Column, i: Column, first: Column) -> Column:
         def one(hit: Column, name: Column, order: int, test: bool) -> Column:
             return F.when(hit, F.array(F.struct((i + 1).alias("pos"), F.lit(order).alias("o"), name.alias("name"), F.lit(test).alias("test"))))
 
         named = F.coalesce(one(line.rlike(rules.JS_FUNCTION), F.regexp_extract(line, rules.JS_FUNCTION, 1), 0, False),
                            one(line.rlike(rules.JS_ARROW), F.regexp_extract(line, rules.JS_ARROW, 1), 0, False), F.array())
-        tests = F.transform(F.regexp_extract_all(line, F.lit(rules.JS_TEST_CALL), F.lit(1)), lambda n, k: F.struct(
+        on_line = F.regexp_extract_all(first, F.lit(rules.JS_TEST_CALL), F.lit(1))
+        wrapped = F.when(first.rlike(_JS_OPEN_TEST), F.array(F.regexp_extract(line, _JS_WRAPPED_TEST, 1))).otherwise(F.array().cast("array<string>"))
+        labels = F.concat(on_line, F.filter(wrapped, lambda n: n != ""))
+        tests = F.transform(labels, lambda n, k: F.struct(
             (i + 1).alias("pos"), (k + 1).alias("o"), n.alias("name"), F.lit(True).alias("test")))
         return F.concat(named, tests)
 
@@ -133,20 +150,22 @@ def cpp_symbols(files: DataFrame) -> DataFrame:
 def python_imports(content: Column) -> Column:
     """Names bound by module-level imports, as module or module.name, sorted and distinct."""
     plain = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(r"(?m)^import[ \t]+([^\n#;]+)"), F.lit(1)), lambda x: F.split(x, ",")))
-    froms = F.regexp_extract_all(content, F.lit(r"(?m)^from[ \t]+\S+[ \t]+import[ \t]+\(?[^\n#;)]+"), F.lit(0))
-    bare = lambda n: F.trim(F.regexp_replace(F.trim(n), r"[ \t]+as[ \t]+.*$", ""))
+    # names in parentheses run over several lines, with comments among them
+    froms = F.regexp_extract_all(content, F.lit(r"(?m)^from[ \t]+\S+[ \t]+import[ \t]*(?:\([^)]*|[ \t][^\n#;(]+)"), F.lit(0))
+    blank = lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")
+    bare = lambda n: F.regexp_replace(blank(n), r"\s+as\s+[\s\S]*$", "")
 
     def members(line: Column) -> Column:
         module = F.regexp_replace(F.regexp_extract(line, r"^from[ \t]+(\S+)", 1), r"^\.+", "")
-        names = F.split(F.regexp_extract(line, r"import[ \t]+\(?(.+)$", 1), ",")
-        return F.transform(F.filter(names, lambda n: F.trim(n) != ""), lambda n: F.when(module != "", F.concat(module, F.lit("."), bare(n))).otherwise(bare(n)))
+        names = F.split(F.regexp_replace(F.regexp_extract(line, r"import[ \t]*\(?([\s\S]+)$", 1), r"#[^\n]*", ""), ",")
+        return F.transform(F.filter(names, lambda n: blank(n) != ""), lambda n: F.when(module != "", F.concat(module, F.lit("."), bare(n))).otherwise(bare(n)))
 
     return F.array_sort(F.array_distinct(F.concat(F.transform(plain, bare), F.flatten(F.transform(froms, members)))))
 
 
 def script_imports(content: Column) -> Column:
     """Module names in import statements and require calls, sorted and distinct."""
-    named = F.regexp_extract_all(content, F.lit(r"""(?m)^\s*import\b[^'"`\n]*['"`]([^'"`\n]+)['"`]"""), F.lit(1))
+    named = F.regexp_extract_all(content, F.lit(r"""(?m)^\s*import\b(?:[^'"`\n{]*\{[^}'"`]*\})?[^'"`\n{]*['"`]([^'"`\n]+)['"`]"""), F.lit(1))
     required = F.regexp_extract_all(content, F.lit(r"""\brequire\s*\(\s*['"`]([^'"`]+)['"`]"""), F.lit(1))
     return F.array_sort(F.array_distinct(F.concat(named, required)))
 

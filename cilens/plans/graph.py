@@ -163,8 +163,3 @@ def test_path(t):
         "ord", "path", X.python_test_path(p).alias("python_test"), X.js_test_path(p).alias("script_test"), X.any_test_path(p).alias("any_test"))
 
 
-@query("r1_chunk_table", """
-SELECT repo_id, symbol_id AS chunk_id, file_path, name, symbol_type, 'def ' || name AS code, start_line, end_line, is_test FROM symbols""")
-def chunk_table(t):
-    return t.symbols.select("repo_id", F.col("symbol_id").alias("chunk_id"), "file_path", "name", "symbol_type",
-                            F.concat(F.lit("def "), "name").alias("code"), "start_line", "end_line", "is_test")

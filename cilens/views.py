@@ -104,14 +104,14 @@ SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey + CASE WHEN l_
 SELECT o_orderkey AS ord, o_custkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS op, o_orderstatus AS status, o_totalprice AS amount, o_orderdate AS ts FROM orders""",
     # pieces of source files in three languages, one per symbol; files are joined in ord order
     "source_parts": f"""
-SELECT repo_id, file_path, ord, name, is_test,
+SELECT repo_id, file_path, ord, name, is_test, symbol_id,
  CASE WHEN symbol_type = 'class' THEN concat('class C_', CAST(ord AS STRING), ':', {_NL}, '    def m_', CAST(ord AS STRING), '(self):', {_NL}, '        return self.run_', CAST(ord % 9 AS STRING), '(helper(x))', {_NL}, {_NL}, '    def n(self):', {_NL}, '        pass')
   ELSE concat(CASE WHEN ord % 3 = 0 THEN 'async def ' ELSE 'def ' END, name, '(x):', {_NL}, '    y = helper_', CAST(ord % 9 AS STRING), '(run(x))', {_NL}, '    def inner_', CAST(ord % 4 AS STRING), '():', {_NL}, '        return deep(y)', {_NL}, {_NL}, '    return wrap (y)') END AS py_text,
- concat('import os, json as j', {_NL}, 'from pkg_', CAST(ord % 5 AS STRING), ' import alpha, beta as b') AS py_head,
- CASE WHEN is_test THEN concat('it(', chr(39), 'case ', CAST(ord AS STRING), chr(39), ', () => {{', {_NL}, '  expect(run(1));', {_NL}, '}});')
-  WHEN ord % 2 = 0 THEN concat('export const ', name, ' = async (x) => {{', {_NL}, '  return helper_', CAST(ord % 9 AS STRING), '(run(x));', {_NL}, '}};', {_NL})
+ concat('import os, json as j', {_NL}, 'from pkg_', CAST(ord % 5 AS STRING), ' import alpha, beta as b', {_NL}, 'from wide_', CAST(ord % 5 AS STRING), ' import (', {_NL}, '    gamma,  # one, two', {_NL}, '    delta as d,', {_NL}, ')') AS py_head,
+ CASE WHEN is_test THEN concat('it(', CASE WHEN ord % 3 = 0 THEN concat({_NL}, '  ') ELSE '' END, chr(39), 'case ', CAST(ord AS STRING), chr(39), ', () => {{', {_NL}, '  expect(run(1));', {_NL}, '}});')
+  WHEN ord % 2 = 0 THEN concat('export const ', name, ' = async (', CASE WHEN ord % 4 = 0 THEN concat({_NL}, '  x,', {_NL}, '  y', {_NL}) ELSE 'x' END, ') => {{', {_NL}, '  return helper_', CAST(ord % 9 AS STRING), '(run(x));', {_NL}, '}};', {_NL})
   ELSE concat('export async function ', name, '(x) {{', {_NL}, '  if (x) {{ run(x); }}', {_NL}, '  return helper_', CAST(ord % 9 AS STRING), '(x);', {_NL}, '}}') END AS js_text,
- concat('import a from ', chr(39), './a_', CAST(ord % 5 AS STRING), chr(39), ';', {_NL}, 'const b = require("lib_', CAST(ord % 3 AS STRING), '");') AS js_head,
+ concat('import a from ', chr(39), './a_', CAST(ord % 5 AS STRING), chr(39), ';', {_NL}, 'import {{', {_NL}, '  first,', {_NL}, '  second', {_NL}, '}} from ', chr(39), './wide_', CAST(ord % 5 AS STRING), chr(39), ';', {_NL}, 'const b = require("lib_', CAST(ord % 3 AS STRING), '");') AS js_head,
  CASE WHEN is_test THEN concat('TEST(Suite', CAST(ord % 3 AS STRING), ', Case', CAST(ord AS STRING), ')', {_NL}, '{{', {_NL}, '  run(1);', {_NL}, '}}')
   ELSE concat('static int Svc::', name, '(int x) {{', {_NL}, '  if (x) {{', {_NL}, '    run(x);', {_NL}, '  }}', {_NL}, '  return helper_', CAST(ord % 9 AS STRING), '(x);', {_NL}, '}}', {_NL}) END AS cpp_text FROM symbols""",
 }
