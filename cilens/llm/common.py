@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from cilens.session import cut_lineage, scratch_path  # noqa: F401  re-exported for the operators
 
 #: Bytes of text that one vectorised step takes at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
