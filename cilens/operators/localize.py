@@ -137,7 +137,7 @@ def direct_evidence(failures: DataFrame, symbols: DataFrame) -> DataFrame:
     return site.unionByName(frames).unionByName(named).unionByName(same_file)
 
 
-def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame, top: int | None = None) -> DataFrame:
+def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame, top: int | None = None, explain: bool = True) -> DataFrame:
     """Additive score of every candidate symbol of every failure, with its evidence in order.
 
     Neighbours of everything implicated get their points once, credited to the first
@@ -145,11 +145,12 @@ def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame, top: int |
 
     A caller that only wants the best ``top`` candidates says so: a failure that already has
     that many symbols above the most a mere neighbour can reach needs no neighbours, and the
-    best ``top`` come out the same.
+    best ``top`` come out the same. A caller that ranks without reading the evidence says so too
+    (``explain``): then only numbers are gathered, and there is no evidence column.
     """
+    reasons = [F.transform(F.array_sort(F.collect_list(F.struct("place", "reason"))), lambda e: e["reason"]).alias("reasons")] if explain else []
     seeds = cut_lineage(direct_evidence(failures, symbols).groupBy("failure_id", "ord").agg(
-        F.sum("points").alias("points"), F.min("place").alias("place"),
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "reason"))), lambda e: e["reason"]).alias("reasons")))
+        F.sum("points").alias("points"), F.min("place").alias("place"), *reasons))
     links = graph.neighbours(edges).where("not other_test").select(F.col("node").alias("ord"), "other").distinct()
     code = symbols.where("not is_test").select("ord", "symbol_id", "name", "symbol_type", "file_path")
     runs = F.col("symbol_type").isin("function", "method")
@@ -162,6 +163,10 @@ def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame, top: int |
     near = (open_seeds.select("failure_id", "ord", "place").join(links, "ord")
             .groupBy("failure_id", F.col("other").alias("ord")).agg(F.min("place").alias("place"))
             .join(seeds.select("failure_id", "ord"), ["failure_id", "ord"], "left_anti"))
+    if not explain:
+        both = seeds.select("failure_id", "ord", "points").unionByName(
+            near.select("failure_id", "ord", F.lit(rules.NEIGHBOUR_POINTS).cast("bigint").alias("points")))
+        return both.join(code, "ord").select("failure_id", "ord", "symbol_id", "name", "file_path", (F.col("points") + bonus).cast("bigint").alias("score"))
     merged = seeds.select("failure_id", "ord", "points", "reasons", F.lit(-1).cast("bigint").alias("seed")).unionByName(
         near.select("failure_id", "ord", F.lit(rules.NEIGHBOUR_POINTS).cast("bigint").alias("points"), F.lit(None).cast("array<string>").alias("reasons"),
                     F.col("place.seed").alias("seed")))

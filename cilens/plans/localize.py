@@ -59,12 +59,13 @@ def failures(t):
     return cut_lineage(found.drop("log_text", "reject_reason"))
 
 
-def scored(t, found=None, top=None):
-    return Z.score(failures(t) if found is None else found, t.symbols, edges(t), top)
+def scored(t, found=None, top=None, explain=False):
+    return Z.score(failures(t) if found is None else found, t.symbols, edges(t), top, explain)
 
 
-def suspects(t, found=None):
-    return Z.pool(scored(t, found, rules.MAX_SUSPECTS), rules.MAX_SUSPECTS)
+def ranked(t, size, found=None):
+    """The best candidates by number; no evidence is put together for those that are not kept."""
+    return Z.pool(scored(t, found, size), size)
 
 
 def reported(f):
@@ -115,12 +116,12 @@ def named_in_traceback(t):
 
 @query("a1_evidence_score", "SELECT failure_id, symbol_id, score, evidence FROM d_scored")
 def evidence_score(t):
-    return scored(t).select("failure_id", "symbol_id", "score", F.array_join("evidence", "; ").alias("evidence"))
+    return scored(t, explain=True).select("failure_id", "symbol_id", "score", F.array_join("evidence", "; ").alias("evidence"))
 
 
 @query("w2_candidate_pool", "SELECT failure_id, symbol_id, score, rank FROM d_pool")
 def candidate_pool(t):
-    return Z.pool(scored(t)).select("failure_id", "symbol_id", "score", "rank")
+    return ranked(t, rules.RANKING_POOL).select("failure_id", "symbol_id", "score", "rank")
 
 
 def model_answers(pool):
@@ -136,7 +137,7 @@ def model_answers(pool):
 @query("w2_suspects", "SELECT failure_id, symbol_id, rank FROM d_pool WHERE rank <= 5")
 def carried_suspects(t):
     """The suspects carried forward when no model ranks them."""
-    return suspects(t).select("failure_id", "symbol_id", "rank")
+    return ranked(t, rules.MAX_SUSPECTS).select("failure_id", "symbol_id", "rank")
 
 
 @query("s14_model_answers", """
@@ -145,7 +146,7 @@ UNION ALL SELECT DISTINCT failure_id, CAST(NULL AS VARCHAR), -1, true FROM d_poo
 def answers(t):
     from cilens.sources.responses import read_rankings, rejected_answers
 
-    texts = cut_lineage(model_answers(Z.pool(scored(t))))
+    texts = cut_lineage(model_answers(ranked(t, rules.RANKING_POOL)))
     return (read_rankings(texts).select("failure_id", "symbol_id", "rank", F.lit(False).alias("rejected"))
             .unionByName(rejected_answers(texts).select(
                 "failure_id", F.lit(None).cast("string").alias("symbol_id"), F.lit(-1).cast("bigint").alias("rank"), F.lit(True).alias("rejected"))))
@@ -158,7 +159,7 @@ UNION ALL SELECT failure_id, symbol_id, rank, 'static' FROM d_pool WHERE rank <=
 def merge_model_ranking(t):
     from cilens.sources.responses import read_rankings
 
-    pool = cut_lineage(Z.pool(scored(t)))
+    pool = cut_lineage(ranked(t, rules.RANKING_POOL))
     return Z.merge_rankings(pool, read_rankings(model_answers(pool))).select("failure_id", "symbol_id", "rank", "ranking_source")
 
 

@@ -164,7 +164,7 @@ SELECT f.log_id AS failure_id, x.ord AS fix_ord, x.n FROM d_failures f JOIN (SEL
 
 def top_suspects(t, found=None):
     found = failures(t) if found is None else found
-    best = pool(scored(t, found, top=1), 1).drop("rank", "score", "evidence")
+    best = pool(scored(t, found, top=1), 1).drop("rank", "score")
     return cut_lineage(best.join(found.select("failure_id", "repo_id", "exception_type", "exception_message"), "failure_id"))
 
 
