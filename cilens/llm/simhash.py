@@ -113,9 +113,10 @@ def forest(values: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     left = np.repeat(np.cumsum(size), size) - np.arange(total)  # members from here to the end of the bucket
     root = np.arange(total)
     a_out, b_out = [], []
+    live = np.arange(total)
     for step in range(1, int(size.max(initial=0))):
-        at = np.flatnonzero(left > step)
-        at = at[root[at] != root[at + step]]
+        live = live[left[live] > step]  # small buckets are done after few steps
+        at = live[root[live] != root[live + step]]
         at = at[linked(values[at], values[at + step])]
         if not len(at):
             continue
