@@ -13,8 +13,6 @@ them gives the best path's roles at all segment ends; each segment is then decod
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -248,23 +246,16 @@ def parse(rows: DataFrame, text: str = "text", model: Model | None = None) -> Da
 
 
 def _rendered(rows: DataFrame) -> DataFrame:
-    def work(cols) -> Iterator[dict]:
+    def work(cols):
+        out = {name: [] for name in ("conv_id", "turn", "position", "block", "role", "given", "content", "rendered")}
         for conv_id, turn, position, given, roles, text in zip(*(c.to_pylist() for c in cols.values())):
-            found = blocks(text)
-            contents = [content for _, content in found]
-            names = [ROLES[r] for r in roles]
-            n = len(found)
-            yield {"conv_id": [conv_id] * n, "turn": [turn] * n, "position": [position] * n, "block": list(range(n)), "role": names,
-                   "given": [None if given is None else ROLES[given]] * n, "content": contents, "rendered": list(map(render, names, contents))}
-
-    def gathered(cols):
-        out: dict[str, list] = {}
-        for one in work(cols):
-            for name, values in one.items():
-                out.setdefault(name, []).extend(values)
+            for block, (role, (_, content)) in enumerate(zip(roles, blocks(text), strict=True)):
+                values = (conv_id, turn, position, block, ROLES[role], None if given is None else ROLES[given], content, render(ROLES[role], content))
+                for name, value in zip(out, values):
+                    out[name].append(value)
         return out
 
-    return map_rows(rows, gathered, "conv_id bigint, turn bigint, position bigint, block int, role string, given string, content string, rendered string")
+    return map_rows(rows, work, "conv_id bigint, turn bigint, position bigint, block int, role string, given string, content string, rendered string")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

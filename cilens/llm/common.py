@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, folder: str) -> str:
+    """A folder as Spark resolves it, in the form that pyarrow's file systems read: with scheme and whole path.
+
+    A path without a scheme is one of the cluster's default file system, not of the machine that a task runs on.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return re.sub("^file:/+", "file:///", str(path.getFileSystem(hadoop).makeQualified(path).toString()))
+
+
 def whole_text(df: DataFrame, column: str = "text") -> Column:
     """The text of a row, null read as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

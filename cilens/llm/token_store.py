@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cilens.llm.common import arrow_schema, scratch_path, steps, table, whole_text
+from cilens.llm.common import arrow_schema, scratch_path, shared_folder, steps, table, whole_text
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -209,6 +209,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", tokenizer: str | Non
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     spark = docs.sparkSession
+    folder = shared_folder(spark, folder)
     whole = whole_text(docs, text)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("t"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -252,7 +253,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     start counts the ids of all documents before; the checksum is over the ids as little-endian 32-bit integers. Of a
     file, about a million tokens are in memory at a time.
     """
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    folder, schema = shared_folder(spark, folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cilens.llm.common import arrow_schema, cut_lineage, scratch_path, table
+from cilens.llm.common import arrow_schema, cut_lineage, scratch_path, shared_folder, table
 
 CHUNK = 1 << 16
 #: Payloads of fewer bytes are stored again each time.
@@ -149,7 +149,7 @@ def write(pages: DataFrame, folder: str, html: str = "html", least_bytes: int =
     such row has an id; rows that repeat the responding id with its payload are responses too. An empty table gives an
     empty manifest; other columns are not stored. ``folder`` is a new path in a store that pyarrow can open.
     """
-    rows = _digested(pages, html)
+    rows, folder = _digested(pages, html), shared_folder(pages.sparkSession, folder)
     # the narrow table of first holders is written before texts move, so digests are not taken twice over in a retry
     first = cut_lineage(rows.where(F.col("payload_length") >= least_bytes).groupBy("payload_digest").agg(
         F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("payload_digest", "refers_to"))
@@ -189,7 +189,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     record_id, page_id, url, record_type, refers_to, payload_length and payload_digest are the record's; chunk counts
     from 0, data holds its bytes, upto and digest are length and digest of the payload to its end, last marks the end.
     """
-    schema = arrow_schema(_CHUNKS)
+    folder, schema = shared_folder(spark, folder), arrow_schema(_CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
