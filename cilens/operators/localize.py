@@ -110,8 +110,9 @@ def named_in_text(failures: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def _evidence(rows: DataFrame, points, group: int, depth, reason) -> DataFrame:
-    """One observation. Its ``place``, signal, then frame depth, then symbol, orders what implicates a symbol first."""
-    place = F.struct(F.lit(group).alias("signal"), depth.cast("bigint").alias("depth"), F.col("ord").alias("seed"))
+    """One observation. ``place`` is the signal, then the frame depth, as one number: a depth is the index of an
+    array and stays below 2^32. It is the same order for all observations of a symbol, so its minimum is a plain one."""
+    place = F.lit(group << 32).cast("bigint") + depth.cast("bigint")
     return rows.select("failure_id", "ord", points.cast("bigint").alias("points"), place.alias("place"), reason.alias("reason"))
 
 
@@ -160,7 +161,7 @@ def score(failures: DataFrame, symbols: DataFrame, edges: DataFrame, top: int |
         strong = seeds.join(code, "ord").where(F.col("points") + bonus > rules.NEIGHBOUR_POINTS + rules.EXECUTABLE_POINTS)
         settled = strong.groupBy("failure_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top)
         open_seeds = seeds.join(settled, "failure_id", "left_anti")
-    near = (open_seeds.select("failure_id", "ord", "place").join(links, "ord")
+    near = (open_seeds.select("failure_id", "ord", F.struct("place", F.col("ord").alias("seed")).alias("place")).join(links, "ord")
             .groupBy("failure_id", F.col("other").alias("ord")).agg(F.min("place").alias("place"))
             .join(seeds.select("failure_id", "ord"), ["failure_id", "ord"], "left_anti"))
     if not explain:
