@@ -74,17 +74,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan of a few large files enough tasks for costly per-row work.
 
-    Real inputs arrive in more splits than cores and pass through untouched.
+    Only a scan that would leave three quarters of the cores idle is dealt out again, so what is moved stays below
+    a quarter of the cores times the size of a split; larger inputs pass through untouched.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan.rdd.getNumPartitions()
-    return scan.repartition(cores) if splits < cores else scan
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits * 4 <= cores else scan
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Mark a table for broadcast if it is counted to be small; otherwise leave it as it is.
+def small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """Mark a table for broadcast if its size is known to be small; otherwise leave it as it is.
 
-    Meant for tables already written or cheap to count. Beyond the bound the join is planned as
-    usual and the runtime splits skewed keys.
+    The size is the planner's, which for a written table is that of its files and otherwise an upper estimate.
+    Beyond the bound the join is planned as usual: the runtime broadcasts by measured size and splits skewed keys.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes else df

@@ -129,8 +129,8 @@ def test_vectors_of_other_lengths_never_meet(spark):
 
 
 def test_keyword_search_on_both_paths(spark):
-    items = spark.createDataFrame([(1, "Tax rate table", "calc"), (2, "nothing", "tax_rate"), (3, "rate", "x")], "item_id bigint, code string, name string")
-    asked = spark.createDataFrame([(7, "tax RATE rate"), (8, "absent")], "query_id bigint, text string")
+    items = spark.createDataFrame([(1, "r", "Tax rate table", "calc"), (2, "r", "nothing", "tax_rate"), (3, "r", "rate", "x")], "item_id bigint, repo_id string, code string, name string")
+    asked = spark.createDataFrame([(7, "r", "tax RATE rate"), (8, "r", "absent")], "query_id bigint, repo_id string, text string")
     for block in (4096, 1):
         rows = sorted((r.query_id, r.hit, r.item_id, r.score) for r in V.keyword_hits(items, asked, block=block).collect())
         assert rows == [(7, 1, 1, 2), (7, 2, 2, 2), (7, 3, 3, 1)]
