@@ -31,6 +31,7 @@ SPACE = "▁".encode()
 _STEP = 1 << 20
 
 
+@lru_cache(maxsize=4)
 def character_map(compiled: bytes) -> dict[bytes, bytes]:
     """Keys and replacements of a compiled character map: the size of a double-array trie, the trie, the replacements."""
     if not compiled:
