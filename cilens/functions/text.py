@@ -45,7 +45,8 @@ def lines(col: Column) -> Column:
 
 def unix_lines(col: Column) -> Column:
     """A text, null as empty, whose lines all end in a line feed; a lone carriage return ends a line too."""
-    return F.regexp_replace(F.coalesce(col, F.lit("")), r"\r\n?", "\n")
+    text = F.coalesce(col, F.lit(""))
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
 
 
 def ansi_free(col: Column) -> Column:
