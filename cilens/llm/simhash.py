@@ -194,8 +194,13 @@ def one_of_each(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORD
     Rows without an id come last, of equal ids the one whose text has the smallest hash is taken, and of equal rows
     any one.
     """
+    return least_of_each(docs, near_duplicates(docs, text, shingle, bucket), text)
+
+
+def least_of_each(docs: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
+    """The row of ``docs`` that ``one_of_each`` takes from each group of ``named`` (doc_id, h, root)."""
     nobody = F.lit(-(1 << 63))
-    best = near_duplicates(docs, text, shingle, bucket).groupBy("root").agg(
+    best = named.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", nobody).alias("i"), "h")).alias("b"))
     kept = best.select(F.col("b.i").alias("__near_id"), F.col("b.h").alias("__near_h"))
     keyed = docs.withColumns({"__near_id": F.coalesce(docs["doc_id"].cast("bigint"), nobody), "__near_h": F.xxhash64(whole_text(docs, text))})
