@@ -5,11 +5,12 @@ A term near an entity can give it away. Over the whole corpus, with p the share
 information log p(t, e) / (p(t) p(e)) says how strongly term t reveals entity e, and the entity's own information
 -log p(e) is the most it can reach. Their ratio is the disclosure of t for e. Terms that stand near e in at least
 two different contexts are generalised from a disclosure of ``GENERALISE`` on and removed from ``REMOVE`` on; terms
-that occur everywhere have a low ratio and stay.
+that occur everywhere have a low ratio and stay. A term found so is masked wherever it stands, in all documents.
 
 One pass over the texts writes, per document, the entities and the terms within ``REACH`` words of them, and per
 task the number of its documents that hold each word. What follows joins narrow tables: pairs of entity and term are
-counted with a map-side combine, and word counts are summed only for terms that can still disclose something.
+counted with a map-side combine, and word counts are summed only for terms that can still disclose something. A
+second pass marks the words that are disclosing terms.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cilens.llm.common import LOWER, STEP_BYTES, arrow_schema, blocks, cut_lineage, runs, slice_hashes, steps, table, whole_text
+from cilens.llm.common import LOWER, STEP_BYTES, arrow_schema, blocks, cut_lineage, map_rows, runs, slice_hashes, steps, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 REACH = 8
 GENERALISE = 0.7
 REMOVE = 0.9
 CONTEXTS = 2
+#: Disclosing terms that are sent to the tasks at a time.
+TERM_BLOCK = 1 << 20
 #: What a span's text becomes; a generalised term keeps the fact that a word stood there.
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -181,6 +185,61 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("t"))
 
 
+def _marked(texts: list[str], terms: np.ndarray, kinds: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of each text's words whose hashes are among the sorted ``terms``; words that run into an entity are none."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+
+    def among(h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+        return np.where(terms[at] == h, kinds[at], 0)
+
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    for a, b in steps(map(len, raw)):
+        if b == a + 1 and len(raw[a]) > STEP_BYTES:  # word by word, so that no cut meets one
+            words = _TERM.finditer(texts[a])
+            while some := list(islice(words, 50_000)):
+                kind = among(_hashes([m.group().encode("utf-8", "surrogatepass") for m in some]))
+                out[a] += [(some[k].start(), int(kind[k]), some[k].end()) for k in np.flatnonzero(kind).tolist()]
+            continue
+        data = np.frombuffer(b"\n".join(raw[a:b]), np.uint8)
+        start, end, sort = runs(data)
+        word = (sort == 1) & (end - start >= 3)
+        start, end = start[word], end[word]
+        kind = among(slice_hashes(LOWER[data], start, end).view(np.int64))
+        first = np.cumsum([0, *[len(t) + 1 for t in raw[a:b]]])
+        for k in np.flatnonzero(kind).tolist():
+            row = int(np.searchsorted(first, start[k], side="right")) - 1
+            s = len(raw[a + row][:start[k] - first[row]].decode("utf-8", "surrogatepass"))
+            word_text = data[start[k]:end[k]].tobytes().decode("utf-8", "surrogatepass")
+            out[a + row].append((s, int(kind[k]), s + len(word_text)))
+    for row, found in enumerate(out):
+        if found:
+            spans = entities(texts[row])
+            out[row] = [(s, k, e) for s, k, e in found if all(e <= x or s >= y for x, _, y in spans)]
+    return out
+
+
+def _everywhere(docs: DataFrame, telling: DataFrame, text: str) -> DataFrame:
+    """(doc_id, h, more): every occurrence of the disclosing terms (term, k) in any document; the texts are read once per block of terms."""
+    schema = "doc_id bigint, h bigint, more array<struct<s:int,k:int,e:int>>"
+    parts, found = -(-telling.count() // TERM_BLOCK), None
+    for part in range(parts):
+        block = telling.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).orderBy("term").toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast((block["term"].to_numpy(), block["k"].to_numpy()))
+
+        def work(cols, sent=sent):
+            marked = _marked(cols["t"].to_pylist(), *sent.value)
+            held = [k for k, spans in enumerate(marked) if spans]
+            return {"doc_id": cols["doc_id"].take(pa.array(held, pa.int64())), "h": cols["h"].take(pa.array(held, pa.int64())),
+                    "more": [[{"s": s, "k": k, "e": e} for s, k, e in marked[row]] for row in held]} if held else None
+
+        rows = map_rows(_keyed(docs, text), work, schema).dropDuplicates(["doc_id", "h"])
+        found = rows if found is None else found.union(rows)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return cut_lineage(found.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("more")).alias("more")) if parts > 1 else found)
+
+
 def find(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(base, more): the entities of every row, (doc_id, h, base), and the disclosing terms, (doc_id, h, more), of rows
     that have any, once for equal rows. h is xxhash64 of the text; spans are structs of start s, kind k and end e.
@@ -201,14 +260,13 @@ def find(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     most = F.log(size / F.col("n_entity"))
     telling = cut_lineage(pairs.join(held, "entity").join(words, "term")
                           .withColumn("d", F.when(most > 0, known / most).otherwise(F.lit(0.0))).where(F.col("d") >= GENERALISE)
-                          .select("entity", "term", F.when(F.col("d") >= REMOVE, 5).otherwise(4).alias("k")))
-    more = (near.join(telling, ["entity", "term"]).groupBy("doc_id", "h", "s", "e").agg(F.max("k").alias("k"))
-            .groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "k", "e")).alias("more")))
+                          .groupBy("term").agg(F.max(F.when(F.col("d") >= REMOVE, 5).otherwise(4)).alias("k")))
+    more = _everywhere(docs, telling, text)
     return rows.select("doc_id", "h", "base"), more
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, h, base, more) for every row of ``docs``, ``more`` sorted and empty where nothing near discloses.
+    """(doc_id, h, base, more) for every row of ``docs``, ``more`` sorted and empty where no term discloses.
 
     A null text is empty. Each row counts as a document, repeated ones too, but copies of one context do not make a
     term disclosing. Null ids are kept. Other columns are not read; an empty table gives no rows.

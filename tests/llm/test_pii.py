@@ -75,3 +75,19 @@ def test_odd_rows(spark, odd, nothing):
 def test_masks_of_overlapping_spans():
     assert pii.masked("call +1 (523) 555-1055 now", []) == "call [PHONE] now"
     assert pii.masked("x 4111 1111 1111 1111 y", [(0, 5, 1)]) == " [CARD] y"
+
+
+def test_disclosing_terms_are_masked_wherever_they_stand(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, filler(rng)) for k in range(200)]
+    rows += [(300 + k, f"{filler(rng)} Zanzibar boss.man@corp.example.com {filler(rng)} é zanzibar") for k in range(40)]
+    rows += [(500, "𝄞 é ZANZIBAR, zanzibars zanzibar@x.example.com"), (501, "long " * 500_000 + "Zanzibar"), (None, "Zanzibar"), (None, "Zanzibar")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    for block in (pii.TERM_BLOCK, 1):
+        monkeypatch.setattr(pii, "TERM_BLOCK", block)
+        clean = pii.sanitised(docs).collect()
+        assert len(clean) == len(rows)
+        text = {r.doc_id: r.text for r in clean}
+        assert not any("zanzibar" in t.lower() for i, t in text.items() if i != 500)
+        assert text[500].endswith(", zanzibars [EMAIL]") and "ZANZIBAR" not in text[500] and text[500].startswith("𝄞 é ")
+        assert text[5] == rows[5][1] and len(pii.spans(docs).collect()) == len(rows)
