@@ -22,7 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cilens.llm.common import LOWER, STEP_BYTES, arrow_schema, blocks, cut_lineage, map_rows, runs, slice_hashes, steps, table, whole_text
 
@@ -304,10 +304,14 @@ def masked(text: str, more: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
+def _of_kind(kind: int, span: Column) -> Column:
+    return span["k"] == kind
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     found = spans(table(spark, folder, "documents"))
     names = F.array(*map(F.lit, KINDS))
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    counts = [F.size(F.filter("base", partial(_of_kind, k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         told(F.array_sort(F.concat("base", "more"))).alias("spans"))

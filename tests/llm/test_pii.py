@@ -1,5 +1,6 @@
 """Entities against the plain patterns, disclosure against counts by hand."""
 
+import hashlib
 import random
 import re
 
@@ -91,3 +92,13 @@ def test_disclosing_terms_are_masked_wherever_they_stand(spark, monkeypatch):
         assert not any("zanzibar" in t.lower() for i, t in text.items() if i != 500)
         assert text[500].endswith(", zanzibars [EMAIL]") and "ZANZIBAR" not in text[500] and text[500].startswith("𝄞 é ")
         assert text[5] == rows[5][1] and len(pii.spans(docs).collect()) == len(rows)
+
+
+def test_query_counts_and_digests_of_whole_texts(spark, folder):
+    rows = pii.query(spark, folder).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and sum(r.n_email for r in rows) > 0 < sum(r.n_phone for r in rows)
+    for r in rows:
+        base = pii.entities(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(kind == k for _, kind, _ in base) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.span_text(base).encode()).hexdigest()
