@@ -9,7 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cilens.llm import chat, decontaminate, license_scan, minhash, pii, quality, sentencepieces, simhash, token_store, warc
+from cilens.llm import (
+    chat, decontaminate, license_scan, minhash, pii, quality, secret_scan, sentencepieces, simhash, spelling, token_store, warc, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -22,7 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_minhash": minhash.query,
     "op10_warc": warc.query,
+    "op11_secret_scan": secret_scan.query,
+    "op12_whitening": whitening.query,
+    "op13_spelling": spelling.query,
 }
 
 #: DuckDB texts where SQL can express a query.
-ORACLES: dict[str, str] = {"op10_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op10_warc": warc.ORACLE, "op11_secret_scan": secret_scan.ORACLE}

@@ -131,3 +131,24 @@ def blocks(text: bytes, most: int = STEP_BYTES) -> Iterator[bytes]:
         yield text[a:b]
         a = b
     yield text[a:]
+
+
+#: A key is hot if it holds over one in so many rows; fewer keys than this can be.
+HOT_SHARE = 1000
+#: Parts that the rows of a hot key are dealt into.
+HOT_PARTS = 64
+
+
+def join_back(rows: DataFrame, values: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``values``, a row per key, null where a key has none.
+
+    ``sizes`` (key, n) counts the rows per key. The fewer than ``HOT_SHARE`` keys that hold over one in ``HOT_SHARE``
+    rows are sent to the tasks; their rows are dealt into ``HOT_PARTS`` parts, and their values are copied to each
+    part, so that no task reads more than such a part of a key, however many rows it has.
+    """
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = cut_lineage(sizes.where(F.col("n") * HOT_SHARE > total).select(F.col(key).alias("_hot")))
+    mark = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    left = mark(rows).withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_PARTS))).otherwise(F.lit(0)))
+    right = mark(values).withColumn("_part", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.drop("_hot").join(right.drop("_hot"), [key, "_part"], "left").drop("_part")
