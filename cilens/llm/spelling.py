@@ -184,12 +184,40 @@ def signatures(words: DataFrame, part: np.ndarray, parts: int = PARTS) -> DataFr
     return words.select("word", "n").mapInArrow(run, ddl)
 
 
+def _one_edit(cols: dict) -> dict | None:
+    """The pairs that exactly one inserted, deleted or replaced code point parts; their lengths differ by one at most."""
+    a, b = cols["a"].to_pylist(), cols["b"].to_pylist()
+    size_a, size_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+    swap = size_a > size_b
+    short, long = [y if s else x for x, y, s in zip(a, b, swap)], [x if s else y for x, y, s in zip(a, b, swap)]
+    size = np.minimum(size_a, size_b)
+    points = lambda words: np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    first, x, y = np.concatenate(([0], np.cumsum(size)[:-1])), points(short), points(long)
+    at = np.arange(len(x)) - np.repeat(first, size)
+    other = np.repeat(np.cumsum(np.maximum(size_a, size_b)) - np.maximum(size_a, size_b), size) + at
+    differ = x != y[other]
+    replaced = (size_a == size_b) & (np.add.reduceat(differ.astype(np.int64), first) == 1)
+    # one more code point: equal up to some place, and from there on equal to the rest after it
+    shifted = x != y[np.minimum(other + 1, len(y) - 1)]
+    begin = np.minimum.reduceat(np.where(differ, at, np.repeat(size, size)), first)
+    rest = np.maximum.reduceat(np.where(shifted, at, -1), first)
+    held = np.flatnonzero(replaced | ((size_a != size_b) & (begin > rest)))
+    return {name: column.take(pa.array(held)) for name, column in cols.items()} if len(held) else None
+
+
 def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(a, na, b, nb) with a < b: the pairs of words that one inserted, deleted or replaced code point parts, each once."""
+    """(a, na, b, nb) with a < b: the pairs of words that one inserted, deleted or replaced code point parts, each once.
+
+    One edit leaves the first or the second half of the shorter word as it is, which is cheap to see in the join.
+    """
     signed = signatures(words, balanced_parts(words, parts), parts)
     a, b = signed.toDF("sig", "a", "na"), signed.toDF("sig", "b", "nb")
-    near = (F.col("a") < F.col("b")) & (F.abs(F.char_length("a") - F.char_length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, "sig").where(near).select("a", "na", "b", "nb").distinct()
+    size_a, size_b = F.char_length("a"), F.char_length("b")
+    less = F.least(size_a, size_b)
+    head, tail = F.shiftright(less, 1), F.shiftright(less - 1, 1) + 1  # together as long as the shorter word
+    half = (F.left("a", head) == F.left("b", head)) | (F.right("a", tail) == F.right("b", tail))
+    pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.abs(size_a - size_b) <= 1) & half).select("a", "na", "b", "nb")
+    return map_rows(pairs, _one_edit, "a string, na bigint, b string, nb bigint").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
