@@ -172,7 +172,7 @@ def signatures(words: DataFrame, part: np.ndarray, parts: int = PARTS) -> DataFr
                 continue
             value, where = mix(flat.astype(np.uint64) + np.uint64(1)), part[np.minimum(flat, 255)]
             first = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
-            power = np.cumprod(np.concatenate(([1], np.full(int(np.bincount(row).max()), 0x9E3779B97F4A7C15, np.uint64))).astype(np.uint64))
+            power = np.full(int(np.bincount(row).max()) + 1, 0x9E3779B97F4A7C15, np.uint64).cumprod()  # odd, so no power loses bits
             for k, out in enumerate(combinations(range(parts), 2)):
                 held = (where != out[0]) & (where != out[1])
                 upto = np.cumsum(held)

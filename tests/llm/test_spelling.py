@@ -93,6 +93,13 @@ def test_signatures_lose_no_near_pair(spark, parts):
     assert pairs == {(a, b) for i, a in enumerate(words) for b in words[i + 1:] if one_edit(a, b)}
 
 
+def test_signatures_tell_words_apart(spark):
+    rng = random.Random(2)
+    words = spark.createDataFrame([("".join(rng.choices("abcdefghijklmnop", k=14)), 2) for _ in range(500)], "word string, n bigint")
+    sigs = S.signatures(words, S.balanced_parts(words))
+    assert sigs.count() == 500 * 21 and sigs.select("sig").distinct().count() > 0.99 * 500 * 21
+
+
 def test_long_texts_and_long_runs(spark, monkeypatch):
     monkeypatch.setattr(S, "STEP", 1000)
     text = "alphabet, " * 300 + "é" * 2500 + " alphabet" * 200 + "\n" + "x" * 999 + "Ç" + "y" * 5000
