@@ -24,6 +24,7 @@ _SHIFT = 57  # 64 less the bits of a bin number
 _PRIME = 2147483647
 #: Attempts of an empty bin that are looked up in a table; then the ranks of all filled bins are compared.
 _TRIES = 3
+_LOW = (1 << _SHIFT) - 1  # the bits of a hash below its bin; all set, they mark the end of a bin
 
 
 def _rank(i, j):
@@ -39,33 +40,38 @@ def _tries() -> list[list[int]]:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column in lower-case hex; a text without words has an empty one."""
-    words, hashes, mins, bins = (f"__{name}_{part}" for part in ("words", "hashes", "mins", "bins"))
+    """``df`` with the fingerprint of a text column in lower-case hex; a text without words has an empty one.
+
+    The last possible hash of every bin joins the hashes, so that the first of each bin in sorted order make up all bins.
+    """
+    words, hashes, bins = (f"__{name}_{part}" for part in ("words", "hashes", "bins"))
     bin_of = lambda h: F.shiftright(h, _SHIFT) + BINS // 2  # noqa: E731  rises with the hash
     df = df.withColumn(words, F.array_remove(F.split(F.lower(text), "[ \\t\\n\\x0B\\f\\r]+"), ""))
     df = df.withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     more = [lambda i, k=k: F.get(words, i + k) for k in range(1, SHINGLE_WORDS)]
     whole = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (SHINGLE_WORDS - 1), F.lit(0))),
                         lambda h, i: F.xxhash64(h, *[get(i) for get in more]))
-    df = df.withColumn(hashes, F.sort_array(F.when(F.size(words).between(1, SHINGLE_WORDS - 1), F.array(F.xxhash64(words))).otherwise(whole)))
-    # sorted hashes run through the bins in order: the first of each bin is its smallest
-    df = df.withColumn(mins, F.filter(hashes, lambda h, i: (i == 0) | (F.shiftright(h, _SHIFT) != F.shiftright(F.get(hashes, i - 1), _SHIFT))))
-    held = F.map_from_arrays(F.transform(mins, lambda h: bin_of(h).cast("int")), F.col(mins))
-    df = df.withColumn(bins, held).withColumn(bins, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(bins, b)))
+    ends = F.lit([((b - BINS // 2) << _SHIFT) | _LOW for b in range(BINS)]).cast("array<bigint>")
+    df = df.withColumn(hashes, F.sort_array(F.concat(F.when(F.size(words) < SHINGLE_WORDS, F.array(F.xxhash64(words))).otherwise(whole), ends)))
+    least = F.filter(hashes, lambda h, i: ~F.shiftright(h, _SHIFT).eqNullSafe(F.shiftright(F.get(hashes, i - 1), _SHIFT)))
+    df = df.withColumn(bins, F.transform(least, lambda h: F.when(h.bitwiseAND(_LOW) != _LOW, h)))
     tries = [F.array(*map(F.lit, row)) for row in _tries()]
+    signs = F.array(*[F.lit(f"{k:0{BITS // 4}x}") for k in range(1 << BITS)])
 
     def fill(x: Column, i: Column) -> Column:
-        ranked = F.transform(mins, lambda h: F.struct(_rank(i.cast("bigint"), bin_of(h)).alias("r"), bin_of(h).alias("b"), h.alias("h")))
+        ranked = F.transform(F.filter(bins, lambda h: h.isNotNull()), lambda h: F.struct(_rank(i.cast("bigint"), bin_of(h)).alias("r"), bin_of(h).alias("b"), h.alias("h")))
         return F.coalesce(x, *[F.get(bins, F.get(row, i)) for row in tries], F.array_min(ranked)["h"])
 
-    digits = F.transform(F.transform(bins, fill), lambda x: F.substring(F.hex(x.bitwiseAND((1 << BITS) - 1) + (1 << BITS)), 2, BITS // 4))
-    return df.withColumn(name, F.when(F.size(mins) > 0, F.lower(F.array_join(digits, ""))).otherwise(F.lit(""))).drop(words, hashes, mins, bins)
+    digits = F.transform(F.transform(bins, fill), lambda x: F.get(signs, x.bitwiseAND((1 << BITS) - 1).cast("int")))
+    return df.withColumn(name, F.when(F.size(words) > 0, F.array_join(digits, "")).otherwise(F.lit(""))).drop(words, hashes, bins)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common shingles of two fingerprints, chance agreement taken off; two empty ones are alike."""
-    width = BITS // 4
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(BINS * width), F.lit(width)), lambda i: F.substr(a, i, F.lit(width)) == F.substr(b, i, F.lit(width))))
+    width = max(1, BITS // 8)
+    both = F.array(F.struct(F.unhex(a).alias("a"), F.unhex(b).alias("b")))  # bound once, read per bin
+    at = F.sequence(F.lit(1), F.lit(BINS * width), F.lit(width))
+    same = F.get(F.transform(both, lambda s: F.size(F.filter(at, lambda i: F.substr(s["a"], i, F.lit(width)) == F.substr(s["b"], i, F.lit(width))))), F.lit(0))
     chance = 0.5 ** BITS
     estimate = F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance))
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(estimate)
