@@ -1,179 +1,308 @@
 """Symbols, imports and bracket checks out of source text.
 
-One file is one row. Its lines are an array and every step is an expression over that array,
-so files are never cut apart and shuffled; work grows with the definitions times the lines of
-a single file, never across files.
+One file is one row, read in Arrow batches, and files are never cut apart and shuffled. A file is first reduced to its
+code: comments go, strings shrink to their quotes, and ends of lines inside strings or after a backslash become a mark,
+so that what is left of a line is code and nothing else. One pass over these lines with a stack of open blocks then
+finds everything; work is linear in the lines of a file.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cilens import rules
-from cilens.functions import text as X
-
-# script heads that go on after their line: an arrow's parameters, a test call's label
-_JS_OPEN_TEST = r"\b(?:describe|it|test)\s*\(\s*$"
-_JS_OPEN = r"^\s*(?:export\s+)?(?:const|let|var)\s+[A-Za-z_$][A-Za-z0-9_$]*\s*=\s*(?:async\s*)?(?:\([^)]*)?$|" + _JS_OPEN_TEST
-_JS_WRAPPED_TEST = r"\A[^\n]*" + rules.JS_TEST_CALL
-
-SYMBOL = "struct<name:string,qualified:string,symbol_type:string,start_line:bigint,end_line:bigint,calls:array<string>,is_test:boolean>"
-
-
-def _body(lines: Column, start: Column, end: Column) -> Column:
-    return F.array_join(F.slice(lines, start.cast("int"), (end - start + 1).cast("int")), "\n")
-
 
-def _calls(text: Column, pattern: str, skip: tuple[str, ...]) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda c: ~c.isin(*skip))))
-
-
-def _symbol(name, qualified, kind, start, end, calls, is_test) -> Column:
-    return F.struct(name.alias("name"), qualified.alias("qualified"), F.when(is_test, "test").otherwise(kind).alias("symbol_type"),
-                    start.cast("bigint").alias("start_line"), end.cast("bigint").alias("end_line"), calls.alias("calls"), is_test.alias("is_test"))
-
-
-def _emit(files: DataFrame, found: Column) -> DataFrame:
-    rows = files.select("repo_id", "file_path", "lines", F.inline(found.cast(f"array<{SYMBOL}>")))
-    return (rows.withColumn("symbol_id", F.concat("file_path", F.lit("::"), "qualified"))
-            .withColumn("code", _body(F.col("lines"), F.col("start_line"), F.col("end_line"))).drop("lines"))
+_JOIN = "\x1f"  # an end of line that ends no statement
+_LINE_END = re.compile(r"\r\n?")
+_PY_LEX = re.compile(r"""(?s)#[^\n]*|\\\n|(\"\"\"|''')(?:[^\\]|\\.)*?(?:\1|\Z)|"(?:[^"\\\n]|\\.)*+(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*+(?:'|(?=\n)|\Z)""")
+_C_LEX = re.compile(r"""(?s)//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*+(?:'|(?=\n)|\Z)""")
+# scripts also have templates, and expressions between slashes where a value may start
+_JS_LEX = re.compile(r"(?s)(?<=[(,=:\[!&|?{};])[ \t]*/(?![/*])(?:[^\\/\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/|`(?:[^`\\]|\\.)*+(?:`|\Z)|" + _C_LEX.pattern.removeprefix("(?s)"))
+_PY_HEAD = re.compile(rules.PY_DEF)
+_PY_CALL = re.compile(r"([^\W\d]\w*)\s*\(")
+_JS_FUNCTION, _JS_ARROW = (re.compile("(?m)" + p.replace(r"^\s*", r"^[ \t]*", 1)) for p in (rules.JS_FUNCTION, rules.JS_ARROW))
+_JS_TEST = re.compile(rules.JS_TEST_CALL)
+_JS_CALLS = re.compile(r"\b" + rules.JS_CALL)
+_CPP_TEST, _CPP_FUNCTION, _CPP_CALLS = re.compile(rules.CPP_TEST_MACRO), re.compile(rules.CPP_FUNCTION), re.compile(r"\b" + rules.CPP_CALL)
+
+#: name, qualified name, kind, first and last line, called names, whether it is a test
+Symbol = tuple[str, str, str, int, int, list[str], bool]
+_SYMBOLS = ("repo_id string, file_path string, name string, qualified string, symbol_type string, start_line bigint, end_line bigint, "
+            "calls array<string>, is_test boolean, symbol_id string, code string")
+
+
+def _unix(text: str | None) -> str:
+    return _LINE_END.sub("\n", text or "")
+
+
+def _python_code(text: str) -> str:
+    def keep(m: re.Match) -> str:
+        found = m.group()
+        if found[0] == "#":
+            return ""
+        return _JOIN if found[0] == "\\" else f'"{_JOIN * found.count(chr(10))}"'
+
+    return _PY_LEX.sub(keep, text.replace(_JOIN, " "))
+
+
+def _blanked(lex: re.Pattern, text: str) -> str:
+    """The text with comments and what is inside quotes turned into blanks, place by place."""
+    def keep(m: re.Match) -> str:
+        found = m.group()
+        bare = re.sub(r"[^\n]", " ", found)
+        return found[0] + bare[1:-1] + found[-1] if found[0] in "\"'`" and len(found) > 1 else bare
+
+    return lex.sub(keep, text)
+
+
+def _statements(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(first line, last line, indent, code) of each line of code; indent is -1 where a statement goes on."""
+    depth, line = 0, 1
+    for part in _python_code(text).split("\n"):
+        size = part.count(_JOIN)
+        code = part.replace(_JOIN, " ")
+        if code.strip():
+            wide = code.expandtabs(8)
+            yield line, line + size, -1 if depth else len(wide) - len(wide.lstrip()), code
+            depth = max(0, depth + sum(map(code.count, "([{")) - sum(map(code.count, ")]}")))
+        line += 1 + size
+
+
+def _python_file(path: str, text: str) -> list[Symbol]:
+    base = path.replace("\\", "/").rsplit("/", 1)[-1]
+    test_file = base.startswith("test_") or base.endswith("_test.py")
+    found: list[dict] = []
+    blocks: list[dict] = []  # open blocks: indent, indent of the body, the symbol or None, whether it owns calls
+    body, last, owner, pending = None, 0, None, []
+
+    def close(indent: int) -> None:
+        while blocks and indent <= blocks[-1]["indent"]:
+            if (symbol := blocks.pop()["symbol"]) is not None:
+                symbol["end"] = last
+
+    for first, end, indent, code in _statements(text):
+        if indent >= 0:
+            close(indent)
+            top = blocks[-1] if blocks else None
+            if top is None:
+                body = indent if body is None else body
+            elif top["body"] is None:
+                top["body"] = indent
+            # a definition counts where it stands in the body of another one or of the file, not below a condition or loop
+            direct = indent == (body if top is None else top["body"]) and (top is None or top["symbol"] is not None)
+            head = _PY_HEAD.match(code)
+            if head:
+                symbol = None
+                if direct:
+                    scope = [b["symbol"]["name"] for b in blocks]
+                    symbol = {"name": head[3], "scope": scope, "kind": head[2], "start": first, "end": end, "calls": set()}
+                    found.append(symbol)
+                owner = symbol if head[2] == "def" else None
+                if owner is not None:
+                    owner["calls"].update(pending)
+                blocks.append({"indent": indent, "body": None, "symbol": symbol, "owner": owner})
+                code = code[head.end():]
+            else:
+                owner = top["owner"] if top else None
+            decorator = code.lstrip().startswith("@")
+            pending = pending if decorator else []
+        names = [c for c in _PY_CALL.findall(code) if c not in rules.PY_CALL_SKIP]
+        if decorator:
+            pending += names
+        elif owner is not None:
+            owner["calls"].update(names)
+        last = end
+    close(-1)
+    out = []
+    for s in found:
+        test = test_file or s["name"].startswith(("test_", "Test"))
+        kind = "test" if test else "class" if s["kind"] == "class" else "method" if s["scope"] else "function"
+        out.append((s["name"], ".".join([*s["scope"], s["name"]]), kind, s["start"], s["end"], sorted(s["calls"]), test))
+    return out
+
+
+def _script_file(path: str, text: str) -> list[Symbol]:
+    flat, code = path.replace("\\", "/").lower(), _blanked(_JS_LEX, text)
+    base = flat.rsplit("/", 1)[-1]
+    test_file = ".test." in base or ".spec." in base or "__tests__/" in flat
+    heads = [(m.start(), 0, m[1], False) for p in (_JS_FUNCTION, _JS_ARROW) for m in p.finditer(code)]
+    heads += [(m.start(), 1, text[m.start(1):m.end(1)], True) for m in _JS_TEST.finditer(code)]
+    lines, starts, at = text.split("\n"), [], 0
+    for offset, order, name, test in sorted(heads, key=lambda h: h[:2]):
+        at = starts[-1][0] + code.count("\n", starts[-1][1], offset) if starts else 1 + code.count("\n", 0, offset)
+        starts.append((at, offset, name, test))
+    out, bare = [], code.split("\n")
+    for k, (at, _, name, test) in enumerate(starts):
+        end = max(at, starts[k + 1][0] - 1) if k + 1 < len(starts) else len(lines)
+        while end > at and not lines[end - 1].strip(" \t\r\x0b\x0c"):
+            end -= 1
+        calls = sorted({c for c in _JS_CALLS.findall("\n".join(bare[at - 1:end])) if c not in rules.JS_CALL_SKIP})
+        test = test or test_file
+        out.append((name, name, "test" if test else "function", at, end, calls, test))
+    return out
+
+
+def _cpp_file(path: str, text: str) -> list[Symbol]:
+    lines, code = text.split("\n"), _blanked(_C_LEX, text).split("\n")
+    found, open_heads, depth = [], [], 0
+    for k, line in enumerate(code):
+        test, function = _CPP_TEST.match(line), _CPP_FUNCTION.match(line)
+        if test or function:
+            if test:
+                inside = re.search(r"\((.*)\)", lines[k])
+                parts = [p for p in (p.strip(" ").strip('"') for p in (inside[1].split(",") if inside else [])) if p]
+                name = ".".join(parts[:2]) or "cpp_test"
+            else:
+                name = function[1].rsplit("::", 1)[-1]
+            head = {"name": name, "test": bool(test) or name.lower().startswith("test"), "start": k + 1, "end": k + 1, "depth": depth, "open": False}
+            found.append(head)
+            open_heads.append(head)
+        depth += line.count("{") - line.count("}")
+        for head in open_heads:
+            head["open"] |= "{" in line
+            if head["open"] and depth <= head["depth"]:
+                head["end"], head["depth"] = k + 1, None
+        open_heads = [h for h in open_heads if h["depth"] is not None]
+    out = []
+    for h in found:
+        calls = sorted({c for c in _CPP_CALLS.findall("\n".join(code[h["start"] - 1:h["end"]])) if c not in rules.CPP_CALL_SKIP})
+        out.append((h["name"], h["name"], "test" if h["test"] else "function", h["start"], h["end"], calls, h["test"]))
+    return out
+
+
+def _symbols(read: Callable[[str, str], list[Symbol]], schema: pa.Schema, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns: list[list] = [[] for _ in schema]
+        for repo, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+            text = _unix(content)
+            lines = text.split("\n")
+            for name, qualified, kind, start, end, calls, test in read(path or "", text):
+                row = (repo, path, name, qualified, kind, start, end, calls, test, f"{path or ''}::{qualified}", "\n".join(lines[start - 1:end]))
+                for column, value in zip(columns, row):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _emit(files: DataFrame, read: Callable[[str, str], list[Symbol]]) -> DataFrame:
+    schema = to_arrow_schema(StructType.fromDDL(_SYMBOLS))
+    return files.select("repo_id", "file_path", "content").mapInArrow(partial(_symbols, read, schema), _SYMBOLS)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
-    """Functions, methods and classes by indentation. A block runs to the last text line before
-    the next line indented no deeper; its scope is every block around it; calls of a nested
-    definition belong to that definition alone, and classes own no calls."""
-    base = X.basename(X.slashes(F.col("file_path")))
-    df = files.withColumn("lines", X.lines(F.col("content"))).withColumn("test_file", F.startswith(base, F.lit("test_")) | F.endswith(base, F.lit("_test.py")))
-    marked = F.transform("lines", lambda l, i: F.struct(
-        (i + 1).alias("pos"), F.length(F.regexp_extract(l, r"^(\s*)", 1)).alias("indent"), l.alias("line"),
-        F.regexp_extract(l, rules.PY_DEF, 2).alias("kind"), F.regexp_extract(l, rules.PY_DEF, 3).alias("name")))
-    df = df.withColumn("text_lines", F.filter(marked, lambda m: F.trim(m["line"]) != ""))
-
-    def block(d: Column) -> Column:
-        # the first line after d that is indented no deeper closes the block
-        stop = F.try_element_at(F.filter("text_lines", lambda m: (m["pos"] > d["pos"]) & (m["indent"] <= d["indent"])), F.lit(1))["pos"]
-        last = F.element_at(F.filter("text_lines", lambda m: (m["pos"] >= d["pos"]) & (stop.isNull() | (m["pos"] < stop))), -1)["pos"]
-        return F.struct(d["pos"].alias("pos"), d["indent"].alias("indent"), d["kind"].alias("kind"), d["name"].alias("name"), last.alias("end"))
-
-    df = df.withColumn("blocks", F.transform(F.filter("text_lines", lambda m: m["kind"] != ""), block))
-    # every line belongs to the innermost block around it, which is the one that starts last
-    df = df.withColumn("owned", F.transform("lines", lambda l, i: F.struct(l.alias("line"), (i + 1).alias("p"), F.array_max(F.transform(
-        F.filter("blocks", lambda o: (o["pos"] <= i + 1) & (o["end"] >= i + 1)), lambda o: o["pos"])).alias("block"))))
-
-    def finish(b: Column) -> Column:
-        around = F.filter("blocks", lambda o: (o["pos"] < b["pos"]) & (o["end"] >= b["pos"]) & (o["indent"] < b["indent"]))
-        scope = F.transform(around, lambda o: o["name"])
-        own = F.filter("owned", lambda x: (x["block"] == b["pos"]) & (x["p"] > b["pos"]))
-        calls = _calls(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), rules.CPP_CALL, rules.PY_CALL_SKIP)
-        is_test = F.col("test_file") | F.startswith(b["name"], F.lit("test_")) | F.startswith(b["name"], F.lit("Test"))
-        kind = F.when(b["kind"] == "class", "class").when(F.size(scope) > 0, "method").otherwise("function")
-        return _symbol(b["name"], F.array_join(F.concat(scope, F.array(b["name"])), "."), kind, b["pos"], b["end"],
-                       F.when(b["kind"] == "class", F.array().cast("array<string>")).otherwise(calls), is_test)
-
-    return _emit(df, F.transform("blocks", finish))
+    """Functions, methods and classes that stand in the body of the file or of another one, with their lines of source.
+
+    A block runs to its last line of code. Its scope is every definition around it. Calls, those of decorators and
+    defaults included, belong to the innermost definition; classes, and definitions below a condition or loop, own none.
+    """
+    return _emit(files, _python_file)
 
 
 def script_symbols(files: DataFrame) -> DataFrame:
     """JavaScript functions, arrow constants and test blocks; the next one ends the span."""
-    df = files.withColumn("lines", X.lines(F.col("content"))).withColumn("test_file", X.js_test_path(F.col("file_path")))
-
-    # a head that stays open at its line's end is read together with the lines after it
-    def whole(line: Column, i: Column) -> Column:
-        rest = F.array_join(F.slice("lines", i + 1, F.size("lines")), "\n")
-        return F.when(line.rlike(_JS_OPEN), rest).otherwise(line)
+    return _emit(files, _script_file)
 
-    def heads(first: Column, i: Column) -> Column:
-        return X.let(whole(first, i), lambda line: heads_of(line, i, first))
 
-    def heads_of(line: Column, i: Column, first: Column) -> Column:
-        def one(hit: Column, name: Column, order: int, test: bool) -> Column:
-            return F.when(hit, F.array(F.struct((i + 1).alias("pos"), F.lit(order).alias("o"), name.alias("name"), F.lit(test).alias("test"))))
+def cpp_symbols(files: DataFrame) -> DataFrame:
+    """C-family definitions and test macros; the span ends where braces balance again."""
+    return _emit(files, _cpp_file)
+
+
+def _python_imports(text: str | None) -> list[str]:
+    names, whole = set(), []
+
+    def take() -> None:
+        for part in " ".join(whole).split(";"):
+            if plain := re.match(r"\s*import\s+(.+)", part):
+                module, listed = "", plain[1]
+            elif member := re.match(r"\s*from\s*(\.*)\s*([\w.]*)\s*\bimport\b(.+)", part):
+                module, listed = member[2], member[3]
+            else:
+                continue
+            for name in re.sub(r"[()]", " ", listed).split(","):
+                if words := name.split():
+                    names.add(f"{module}.{words[0]}" if module else words[0])
+
+    for _, _, indent, code in _statements(_unix(text)):
+        if indent >= 0:
+            take()
+            whole = [code] if indent == 0 else []
+        elif whole:
+            whole.append(code)
+    take()
+    return sorted(names)
 
-        named = F.coalesce(one(line.rlike(rules.JS_FUNCTION), F.regexp_extract(line, rules.JS_FUNCTION, 1), 0, False),
-                           one(line.rlike(rules.JS_ARROW), F.regexp_extract(line, rules.JS_ARROW, 1), 0, False), F.array())
-        on_line = F.regexp_extract_all(first, F.lit(rules.JS_TEST_CALL), F.lit(1))
-        wrapped = F.when(first.rlike(_JS_OPEN_TEST), F.array(F.regexp_extract(line, _JS_WRAPPED_TEST, 1))).otherwise(F.array().cast("array<string>"))
-        labels = F.concat(on_line, F.filter(wrapped, lambda n: n != ""))
-        tests = F.transform(labels, lambda n, k: F.struct(
-            (i + 1).alias("pos"), (k + 1).alias("o"), n.alias("name"), F.lit(True).alias("test")))
-        return F.concat(named, tests)
 
-    df = df.withColumn("heads", F.flatten(F.transform("lines", heads)))
+def python_imports(content: Column) -> Column:
+    """Names bound by imports in the body of the file, as module or module.name, sorted and distinct."""
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(_python_imports)
 
-    def finish(h: Column, k: Column) -> Column:
-        following = F.try_element_at("heads", (k + 2).cast("int"))["pos"]
-        limit = F.when(following.isNull(), F.size("lines")).otherwise(F.greatest(following - 1, h["pos"]))
-        text = F.filter(F.sequence(h["pos"], limit.cast("int")), lambda p: X.strip(F.element_at("lines", p)) != "")
-        end = F.coalesce(F.array_max(text), h["pos"])
-        is_test = F.col("test_file") | h["test"]
-        return _symbol(h["name"], h["name"], F.lit("function"), h["pos"], end,
-                       _calls(_body(F.col("lines"), h["pos"], end), r"\b" + rules.JS_CALL, rules.JS_CALL_SKIP), is_test)
+    return found(content)
 
-    return _emit(df, F.transform("heads", finish))
 
+_IMPORT = re.compile(r"""(?m)^[ \t]*import\b(?:[^'"`\n{]*\{[^}'"`]*\})?[^'"`\n{]*(['"`])([^'"`\n]+)['"`]""")
+_REQUIRE = re.compile(r"""\brequire\s*\(\s*(['"`])([^'"`]+)['"`]""")
 
-def cpp_symbols(files: DataFrame) -> DataFrame:
-    """C-family definitions and test macros; the span ends where braces balance again."""
-    df = files.withColumn("lines", X.lines(F.col("content")))
-    opens = lambda l: F.length(l) - F.length(F.replace(l, F.lit("{"), F.lit("")))
-    closes = lambda l: F.length(l) - F.length(F.replace(l, F.lit("}"), F.lit("")))
-    df = df.withColumn("heads", F.filter(F.transform("lines", lambda l, i: F.struct(
-        (i + 1).alias("pos"), l.alias("line"), l.rlike(rules.CPP_TEST_MACRO).alias("test"), l.rlike(rules.CPP_FUNCTION).alias("fn"))), lambda h: h["test"] | h["fn"]))
 
-    def end_of(h: Column) -> Column:
-        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("end"), (h["pos"] - 1).alias("at"))
-        rest = F.slice("lines", h["pos"], F.size("lines") - h["pos"] + 1)
+def _script_imports(text: str | None) -> list[str]:
+    text = _unix(text)
+    code = _blanked(_JS_LEX, text)
+    return sorted({text[m.start(2):m.end(2)] for p in (_IMPORT, _REQUIRE) for m in p.finditer(code)})
 
-        def step(s: Column, l: Column) -> Column:
-            depth, opened = s["depth"] + opens(l) - closes(l), s["open"] | F.contains(l, F.lit("{"))
-            done = s["end"] > 0
-            return F.struct(F.when(done, s["depth"]).otherwise(depth).alias("depth"), opened.alias("open"),
-                            F.when(done, s["end"]).when(opened & (depth <= 0), s["at"] + 1).otherwise(0).alias("end"), (s["at"] + 1).alias("at"))
 
-        end = F.aggregate(rest, start, step)["end"]
-        return X.let(end, lambda e: F.when(e > 0, e).otherwise(h["pos"]))
+def script_imports(content: Column) -> Column:
+    """Module names in import statements and require calls, sorted and distinct; those in comments are none."""
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(_script_imports)
 
-    def finish(h: Column) -> Column:
-        inside = F.regexp_extract(h["line"], r"\((.*)\)", 1)
-        parts = F.filter(F.transform(F.split(inside, ","), lambda p: F.btrim(F.trim(p), F.lit('"'))), lambda p: p != "")
-        label = F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, 2), ".")).otherwise("cpp_test")
-        name = F.when(h["test"], label).otherwise(F.element_at(F.split(F.regexp_extract(h["line"], rules.CPP_FUNCTION, 1), "::"), -1))
-        is_test = h["test"] | F.startswith(F.lower(name), F.lit("test"))
-        return X.let(end_of(h), lambda end: _symbol(name, name, F.lit("function"), h["pos"], end, _calls(
-            _body(F.col("lines"), h["pos"], end), r"\b" + rules.CPP_CALL, rules.CPP_CALL_SKIP), is_test))
+    return found(content)
 
-    return _emit(df, F.transform("heads", finish))
 
+# a string takes in escaped characters, also the first one after a line end; group 1 is missing where it does not end
+_MARK = re.compile(r"""[()\[\]{}]|'(?:[^'\\]|\\\n*[^\n])*+(')?|"(?:[^"\\]|\\\n*[^\n])*+(")?|`(?:[^`\\]|\\\n*[^\n])*+(`)?""")
+_CLOSER = {"(": ")", "[": "]", "{": "}"}
 
-def python_imports(content: Column) -> Column:
-    """Names bound by module-level imports, as module or module.name, sorted and distinct."""
-    plain = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(r"(?m)^import[ \t]+([^\n#;]+)"), F.lit(1)), lambda x: F.split(x, ",")))
-    # names in parentheses run over several lines, with comments among them
-    froms = F.regexp_extract_all(content, F.lit(r"(?m)^from[ \t]+\S+[ \t]+import[ \t]*(?:\([^)]*|[ \t][^\n#;(]+)"), F.lit(0))
-    blank = lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")
-    bare = lambda n: F.regexp_replace(blank(n), r"\s+as\s+[\s\S]*$", "")
 
-    def members(line: Column) -> Column:
-        module = F.regexp_replace(F.regexp_extract(line, r"^from[ \t]+(\S+)", 1), r"^\.+", "")
-        names = F.split(F.regexp_replace(F.regexp_extract(line, r"import[ \t]*\(?([\s\S]+)$", 1), r"#[^\n]*", ""), ",")
-        return F.transform(F.filter(names, lambda n: blank(n) != ""), lambda n: F.when(module != "", F.concat(module, F.lit("."), bare(n))).otherwise(bare(n)))
+def first_fault(source: str | None) -> tuple[str, int] | None:
+    """The first bracket that closes what is not open, else a string without end, else the innermost open bracket."""
+    lines = (source or "").splitlines()
+    text, stack = "\n".join(lines), []
+    line_of = lambda at: text.count("\n", 0, at) + 1
+    for m in _MARK.finditer(text):
+        mark = m.group()
+        if mark in _CLOSER:
+            stack.append((mark, m.start()))
+        elif mark[0] in "\"'`":
+            if m.lastindex is None:
+                return "unterminated string", len(lines) or 1
+        elif not stack or _CLOSER[stack.pop()[0]] != mark:
+            return f"unexpected '{mark}'", line_of(m.start())
+    return (f"missing '{_CLOSER[stack[-1][0]]}'", line_of(stack[-1][1])) if stack else None
 
-    return F.array_sort(F.array_distinct(F.concat(F.transform(plain, bare), F.flatten(F.transform(froms, members)))))
 
+def bracket_fault(source: Column) -> Column:
+    """(message, line) of the first fault of a text, null where there is none."""
+    @F.pandas_udf("message string, line bigint")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([first_fault(t) or (None, None) for t in texts], columns=["message", "line"]).astype({"line": "Int64"})
 
-def script_imports(content: Column) -> Column:
-    """Module names in import statements and require calls, sorted and distinct."""
-    named = F.regexp_extract_all(content, F.lit(r"""(?m)^\s*import\b(?:[^'"`\n{]*\{[^}'"`]*\})?[^'"`\n{]*['"`]([^'"`\n]+)['"`]"""), F.lit(1))
-    required = F.regexp_extract_all(content, F.lit(r"""\brequire\s*\(\s*['"`]([^'"`]+)['"`]"""), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(named, required)))
+    return found(source)
 
 
 def bracket_issues(source: Column) -> Column:
     """Per bracket kind: closed too early or left open, once strings are taken out.
 
-    Kinds are counted on their own, so crossings such as ``([)]`` stay unflagged.
+    Kinds are counted on their own: a summary for counts over many texts. ``bracket_fault`` tells where a text goes wrong.
     """
     flat = F.replace(source, F.lit("\n"), F.lit(""))
     bare = F.regexp_replace(flat, r"""'[^'\\]*(?:\\.[^'\\]*)*(?:'|$)|"[^"\\]*(?:\\.[^"\\]*)*(?:"|$)|`[^`\\]*(?:\\.[^`\\]*)*(?:`|$)""", "")

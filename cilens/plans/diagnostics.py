@@ -6,6 +6,7 @@ from cilens import rules
 from cilens.functions import text as X
 from cilens.operators import diagnostics as D
 from cilens.plans.registry import cte, query
+from cilens.plans.source import code_symbols
 
 cte("d_own", """
 SELECT *, regexp_extract(file_path, '[^/]*$') || '::' || code || '::' || message AS identity,
@@ -55,17 +56,17 @@ def gate_failure(t):
 
 @query("j11_diagnostic_suspect", r"""
 SELECT g.repo_id, g.file_path || '::<file>' AS symbol_id, regexp_extract(g.file_path, '[^/]*$') AS name, CAST(1 AS BIGINT) AS rank, 'diagnostic' AS ranking_source, g.gate || ' diagnostic at line ' || CAST(g.line AS VARCHAR) AS evidence
-FROM d_gate g WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.repo_id = g.repo_id AND regexp_extract(s.file_path, '[^/]*$') = regexp_extract(g.file_path, '[^/]*$') AND NOT s.is_test)
+FROM d_gate g WHERE NOT EXISTS (SELECT 1 FROM code_symbols s WHERE s.repo_id = g.repo_id AND regexp_extract(s.file_path, '[^/]*$') = regexp_extract(g.file_path, '[^/]*$') AND NOT s.is_test)
  AND EXISTS (SELECT 1 FROM diagnostics d WHERE d.repo_id = g.repo_id AND d.file_path = g.file_path AND d.severity = 'error')
  AND g.repo_id NOT IN (SELECT r.repo_id FROM (SELECT o.repo_id, unnest(regexp_extract_all(o.text, '[\p{L}\p{N}_]+')) AS word FROM (SELECT o.* FROM d_own o JOIN d_gate g ON g.repo_id = o.repo_id AND g.gate = o.gate QUALIFY row_number() OVER (PARTITION BY o.repo_id ORDER BY o.ord) <= 20) o) r
-  JOIN symbols s ON s.repo_id = r.repo_id AND s.name = r.word AND NOT s.is_test AND length(s.name) >= 3)""")
+  JOIN code_symbols s ON s.repo_id = r.repo_id AND s.name = r.word AND NOT s.is_test AND length(s.name) >= 3)""")
 def diagnostic_suspect(t):
     """Gate failures without any candidate symbol, by file or by name; a file with an error report counts as present."""
     from cilens.operators.localize import named_in_text, path_pairs
 
     failures = D.gate_failures(t.diagnostics)
-    linked = path_pairs(t.symbols.where("not is_test"), failures, "failing_file").select("repo_id", F.col("reported_path").alias("failing_file"))
-    named = named_in_text(failures.select(F.col("repo_id").alias("failure_id"), "repo_id", F.col("raw_traceback").alias("section")), t.symbols)
+    linked = path_pairs(code_symbols(t).where("not is_test"), failures, "failing_file").select("repo_id", F.col("reported_path").alias("failing_file"))
+    named = named_in_text(failures.select(F.col("repo_id").alias("failure_id"), "repo_id", F.col("raw_traceback").alias("section")), code_symbols(t))
     alone = (failures.join(linked.distinct(), ["repo_id", "failing_file"], "left_anti")
              .join(named.select(F.col("failure_id").alias("repo_id")).distinct(), "repo_id", "left_anti"))
     return D.diagnostic_suspects(alone, t.diagnostics.where("severity = 'error'"))

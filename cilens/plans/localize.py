@@ -7,6 +7,7 @@ from cilens.functions import text as X
 from cilens.operators import localize as Z, logs as L
 from cilens.plans.graph import edges
 from cilens.plans.registry import cte, query
+from cilens.plans.source import code_symbols
 from cilens.session import cut_lineage
 
 cte("d_frames", """
@@ -17,13 +18,13 @@ cte("d_reported", """
 SELECT DISTINCT repo_id, file_path AS path FROM d_frames_repo UNION SELECT DISTINCT repo_id, failing_file FROM d_failures WHERE failing_file <> ''""")
 cte("d_path_pairs", """
 SELECT s.repo_id, s.file_path AS symbol_path, r.path AS reported_path
-FROM (SELECT DISTINCT repo_id, file_path FROM symbols) s JOIN d_reported r ON s.repo_id = r.repo_id
+FROM (SELECT DISTINCT repo_id, file_path FROM code_symbols) s JOIN d_reported r ON s.repo_id = r.repo_id
  AND (ends_with(lower(s.file_path), lower(r.path)) OR ends_with(lower(r.path), lower(s.file_path)) OR regexp_extract(lower(s.file_path), '[^/]*$') = regexp_extract(lower(r.path), '[^/]*$'))""")
 cte("d_sites", """
 SELECT DISTINCT repo_id, failing_file AS path, failing_line AS line FROM d_failures WHERE failing_file <> '' AND failing_line > 0
 UNION SELECT DISTINCT repo_id, file_path, line_number FROM d_frames_repo""")
 cte("d_at", """
-SELECT repo_id, path, line, arg_min(ord, {'a': end_line - start_line, 'b': ord}) AS ord FROM d_sites x JOIN d_path_pairs p USING (repo_id) JOIN symbols s USING (repo_id)
+SELECT repo_id, path, line, arg_min(ord, {'a': end_line - start_line, 'b': ord}) AS ord FROM d_sites x JOIN d_path_pairs p USING (repo_id) JOIN code_symbols s USING (repo_id)
 WHERE p.reported_path = x.path AND s.file_path = p.symbol_path AND line BETWEEN start_line AND end_line GROUP BY ALL""")
 cte("d_words", r"""
 SELECT DISTINCT log_id, repo_id, w AS word FROM (SELECT log_id, unnest(regexp_extract_all(line, '[\p{L}\p{N}_]+')) AS w FROM d_first_lines WHERE language = 'python'
@@ -33,18 +34,18 @@ cte("d_direct", """
 SELECT f.log_id, a.ord, 100 AS points, 0 AS g, 0 AS k, 'encloses the error site ' || failing_file || ':' || CAST(failing_line AS VARCHAR) AS reason
  FROM d_failures f JOIN d_at a ON a.repo_id = f.repo_id AND a.path = failing_file AND a.line = failing_line AND failing_line > 0
 UNION ALL SELECT f.log_id, a.ord, 30 + CAST(floor(20 * ((frame_no - 1) / greatest(n - 1, 1))) AS INT), 1, frame_no - 1, 'appears in the traceback at ' || f.file_path || ':' || CAST(line_number AS VARCHAR)
- FROM d_frames_repo f JOIN d_failures d ON d.log_id = f.log_id JOIN d_at a ON a.repo_id = f.repo_id AND a.path = f.file_path AND a.line = line_number JOIN symbols s ON s.ord = a.ord AND NOT s.is_test
-UNION ALL SELECT w.log_id, s.ord, 25, 2, s.ord, 'named in the traceback' FROM d_words w JOIN symbols s ON s.repo_id = w.repo_id AND s.name = w.word AND NOT s.is_test AND length(s.name) >= 3 WHERE w.log_id IN (SELECT log_id FROM d_failures)
-UNION ALL SELECT f.log_id, s.ord, 15, 3, s.ord, 'defined in the failing file' FROM d_failures f JOIN d_path_pairs p ON p.repo_id = f.repo_id AND p.reported_path = failing_file JOIN symbols s ON s.repo_id = f.repo_id AND s.file_path = p.symbol_path AND NOT s.is_test""")
+ FROM d_frames_repo f JOIN d_failures d ON d.log_id = f.log_id JOIN d_at a ON a.repo_id = f.repo_id AND a.path = f.file_path AND a.line = line_number JOIN code_symbols s ON s.ord = a.ord AND NOT s.is_test
+UNION ALL SELECT w.log_id, s.ord, 25, 2, s.ord, 'named in the traceback' FROM d_words w JOIN code_symbols s ON s.repo_id = w.repo_id AND s.name = w.word AND NOT s.is_test AND length(s.name) >= 3 WHERE w.log_id IN (SELECT log_id FROM d_failures)
+UNION ALL SELECT f.log_id, s.ord, 15, 3, s.ord, 'defined in the failing file' FROM d_failures f JOIN d_path_pairs p ON p.repo_id = f.repo_id AND p.reported_path = failing_file JOIN code_symbols s ON s.repo_id = f.repo_id AND s.file_path = p.symbol_path AND NOT s.is_test""")
 cte("d_seeds", """
 SELECT log_id, ord, sum(points) AS points, min({'g': g, 'k': k}) AS place, string_agg(reason, '; ' ORDER BY g, k, reason) AS reasons FROM d_direct GROUP BY log_id, ord""")
 cte("d_spread", """
-SELECT s.log_id, l.other AS ord, arg_min(y.name, s.place) AS via FROM d_seeds s JOIN (SELECT DISTINCT node, other FROM d_links WHERE NOT other_test) l ON l.node = s.ord JOIN symbols y ON y.ord = s.ord
+SELECT s.log_id, l.other AS ord, arg_min(y.name, s.place) AS via FROM d_seeds s JOIN (SELECT DISTINCT node, other FROM d_links WHERE NOT other_test) l ON l.node = s.ord JOIN code_symbols y ON y.ord = s.ord
 WHERE NOT EXISTS (SELECT 1 FROM d_seeds z WHERE z.log_id = s.log_id AND z.ord = l.other) GROUP BY ALL""")
 cte("d_scored", """
 SELECT log_id AS failure_id, ord, symbol_id, name, file_path, CAST(points + CASE WHEN symbol_type IN ('function', 'method') THEN 5 ELSE 0 END AS BIGINT) AS score,
  reasons || CASE WHEN symbol_type IN ('function', 'method') THEN '; is an executable function or method' ELSE '' END AS evidence
-FROM (SELECT log_id, ord, points, reasons FROM d_seeds UNION ALL SELECT log_id, ord, 10, 'adjacent in the call graph to ' || via FROM d_spread) JOIN symbols USING (ord) WHERE NOT is_test""")
+FROM (SELECT log_id, ord, points, reasons FROM d_seeds UNION ALL SELECT log_id, ord, 10, 'adjacent in the call graph to ' || via FROM d_spread) JOIN code_symbols USING (ord) WHERE NOT is_test""")
 cte("d_pool", """
 SELECT *, row_number() OVER (PARTITION BY failure_id ORDER BY score DESC, file_path, name, symbol_id) AS rank FROM d_scored QUALIFY rank <= 15""")
 # model answers: the pool reversed for even failures plus one unknown id; one in five of those is cut off
@@ -60,7 +61,7 @@ def failures(t):
 
 
 def scored(t, found=None, top=None, explain=False):
-    return Z.score(failures(t) if found is None else found, t.symbols, edges(t), top, explain)
+    return Z.score(failures(t) if found is None else found, code_symbols(t), edges(t), top, explain)
 
 
 def ranked(t, size, found=None):
@@ -90,28 +91,28 @@ def failure_in_repo(t):
 
 @query("j5_path_match", "SELECT * FROM d_path_pairs")
 def path_match(t):
-    return Z.path_pairs(t.symbols, reported(failures(t)))
+    return Z.path_pairs(code_symbols(t), reported(failures(t)))
 
 
-@query("j6_innermost_symbol", "SELECT repo_id, path, line, symbol_id FROM d_at JOIN symbols USING (repo_id, ord)")
+@query("j6_innermost_symbol", "SELECT repo_id, path, line, symbol_id FROM d_at JOIN code_symbols USING (repo_id, ord)")
 def innermost_symbol(t):
     f = failures(t)
-    return Z.innermost(Z.symbols_by_path(t.symbols, reported(f)), Z.sites_of(f)).select("repo_id", "path", "line", "symbol_id")
+    return Z.innermost(Z.symbols_by_path(code_symbols(t), reported(f)), Z.sites_of(f)).select("repo_id", "path", "line", "symbol_id")
 
 
 @query("j7_first_symbol", """
 SELECT repo_id, path, line, arg_min(symbol_id, {'a': CASE WHEN ends_with(lower(symbol_path), lower(path)) OR ends_with(lower(path), lower(symbol_path)) THEN 0 ELSE 1 END, 'b': ord}) AS symbol_id
-FROM d_sites x JOIN d_path_pairs p USING (repo_id) JOIN symbols s USING (repo_id)
+FROM d_sites x JOIN d_path_pairs p USING (repo_id) JOIN code_symbols s USING (repo_id)
 WHERE p.reported_path = x.path AND s.file_path = p.symbol_path AND line BETWEEN start_line AND end_line GROUP BY ALL""")
 def first_symbol(t):
     f = failures(t)
-    return Z.first_enclosing(Z.symbols_by_path(t.symbols, reported(f)), Z.sites_of(f)).select("repo_id", "path", "line", "symbol_id")
+    return Z.first_enclosing(Z.symbols_by_path(code_symbols(t), reported(f)), Z.sites_of(f)).select("repo_id", "path", "line", "symbol_id")
 
 
 @query("j8_named_in_traceback", """
-SELECT log_id AS failure_id, s.ord FROM d_words w JOIN d_failures d USING (log_id) JOIN symbols s ON s.repo_id = w.repo_id AND s.name = w.word AND NOT s.is_test AND length(s.name) >= 3""")
+SELECT log_id AS failure_id, s.ord FROM d_words w JOIN d_failures d USING (log_id) JOIN code_symbols s ON s.repo_id = w.repo_id AND s.name = w.word AND NOT s.is_test AND length(s.name) >= 3""")
 def named_in_traceback(t):
-    return Z.named_in_text(failures(t), t.symbols)
+    return Z.named_in_text(failures(t), code_symbols(t))
 
 
 @query("a1_evidence_score", "SELECT failure_id, symbol_id, score, evidence FROM d_scored")

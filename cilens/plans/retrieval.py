@@ -8,6 +8,7 @@ from cilens.operators import retrieval as V
 from cilens.plans.localize import failures, scored
 from cilens.operators.localize import pool
 from cilens.plans.registry import cte, query
+from cilens.plans.source import code_symbols
 from cilens.session import cut_lineage
 
 cte("d_old", "SELECT repo_id, chunk_id, code, substr(sha256(coalesce(code, '')), 1, 16) AS h FROM chunk_old")
@@ -139,7 +140,7 @@ SELECT failure_id, repo_id, 1 AS framing, trim(name || ' ' || exception_type ||
 UNION ALL SELECT failure_id, repo_id, 2, trim(exception_type || ' ' || exception_message) FROM d_top UNION ALL SELECT failure_id, repo_id, 3, name FROM d_top""")
 cte("d_query_counts", """
 SELECT repo_id, text, (unicode(c) + i - 1) % 3072 AS b, count(*) AS n FROM (SELECT repo_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM (SELECT DISTINCT repo_id, text FROM d_framings)) GROUP BY ALL""")
-cte("d_chunks", "SELECT repo_id, ord, CASE WHEN ord % 23 = 0 THEN '' ELSE py_text END AS code FROM source_parts")
+cte("d_chunks", "SELECT repo_id, ord, code FROM code_symbols JOIN d_py_source USING (repo_id, ord)")
 cte("d_chunk_counts", """
 SELECT repo_id, ord, (unicode(c) + i - 1) % 3072 AS b, count(*) AS n FROM (SELECT repo_id, ord, unnest(string_split(left(code, 2000), '')) AS c, generate_subscripts(string_split(left(code, 2000), ''), 1) AS i FROM d_chunks) WHERE c <> '' GROUP BY ALL""")
 cte("d_query_hits", """
@@ -150,7 +151,7 @@ SELECT repo_id, text, ord, row_number() OVER (PARTITION BY repo_id, text ORDER B
 cte("d_merged", """
 SELECT f.failure_id, h.ord, min({'a': framing, 'b': hit}) AS place FROM d_framings f JOIN d_query_hits h ON h.repo_id = f.repo_id AND h.text = f.text GROUP BY ALL""")
 cte("d_context", """
-SELECT m.failure_id, s.symbol_id AS chunk_id, s.is_test, row_number() OVER (PARTITION BY m.failure_id, s.is_test ORDER BY place) AS n FROM d_merged m JOIN symbols s ON s.ord = m.ord JOIN d_top t ON t.failure_id = m.failure_id
+SELECT m.failure_id, s.symbol_id AS chunk_id, s.is_test, row_number() OVER (PARTITION BY m.failure_id, s.is_test ORDER BY place) AS n FROM d_merged m JOIN code_symbols s ON s.ord = m.ord JOIN d_top t ON t.failure_id = m.failure_id
 WHERE s.symbol_id <> t.symbol_id QUALIFY n <= CASE WHEN s.is_test THEN 3 ELSE 5 END""")
 cte("d_fixes", r"""
 WITH by_type AS (SELECT ord, lower(exception_type) AS kind, row_number() OVER (PARTITION BY lower(exception_type) ORDER BY ord DESC) AS n FROM fix_history QUALIFY n <= 2),
@@ -169,9 +170,8 @@ def top_suspects(t, found=None):
 
 
 def chunks(t):
-    """The source of every symbol; some are empty, as where a file could not be read."""
-    code = F.when(F.col("ord") % 23 == 0, "").otherwise(F.col("py_text"))
-    return t.source_parts.select("repo_id", "ord", F.col("symbol_id").alias("chunk_id"), code.alias("code"), "is_test")
+    """The source of every symbol."""
+    return code_symbols(t).select("repo_id", "ord", F.col("symbol_id").alias("chunk_id"), "code", "is_test")
 
 
 @query("r5_query_framings", "SELECT failure_id, framing::BIGINT AS framing, text FROM d_framings WHERE text <> ''")
@@ -179,7 +179,7 @@ def query_framings(t):
     return V.framings(top_suspects(t)).select("failure_id", "framing", "text")
 
 
-@query("u1_merged_hits", "SELECT failure_id, symbol_id AS chunk_id, CAST(place.a AS BIGINT) AS framing, CAST(place.b AS BIGINT) AS hit FROM d_merged JOIN symbols USING (ord)")
+@query("u1_merged_hits", "SELECT failure_id, symbol_id AS chunk_id, CAST(place.a AS BIGINT) AS framing, CAST(place.b AS BIGINT) AS hit FROM d_merged JOIN code_symbols USING (ord)")
 def merged_hits(t):
     return V.retrieve(top_suspects(t), chunks(t)).select("failure_id", "chunk_id", "place.framing", "place.hit")
 

@@ -20,6 +20,7 @@ _EXC = ("CASE WHEN user_id % 3 = 0 THEN 'ZeroDivisionError: division by zero' "
 _EXC_TYPE = ("CASE WHEN user_id % 3 = 0 THEN 'ZeroDivisionError' "
              "WHEN user_id % 3 = 1 THEN 'KeyError' ELSE 'AssertionError' END")
 _NL = "chr(10)"
+_DOC = '"""'
 # every third of these logs is coloured on each line
 _RED = "CASE WHEN event_id % 3 = 0 THEN concat(chr(27), '[31m') ELSE '' END"
 _PLAIN = "CASE WHEN event_id % 3 = 0 THEN concat(chr(27), '[39m') ELSE '' END"
@@ -105,9 +106,9 @@ SELECT o_orderkey AS ord, o_custkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'dele
     # pieces of source files in three languages, one per symbol; files are joined in ord order
     "source_parts": f"""
 SELECT repo_id, file_path, ord, name, is_test, symbol_id,
- CASE WHEN symbol_type = 'class' THEN concat('class C_', CAST(ord AS STRING), ':', {_NL}, '    def m_', CAST(ord AS STRING), '(self):', {_NL}, '        return self.run_', CAST(ord % 9 AS STRING), '(helper(x))', {_NL}, {_NL}, '    def n(self):', {_NL}, '        pass')
-  ELSE concat(CASE WHEN ord % 3 = 0 THEN 'async def ' ELSE 'def ' END, name, '(x):', {_NL}, '    y = helper_', CAST(ord % 9 AS STRING), '(run(x))', {_NL}, '    def inner_', CAST(ord % 4 AS STRING), '():', {_NL}, '        return deep(y)', {_NL}, {_NL}, '    return wrap (y)') END AS py_text,
- concat('import os, json as j', {_NL}, 'from pkg_', CAST(ord % 5 AS STRING), ' import alpha, beta as b', {_NL}, 'from wide_', CAST(ord % 5 AS STRING), ' import (', {_NL}, '    gamma,  # one, two', {_NL}, '    delta as d,', {_NL}, ')') AS py_head,
+ CASE WHEN symbol_type = 'class' THEN concat('class C_', CAST(ord AS STRING), ':', {_NL}, '    {_DOC}Text that holds', {_NL}, '    def ghost(x):', {_NL}, {_NL}, 'and more', {_NL}, '    {_DOC}', {_NL}, '    def m_', CAST(ord AS STRING), '(self):', {_NL}, '        return self.fn_', CAST(ord * 3 % 200 AS STRING), '(', {_NL}, 'helper(x))', {_NL}, {_NL}, '    def n(self):', {_NL}, '        pass')
+  ELSE concat(CASE WHEN ord % 3 = 0 THEN 'async def ' ELSE 'def ' END, name, '(x):', {_NL}, '    y = fn_', CAST((ord * 7 + 13) % 200 AS STRING), '(run(x))  # def late(', {_NL}, '    def inner_', CAST(ord % 4 AS STRING), '():', {_NL}, '        return deep(y)', {_NL}, {_NL}, '    return wrap (y)') END AS py_text,
+ concat('import os, json as j; import sys', {_NL}, 'from pkg_', CAST(ord % 5 AS STRING), ' import alpha, ', chr(92), {_NL}, '    beta as b', {_NL}, 'from wide_', CAST(ord % 5 AS STRING), ' import (  # see f()', {_NL}, '    gamma,  # one, two', {_NL}, '    delta as d,', {_NL}, ')') AS py_head,
  CASE WHEN is_test THEN concat('it(', CASE WHEN ord % 3 = 0 THEN concat({_NL}, '  ') ELSE '' END, chr(39), 'case ', CAST(ord AS STRING), chr(39), ', () => {{', {_NL}, '  expect(run(1));', {_NL}, '}});')
   WHEN ord % 2 = 0 THEN concat('export const ', name, ' = async (', CASE WHEN ord % 4 = 0 THEN concat({_NL}, '  x,', {_NL}, '  y', {_NL}) ELSE 'x' END, ') => {{', {_NL}, '  return helper_', CAST(ord % 9 AS STRING), '(run(x));', {_NL}, '}};', {_NL})
   ELSE concat('export async function ', name, '(x) {{', {_NL}, '  if (x) {{ run(x); }}', {_NL}, '  return helper_', CAST(ord % 9 AS STRING), '(x);', {_NL}, '}}') END AS js_text,
@@ -122,6 +123,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.steps: dict[str, DataFrame] = {}  # written steps that several parts of a query read
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
