@@ -8,7 +8,7 @@ import corpus_pipeline as P
 from cilens.llm import decontaminate, sentencepieces
 from cilens.llm.common import cut_lineage, table
 
-from test_simhash import plain_fingerprint, roots  # noqa: E402
+from test_shingles import plain_roots  # noqa: E402
 
 
 def test_stages(spark, folder):
@@ -24,7 +24,7 @@ def test_stages(spark, folder):
     assert np.mean([(i in rows[1]) == (y == 1) for i, y in labels.items()]) >= 0.95
 
     ids = sorted(rows[1])
-    root = roots([plain_fingerprint(rows[1][i].text or "", P.SHINGLE_WORDS) for i in ids])
+    root = plain_roots([rows[1][i].text or "" for i in ids])
     assert set(rows[2]) == {ids[k] for k in set(root)}
 
     items = decontaminate.Items([(r.item_id, r.text) for r in table(spark, folder, "benchmark").collect()])
