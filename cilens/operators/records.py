@@ -74,16 +74,17 @@ def latest_records(changes: DataFrame, key: str = "id", order: str = "ord") -> D
     """Table state after a log of inserts, updates and deletes.
 
     An insert starts a record over, a delete removes it and an update only counts on a record
-    that exists then. Per key it takes the last insert not followed by a delete, then the
-    last update since; both are aggregates that combine before the shuffle.
+    that exists then, where it sets the values that it gives (a null gives none). Per key it takes the
+    last insert not followed by a delete, then the last value given since for each column; both are
+    aggregates that combine before the shuffle.
     """
     marks = changes.groupBy(key).agg(
         F.max(F.when(F.col("op") == "insert", F.col(order))).alias("born"),
         F.max(F.when(F.col("op") == "delete", F.col(order))).alias("gone"))
     alive = marks.where("born is not null and (gone is null or gone < born)").select(key, "born")
     since = changes.where("op <> 'delete'").join(alive, key).where(F.col(order) >= F.col("born"))
-    return since.groupBy(key).agg(F.max_by(F.struct("status", "amount"), order).alias("v"), F.max("born").alias("created_ord"),
-                                  F.max(order).alias("updated_ord")).select(key, "v.status", "v.amount", "created_ord", "updated_ord")
+    given = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    return since.groupBy(key).agg(given("status"), given("amount"), F.max("born").alias("created_ord"), F.max(order).alias("updated_ord"))
 
 
 def incident_status(asked: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def session_validity(t):
 @query("u6_keyed_table", """
 WITH m AS (SELECT id, max(ord) FILTER (op = 'insert') AS born, max(ord) FILTER (op = 'delete') AS gone FROM change_log GROUP BY id),
 s AS (SELECT c.*, m.born FROM change_log c JOIN m USING (id) WHERE born IS NOT NULL AND (gone IS NULL OR gone < born) AND ord >= born)
-SELECT id, arg_max(status, ord) AS status, arg_max(amount, ord) AS amount, max(born) AS created_ord, max(ord) AS updated_ord FROM s GROUP BY id""")
+SELECT id, arg_max(status, ord) FILTER (status IS NOT NULL) AS status, arg_max(amount, ord) FILTER (amount IS NOT NULL) AS amount, max(born) AS created_ord, max(ord) AS updated_ord FROM s GROUP BY id""")
 def keyed_table(t):
     return R.latest_records(t.change_log)
 

@@ -1,6 +1,6 @@
 """Retrieval queries."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cilens import rules
 from cilens.functions import text as X
@@ -109,26 +109,29 @@ def hash_embedding(t):
 
 
 @query("r3_nearest_vectors", """
-WITH q AS (SELECT label, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
-d AS (SELECT CAST(q.label AS BIGINT) AS query_id, vec_id AS item_id, list_sum(list_transform(list_zip(embedding, qv), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS cost FROM embeddings e JOIN q ON q.label = e.label)
+WITH q AS (SELECT vec_id AS query_id, label, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, vec_id AS item_id, list_sum(list_transform(list_zip(embedding, qv), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS cost FROM embeddings e JOIN q ON q.label = e.label)
 SELECT query_id, item_id, round(cost, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY cost, item_id) AS hit FROM d QUALIFY hit <= 5""")
 def nearest_vectors(t):
-    """Five nearest vectors to each repository's first vector, inside that repository."""
-    items = t.embeddings.select(F.col("vec_id").alias("item_id"), F.concat(F.lit("table|"), F.col("label").cast("string")).alias("part"), F.col("embedding").alias("vec"))
-    queries = (t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec"))
-               .select(F.col("label").cast("bigint").alias("query_id"), F.concat(F.lit("table|"), F.col("label").cast("string")).alias("part"), "vec"))
+    """Five nearest vectors to every twentieth vector, among all of its repository."""
+    part = F.concat(F.lit("table|"), F.col("label").cast("string")).alias("part")
+    items = t.embeddings.select(F.col("vec_id").alias("item_id"), part, F.col("embedding").alias("vec"))
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), part, F.col("embedding").alias("vec"))
     return V.nearest(items, queries, rules.CODE_HITS).select("query_id", "item_id", F.round("cost", 6).alias("distance"), "hit")
 
 
 @query("r4_keyword_fallback", r"""
-WITH w AS (SELECT DISTINCT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS repo_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark),
-s AS (SELECT query_id, doc_id AS item_id, count(*) AS score FROM w JOIN documents ON source = repo_id AND (contains(lower(text), word) OR contains('doc_' || CAST(doc_id AS VARCHAR), word)) WHERE word <> '' GROUP BY ALL)
+WITH r AS (SELECT repo_id, row_number() OVER (ORDER BY repo_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT coalesce(source, '') AS repo_id FROM documents)),
+w AS (SELECT DISTINCT item_id AS query_id, repo_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark JOIN r ON item_id % n = k),
+s AS (SELECT query_id, doc_id AS item_id, count(*) AS score FROM w JOIN documents ON coalesce(source, '') = repo_id AND (contains(lower(text), word) OR contains('doc_' || CAST(doc_id AS VARCHAR), word)) WHERE word <> '' GROUP BY ALL)
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS hit FROM s QUALIFY hit <= 3""")
 def keyword_fallback(t):
-    """Each benchmark item asks one source, as a repository, and finds nothing elsewhere."""
-    items = t.documents.select(F.col("doc_id").alias("item_id"), F.col("source").alias("repo_id"), F.col("text").alias("code"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"))
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo_id"), "text")
-    return V.keyword_hits(items, asked)
+    """Each benchmark item asks one source, as a repository, and finds nothing elsewhere; sources are taken in turn."""
+    repo = F.coalesce("source", F.lit("")).alias("repo_id")
+    items = t.documents.select(F.col("doc_id").alias("item_id"), repo, F.col("text").alias("code"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"))
+    sources = cut_lineage(t.documents.select(repo).distinct().withColumn("turn", F.row_number().over(Window.orderBy("repo_id")) - 1))  # a row per source
+    asked = t.benchmark.withColumn("turn", F.pmod("item_id", F.lit(max(sources.count(), 1)))).join(F.broadcast(sources), "turn")
+    return V.keyword_hits(items, asked.select(F.col("item_id").alias("query_id"), "repo_id", "text"))
 
 
 # --- the chain from top suspects to their context ----------------------------------------

@@ -49,11 +49,11 @@ def heartbeats(t):
 
 
 @query("t5_bounded_backlog", """
-SELECT subscriber_id, incident_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY subscriber_id, incident_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) ORDER BY ts, event_id) AS p FROM telemetry JOIN d_subs USING (incident_id)) WHERE p <= 2""")
+SELECT subscriber_id, incident_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY subscriber_id, incident_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) ORDER BY ts, event_id) AS p FROM telemetry JOIN d_subs USING (incident_id)) WHERE p <= 1000""")
 def bounded_backlog(t):
-    """One batch per day and room for two events, so that the bound is reached on this data."""
+    """One batch per day; events beyond the room of a subscriber are dropped."""
     day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400)
-    return I.backlog(t.telemetry.join(subscriptions(t), "incident_id"), day, capacity=2).select("subscriber_id", "incident_id", "event_id")
+    return I.backlog(t.telemetry.join(subscriptions(t), "incident_id"), day, capacity=rules.BACKLOG).select("subscriber_id", "incident_id", "event_id")
 
 
 _STATE = """SELECT incident_id, arg_max(output_summary, {'t': ts, 'e': event_id}) AS state, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM telemetry WHERE action = 'STATE_TRANSITION' GROUP BY incident_id"""

@@ -18,7 +18,7 @@ def build_session(app: str = "cilens", master: str | None = None, partitions: in
         builder = builder.master(master).config("spark.driver.memory", os.environ.get("CILENS_DRIVER_MEMORY", "12g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return (
+    session = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -26,6 +26,8 @@ def build_session(app: str = "cilens", master: str | None = None, partitions: in
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship(session)
+    return session
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,15 +47,12 @@ def scratch_root(spark: SparkSession) -> str:
     Only where driver and executors are one process (unit tests) may the setting be absent; then a folder of our own
     is chosen.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="cilens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    context, root = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="cilens-"))
+    return root or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -102,7 +102,8 @@ SELECT p_partkey AS sku, CAST(p_size * 20 AS BIGINT) AS available_qty, p_retailp
     "stock_requests": """
 SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey + CASE WHEN l_orderkey % 50 = 0 THEN 1000000 ELSE 0 END AS sku, CAST(l_quantity AS BIGINT) AS qty, l_shipdate AS ts, l_suppkey, l_extendedprice FROM lineitem""",
     "change_log": """
-SELECT o_orderkey AS ord, o_custkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS op, o_orderstatus AS status, o_totalprice AS amount, o_orderdate AS ts FROM orders""",
+SELECT o_orderkey AS ord, o_custkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS op,
+ CASE WHEN o_orderkey % 5 <> 3 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 4 THEN o_totalprice END AS amount, o_orderdate AS ts FROM orders""",
     # pieces of source files in three languages, one per symbol; files are joined in ord order
     "source_parts": f"""
 SELECT repo_id, file_path, ord, name, is_test, symbol_id,

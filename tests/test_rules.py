@@ -223,3 +223,9 @@ def test_reservation_stream_equals_table_job(spark, tmp_path):
     got = {(r.sku, r.order_id): r.granted for r in I.run_to_table(live, "reserve").collect()}
     want = {(r.sku, r.order_id): r.granted for r in stock.reserve(rows, items).collect()}
     assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_an_update_sets_only_what_it_gives(spark):
+    log = [(1, 7, "insert", "new", 5.0), (2, 7, "update", None, 6.0), (3, 7, "update", "old", None), (4, 8, "insert", None, 1.0), (5, 9, "update", "x", 1.0)]
+    got = R.latest_records(spark.createDataFrame(log, "ord bigint, id bigint, op string, status string, amount double")).collect()
+    assert {r.id: (r.status, r.amount, r.created_ord, r.updated_ord) for r in got} == {7: ("old", 6.0, 1, 3), 8: (None, 1.0, 4, 4)}
