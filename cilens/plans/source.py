@@ -12,12 +12,19 @@ FILE_LINES = 1_000_000
 
 
 def files(t, kind):
-    """Whole files put together from their parts, with a head line block; a file has few parts. ``file_no`` numbers them."""
+    """Whole files put together from their parts, with a head line block; a file has few parts. ``file_no`` numbers them.
+
+    They are written once per query, as a tree of files would be there already, and read by enough tasks.
+    """
+    if f"{kind}_files" in t.steps:
+        return t.steps[f"{kind}_files"]
     suffix = {"py": ".py", "js": ".ts", "cpp": ".cpp"}[kind]
     head = "''" if kind == "cpp" else f"min_by({kind}_head, ord)"
-    return t.source_parts.groupBy("repo_id", F.concat(F.regexp_replace("file_path", r"\.py$", ""), F.lit(suffix)).alias("file_path")).agg(
+    whole = t.source_parts.groupBy("repo_id", F.concat(F.regexp_replace("file_path", r"\.py$", ""), F.lit(suffix)).alias("file_path")).agg(
         F.min("ord").alias("file_no"),
         F.concat(F.expr(head), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", f"{kind}_text"))), lambda x: x[f"{kind}_text"]), "\n")).alias("content"))
+    t.steps[f"{kind}_files"] = spread(cut_lineage(whole))
+    return t.steps[f"{kind}_files"]
 
 
 def code_symbols(t):
