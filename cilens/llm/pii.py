@@ -3,9 +3,12 @@
 Protected entities are e-mail and internet addresses, payment cards and phone numbers, found by pattern and check.
 A term near an entity can give it away. Over the whole corpus, with p the share of documents, the point-wise mutual
 information log p(t, e) / (p(t) p(e)) says how strongly term t reveals entity e, and the entity's own information
--log p(e) is the most it can reach. Their ratio is the disclosure of t for e. Terms that stand near e in at least
-two different contexts are generalised from a disclosure of ``GENERALISE`` on and removed from ``REMOVE`` on; terms
-that occur everywhere have a low ratio and stay. A term found so is masked wherever it stands, in all documents.
+-log p(e) is the most it can reach. Their ratio is the disclosure of t for e, and terms are generalised from a
+disclosure of ``GENERALISE`` on and removed from ``REMOVE`` on; terms that occur everywhere have a low ratio and stay.
+The ratio alone rises with the corpus for any rare word, so a term must also stand near e in most of its documents:
+the lower bound of the share p(e | t), at ``SURE`` standard errors, has to reach ``SHARE``, which no number of other
+documents changes. And it must do so in unrelated contexts: near copies of one context, which share one of their
+``CONTEXT_KEYS`` min-wise keys, count as one. A term found so is masked wherever it stands, in all documents.
 
 One pass over the texts writes, per document, the entities and the terms within ``REACH`` words of them, and per
 task the number of its documents that hold each word. What follows joins narrow tables: pairs of entity and term are
@@ -16,6 +19,7 @@ second pass marks the words that are disclosing terms.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import partial
 from itertools import islice
@@ -30,7 +34,11 @@ KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 REACH = 8
 GENERALISE = 0.7
 REMOVE = 0.9
-CONTEXTS = 2
+#: Least share of a term's documents, by its lower confidence bound, in which it stands near the entity; and that bound's width.
+SHARE = 0.5
+SURE = 1.96
+#: Min-wise keys of a context; two contexts are unrelated if all of them differ.
+CONTEXT_KEYS = 4
 #: Disclosing terms that are sent to the tasks at a time.
 TERM_BLOCK = 1 << 20
 #: What a span's text becomes; a generalised term keeps the fact that a word stood there.
@@ -41,7 +49,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile("[A-Za-z\u0080-\U0010ffff]{3,}+")
-_WINDOW = 240
+_TURNS = np.array([2 * k * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(1, CONTEXT_KEYS + 1)], np.uint64)
 _HELD = 1 << 20
 
 
@@ -91,18 +99,31 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[bytes, list[tuple[int, int, str]]]]:
-    """For each entity its name and the terms around it, (start, end, word): up to ``REACH`` on either side."""
-    out = []
-    for s, k, e in spans:
-        value = text[s:e].lower() if k < 2 else _only_digits(text[s:e])
-        terms = []
-        for a, b, near in ((max(0, s - _WINDOW), s, -REACH), (e, min(len(text), e + _WINDOW), REACH)):
-            side = [(m.start(), m.end(), m.group()) for m in _TERM.finditer(text, a, b)]
-            # a word that the window cuts, or that runs into an entity, is none
-            side = [t for t in side if (t[0] > a or a in (0, e)) and (t[1] < b or b in (len(text), s)) and all(t[1] <= x or t[0] >= y for x, _, y in spans)]
-            terms += side[near:] if near < 0 else side[:near]
-        out.append((f"{KINDS[k]}:{value}".encode(), terms))
-    return out
+    """For each entity its name and the terms around it, (start, end, word): the nearest ``REACH`` on either side.
+
+    One pass over the words holds the last few and the entities that still wait for words. A word that runs into an entity is none.
+    """
+    around: list[tuple[list, list]] = [([], []) for _ in spans]
+    last, opened, waiting, over, at = deque(maxlen=REACH), 0, [], 0, 0
+    for m in _TERM.finditer(text) if spans else ():
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            over, at = max(over, spans[at][2]), at + 1
+        if a < over:  # runs into an entity
+            continue
+        while opened < at:
+            around[opened][0].extend(last)
+            waiting.append(opened)
+            opened += 1
+        for k in waiting:
+            around[k][1].append((a, b, m.group()))
+        if waiting:
+            waiting = [k for k in waiting if len(around[k][1]) < REACH]
+        last.append((a, b, m.group()))
+    for k in range(opened, len(spans)):
+        around[k][0].extend(last)
+    names = [f"{KINDS[k]}:{text[s:e].lower() if k < 2 else _only_digits(text[s:e])}".encode() for s, k, e in spans]
+    return [(name, before + after) for name, (before, after) in zip(names, around)]
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -111,8 +132,16 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return slice_hashes(LOWER[data], np.concatenate(([0], ends[:-1])) if words else ends, ends).view(np.int64)
 
 
+def _contexts(terms: list[int]) -> list[list[int]]:
+    """For each term of one context, min-wise keys of the other words in it; zeros where there are none."""
+    h = np.array(terms, np.int64).view(np.uint64)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.where((h[:, None] != h[None, :])[:, :, None], (h[:, None] * _TURNS)[None], none).min(axis=1, initial=none)
+    return np.where(least == none, np.uint64(0), least).view(np.int64).tolist()
+
+
 _SCHEMA = ("doc_id bigint, h bigint, base array<struct<s:int,k:int,e:int>>, entities array<bigint>, "
-           "near array<struct<s:int,e:int,entity:bigint,term:bigint,context:bigint,first:boolean>>, words array<bigint>, counts array<int>")
+           "near array<struct<s:int,e:int,entity:bigint,term:bigint,contexts:array<bigint>,first:boolean>>, words array<bigint>, counts array<int>")
 
 
 def _document_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +189,13 @@ def _scan(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             names = _hashes([name for name, _ in around]).tolist()
             named.append(list(set(names)))
             words = _hashes([t[2].encode("utf-8", "surrogatepass") for _, terms in around for t in terms]).tolist()
-            contexts = _hashes([" ".join(t[2] for t in terms).encode("utf-8", "surrogatepass") for _, terms in around]).tolist()
             rows, seen, at = [], set(), 0
-            for name, context, (_, terms) in zip(names, contexts, around):
-                for s, e, _ in terms:
-                    pair = (name, words[at])
-                    rows.append({"s": s, "e": e, "entity": name, "term": words[at], "context": context, "first": pair not in seen})
-                    seen.add(pair)
-                    at += 1
+            for name, (_, terms) in zip(names, around):
+                here = words[at:at + len(terms)]
+                at += len(terms)
+                for (s, e, _), word, keys in zip(terms, here, _contexts(here) if here else ()):
+                    rows.append({"s": s, "e": e, "entity": name, "term": word, "contexts": keys, "first": (name, word) not in seen})
+                    seen.add((name, word))
             near.append(rows)
         nothing = [None] * len(ids)
         yield make([ids, text_hash, base, named, near, nothing, nothing])
@@ -248,8 +276,10 @@ def find(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     rows = scanned.where("base is not null")
     total = rows.count()
     near = rows.where("size(near) > 0").select("doc_id", "h", F.explode("near").alias("n")).select("doc_id", "h", "n.*")
-    pairs = (near.groupBy("entity", "term").agg(F.sum(F.col("first").cast("bigint")).alias("n_pair"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-             .where("c1 <> c2").select("entity", "term", "n_pair"))
+    keys = [F.get("contexts", F.lit(k)) for k in range(CONTEXT_KEYS)]
+    pairs = (near.groupBy("entity", "term").agg(F.sum(F.col("first").cast("bigint")).alias("n_pair"), *[F.min(k).alias(f"least{i}") for i, k in enumerate(keys)],
+                                                *[F.max(k).alias(f"most{i}") for i, k in enumerate(keys)])
+             .where(" and ".join(f"least{i} <> most{i}" for i in range(CONTEXT_KEYS))).select("entity", "term", "n_pair"))
     pairs = cut_lineage(pairs)
     held = rows.where("size(entities) > 0").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = (scanned.where("words is not null").select(F.explode(F.arrays_zip("words", "counts")).alias("z"))
@@ -258,8 +288,11 @@ def find(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     size = F.lit(float(max(total, 1)))
     known = F.log(F.col("n_pair") * size / (F.col("n_term") * F.col("n_entity")))
     most = F.log(size / F.col("n_entity"))
+    z = F.lit(SURE * SURE)
+    share = F.least(F.col("n_pair") / F.col("n_term"), F.lit(1.0))
+    sure = (share + z / (2 * F.col("n_term")) - F.lit(SURE) * F.sqrt((share * (1 - share) + z / (4 * F.col("n_term"))) / F.col("n_term"))) / (1 + z / F.col("n_term"))
     telling = cut_lineage(pairs.join(held, "entity").join(words, "term")
-                          .withColumn("d", F.when(most > 0, known / most).otherwise(F.lit(0.0))).where(F.col("d") >= GENERALISE)
+                          .withColumn("d", F.when(most > 0, known / most).otherwise(F.lit(0.0))).where((F.col("d") >= GENERALISE) & (sure >= SHARE))
                           .groupBy("term").agg(F.max(F.when(F.col("d") >= REMOVE, 5).otherwise(4)).alias("k")))
     more = _everywhere(docs, telling, text)
     return rows.select("doc_id", "h", "base"), more
@@ -268,8 +301,8 @@ def find(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, h, base, more) for every row of ``docs``, ``more`` sorted and empty where no term discloses.
 
-    A null text is empty. Each row counts as a document, repeated ones too, but copies of one context do not make a
-    term disclosing. Null ids are kept. Other columns are not read; an empty table gives no rows.
+    A null text is empty. Each row counts as a document, repeated ones too, but copies and near copies of one context
+    do not make a term disclosing. Null ids are kept. Other columns are not read; an empty table gives no rows.
     """
     base, more = find(docs, text)
     m = more.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.array_sort("more").alias("more"))
@@ -279,9 +312,10 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with entities and disclosing terms replaced by ``MASKS``; a null text stays null, other columns stay."""
-    more = find(docs, text)[1].toDF("__pii_id", "__pii_h", "__pii_more")
-    same = docs["doc_id"].cast("bigint").eqNullSafe(more["__pii_id"]) & (F.xxhash64(whole_text(docs, text)) == more["__pii_h"])
-    joined = docs.join(more, same, "left").select(*[docs[c] for c in docs.columns], more["__pii_more"])
+    stem = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of the input, so none clashes
+    more = find(docs, text)[1].toDF(f"{stem}id", f"{stem}h", f"{stem}more")
+    same = docs["doc_id"].cast("bigint").eqNullSafe(more[f"{stem}id"]) & (F.xxhash64(whole_text(docs, text)) == more[f"{stem}h"])
+    joined = docs.join(more, same, "left").select(*[docs[c] for c in docs.columns], more[f"{stem}more"])
     at = joined.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Entities against the plain patterns, disclosure against counts by hand."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -58,6 +59,79 @@ def test_terms_that_only_stand_near_an_entity_are_found(spark):
     assert "Zanzibar" not in clean[300] and "[EMAIL]" in clean[300] and clean[400] == "Once [IP] upon" and clean[5] == text[5]
 
 
+def plain_telling(texts):
+    """Terms and what becomes of them, by counting pairs of entity and term in plain loops."""
+    held, near, counts = {}, {}, {}
+    for i, text in enumerate(texts):
+        spans = pii.entities(text)
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer("[A-Za-z\u0080-\U0010ffff]{3,}", text)]
+        for word in {w for _, _, w in words}:
+            counts[word] = counts.get(word, 0) + 1
+        free = [w for w in words if all(w[1] <= x or w[0] >= y for x, _, y in spans)]
+        for s, k, e in spans:
+            name = (k, text[s:e].lower())
+            held.setdefault(name, set()).add(i)
+            around = [w for w in free if w[1] <= s][-pii.REACH:] + [w for w in free if w[0] >= e][:pii.REACH]
+            for _, _, word in around:
+                near.setdefault((name, word), []).append((i, frozenset(w for _, _, w in around) - {word}))
+    out = {}
+    for (name, word), seen in near.items():
+        n, total = len({i for i, _ in seen}), counts[word]
+        share, z = n / total, pii.SURE ** 2
+        low = (share + z / (2 * total) - pii.SURE * ((share * (1 - share) + z / (4 * total)) / total) ** 0.5) / (1 + z / total)
+        most = math.log(len(texts) / len(held[name]))
+        d = math.log(n * len(texts) / (total * len(held[name]))) / most if most > 0 else 0
+        # contexts of these texts either hardly meet or are near copies
+        unrelated = any(len(a & b) < 0.5 * len(a | b) for _, a in seen for _, b in seen)
+        if unrelated and low >= pii.SHARE and d >= pii.GENERALISE:
+            out[word] = max(out.get(word, 0), 5 if d >= pii.REMOVE else 4)
+    return out
+
+
+def test_disclosure_equals_counts_in_plain_loops(spark):
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vocabulary = [letters(6) for _ in range(3000)]
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [words(20) for _ in range(300)]
+    texts += [f"{words(9)} quarterback boss@corp.example.com {words(9)}" for _ in range(8)]
+    texts += [f"{words(9)} landmark {'boss@corp.example.com' if k < 11 else ''} {words(9)}" for k in range(12)]
+    texts += [f"{words(9)} sometimes {'10.1.2.3' if k < 3 else ''} {words(9)}" for k in range(14)]
+    copy = f"{words(9)} oncewritten 10.9.9.9 {words(9)}".split()
+    texts += [" ".join(copy[:k % 5] + [letters(5)] + copy[k % 5 + 1:]) for k in range(12)]  # near copies: one context
+    found = {}
+    for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect():
+        found |= {texts[r.doc_id][m.s:m.e].lower(): m.k for m in r.more}
+    want = plain_telling(texts)
+    assert found == want and {"quarterback", "landmark"} <= set(found) and not {"sometimes", "oncewritten"} & set(found)
+
+
+def test_rare_words_near_an_entity_by_chance_stay_in_a_large_corpus(spark):
+    # each rare word stands near the twice-seen entity in two of its 21 documents, beside 100,000 other documents
+    rows = spark.range(100_000).selectExpr("id as doc_id", "concat('plain text number ', translate(string(id), '0123456789', 'abcdefghij')) as text")
+    rng = random.Random(9)
+    chance = [(200_000 + k, f"{filler(rng)} seldomly {'rare.mail@corp.example.com' if k < 2 else ''} {filler(rng)}") for k in range(21)]
+    chance += [(300_000 + k, f"{filler(rng)} Zanzibar boss.man@corp.example.com {filler(rng)}") for k in range(6)]
+    clean = pii.sanitised(rows.unionByName(spark.createDataFrame(chance, "doc_id bigint, text string")))
+    text = {r.doc_id: r.text for r in clean.where("doc_id >= 200000").collect()}
+    assert all("seldomly" in text[k] for k, _ in chance[:21]) and not any("Zanzibar" in text[k] for k, _ in chance[21:])
+    assert not any("[EMAIL]" in t and "@" in t for t in text.values())
+    assert clean.where("doc_id < 200000 and text not like 'plain text number%'").isEmpty()
+
+
+def test_the_neighbourhood_is_counted_in_words_only():
+    text = "early " + "x" * 500 + " " + "y" * 400 + " boss@corp.example.com " + "1" * 1000 + " late"
+    (_, terms), = pii.nearby(text, pii.entities(text))
+    assert [t[2][:5] for t in terms] == ["early", "xxxxx", "yyyyy", "late"]
+    many = "1.2.3.4 " * 50_000 + "word"
+    assert [t[2] for _, terms in pii.nearby(many, pii.entities(many)) for t in terms] == ["word"] * 50_000
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    docs = spark.createDataFrame([(1, "a boss@corp.example.com", "x", "y")], "doc_id int, text string, __pii_id string, h string")
+    assert pii.sanitised(docs).collect() == [(1, "a [EMAIL]", "x", "y")]
+
+
 def test_document_words_count_documents():
     texts = ["a bee see bee", "", "see SEE dog", "bee"]
     words, counts = pii._document_words([t.encode() for t in texts])
