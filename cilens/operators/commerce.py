@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cilens import rules
+from cilens.operators.prefix import running_totals
 from cilens.operators.records import lookup
+from cilens.session import cut_lineage
 
 MONEY = "decimal(20,4)"
 
@@ -68,3 +70,43 @@ def available(requests: DataFrame, stock: DataFrame) -> DataFrame:
     """Whether each request could be met from stock on hand; an unknown product never is."""
     return requests.join(stock.select("sku", "available_qty"), "sku", "left").withColumn(
         "available", F.coalesce(F.col("available_qty") >= F.col("qty"), F.lit(False))).drop("available_qty")
+
+
+def settle(orders: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
+    """Every order with ``granted``: in order of (ts, order_id), an order takes all it asks for or nothing.
+
+    orders: order_id (unique), ts; lines: order_id, sku, qty (not negative, null is none), lines of one product are
+    added up; stock: sku, available_qty. An order without lines is granted, one that names an unknown product is not.
+
+    Orders depend on each other through every product they share, so they are settled in rounds between two bounds.
+    Before an order, a product has lost at least what granted orders took and at most that and all that open orders
+    ask for. An order that fits under the upper bound for each of its products is granted, one that does not fit under
+    the lower bound for some product is rejected, and granted orders in front of the first open one leave the table.
+    Bounds are running totals, so no product's orders meet in one task: the range sort that numbers the orders cuts
+    them into ranges of equal size, whatever their times, and these are the buckets. The first open order is always
+    settled; in practice each round settles a third or more.
+    """
+    # numbers rise with the sort, and their upper bits name the range
+    placed = cut_lineage(orders.select("order_id", "ts").orderBy("ts", "order_id").select("order_id", F.monotonically_increasing_id().alias("place")))
+    asked = lines.groupBy("order_id", "sku").agg(F.coalesce(F.sum("qty"), F.lit(0)).cast("bigint").alias("qty"))
+    live = cut_lineage(asked.join(placed, "order_id").join(stock.select("sku", "available_qty"), "sku", "left").select(
+        "place", "sku", "qty", F.coalesce("available_qty", F.lit(-1)).cast("bigint").alias("rest"), F.lit(False).alias("granted")))
+    settled = []
+    while not live.where("not granted").isEmpty():
+        first = live.where("not granted").groupBy("sku").agg(F.min("place").alias("first"))
+        known = live.join(first, "sku")  # products without open orders are done
+        taken = known.where("place < first").groupBy("sku").agg(F.sum("qty").alias("taken"))
+        left = (known.where("place >= first").join(taken, "sku", "left")
+                .select("place", "sku", "qty", (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("rest"), "granted"))
+        run = running_totals(left, ["sku"], F.shiftright("place", 33), ["place"], {"least": F.when(F.col("granted"), F.col("qty")).otherwise(0), "most": F.col("qty")})
+        fits = F.col("most") <= F.col("rest")
+        fails = F.col("qty") > F.col("rest") - F.col("least")
+        verdicts = run.where("not granted").groupBy("place").agg(F.bool_and(fits).alias("fits"), F.bool_or(fails).alias("fails"))
+        step = cut_lineage(left.join(verdicts, "place", "left").select("place", "sku", "qty", "rest", "granted", "fits", "fails"))
+        settled.append(step.where("not granted and (fits or fails)").select("place", F.col("fits").alias("granted")))
+        live = step.where("granted or not fails").select("place", "sku", "qty", "rest", (F.col("granted") | F.col("fits")).alias("granted"))
+    done = placed.select("place").limit(0).withColumn("granted", F.lit(True))
+    for part in settled:
+        done = done.unionByName(part)
+    outcome = done.groupBy("place").agg(F.bool_and("granted").alias("granted"))
+    return placed.join(outcome, "place", "left").select("order_id", F.coalesce("granted", F.lit(True)).alias("granted"))

@@ -7,6 +7,7 @@ from cilens.operators import commerce as C, metrics as M
 from cilens.plans.records import _TOKEN_SQL, _token
 from cilens.operators.records import token_shape
 from cilens.plans.registry import cte, query
+from cilens.session import cut_lineage
 from cilens.streaming import stock as S
 
 STATES = ("CA", "NY", "tx ", "FL", "WA", "IL", "MA", "NC", "GA", "OH", "PA", "ZZ")
@@ -73,20 +74,39 @@ def inventory_valuation(t):
     return t.stock.agg(F.round(F.sum(units * F.col("unit_cost").cast("decimal(18,4)")), 2).cast("double").alias("valuation"))
 
 
-@query("a18_transactions", f"""
-WITH r AS (SELECT order_id, bool_and(coalesce(s.available_qty >= q.qty, false)) AS ok FROM stock_requests q LEFT JOIN stock s USING (sku) GROUP BY order_id),
-x AS (SELECT o_orderkey, coalesce(length(tok) >= 10 AND starts_with(tok, 'Bearer_'), false) AS auth, coalesce(r.ok, true) AS ok FROM orders JOIN (SELECT c_custkey, {_TOKEN_SQL} AS tok FROM customer) ON c_custkey = o_custkey LEFT JOIN r ON r.order_id = o_orderkey)
+cte("d_tokens", f"SELECT o_orderkey AS order_id, o_orderdate AS ts, coalesce(length(tok) >= 10 AND starts_with(tok, 'Bearer_'), false) AS auth FROM orders JOIN (SELECT c_custkey, {_TOKEN_SQL} AS tok FROM customer) ON c_custkey = o_custkey")
+cte("d_wants", "SELECT order_id, sku, sum(qty) AS qty, row_number() OVER (PARTITION BY sku ORDER BY any_value(d.ts), order_id) AS p FROM stock_requests q JOIN d_tokens d USING (order_id) WHERE auth GROUP BY order_id, sku")
+
+
+# an order is settled as soon as it is first in line for all its products; then the next ones step forward
+@query("a18_transactions", """
+WITH RECURSIVE w(kind, id, val, line) USING KEY (kind, id) AS (
+ SELECT 0 AS kind, sku AS id, CAST(max(coalesce(available_qty, -1)) AS BIGINT) AS val, CAST(1 AS BIGINT) AS line FROM d_wants LEFT JOIN stock USING (sku) GROUP BY sku
+ UNION
+ (WITH s AS (SELECT id AS sku, val, line FROM recurring.w WHERE kind = 0),
+  h AS (SELECT order_id, count(*) AS n, bool_and(qty <= val) AS ok FROM d_wants JOIN s ON s.sku = d_wants.sku AND p = line GROUP BY order_id),
+  r AS (SELECT order_id, ok FROM h JOIN (SELECT order_id, count(*) AS n FROM d_wants GROUP BY order_id) USING (order_id, n))
+  SELECT 1, order_id, CAST(ok AS BIGINT), 0 FROM r
+  UNION ALL SELECT 0, d.sku, s.val - CASE WHEN ok THEN qty ELSE 0 END, s.line + 1 FROM r JOIN d_wants d USING (order_id) JOIN s ON s.sku = d.sku)),
+x AS (SELECT d.order_id, d.ts, auth, coalesce(val = 1, true) AS ok, total, last FROM d_tokens d JOIN d_invoices i USING (order_id) LEFT JOIN (SELECT id, val FROM w WHERE kind = 1) k ON k.id = d.order_id LEFT JOIN (SELECT order_id, max(ts) AS last FROM stock_requests GROUP BY 1) z ON z.order_id = d.order_id)
 SELECT count(*) AS transactions, count(*) FILTER (NOT auth) AS auth_failures, count(*) FILTER (auth AND NOT ok) AS inventory_rejections, count(*) FILTER (auth AND ok) AS succeeded,
- CAST(sum(CAST(total AS DECIMAL(20,2))) FILTER (auth AND ok) AS DOUBLE) AS revenue FROM x JOIN d_invoices ON order_id = o_orderkey""")
+ CAST(sum(CAST(total AS DECIMAL(20,2))) FILTER (auth AND ok) AS DOUBLE) AS revenue, round(avg(epoch_ms(last) - epoch_ms(ts)) FILTER (auth AND ok), 3) AS latency_ms, CAST(max(epoch_ms(last) - epoch_ms(ts)) FILTER (auth AND ok) AS BIGINT) AS slowest_ms FROM x""")
 def transactions(t):
-    """Outcome of every order: token first, then stock on hand for each line, then billing."""
-    lines = C.available(t.stock_requests, t.stock).groupBy("order_id").agg(F.bool_and("available").alias("ok"))
+    """Outcome of every order: token first, then stock that earlier orders have left for all its lines, then billing.
+
+    A transaction lasts from its order to its last line.
+    """
     tokens = t.customer.select(F.col("c_custkey").alias("o_custkey"), token_shape(_token()).alias("auth"))
-    runs = (t.orders.select(F.col("o_orderkey").alias("order_id"), "o_custkey").join(tokens, "o_custkey").join(lines, "order_id", "left")
-            .withColumn("ok", F.coalesce("ok", F.lit(True))).join(invoices(t).select("order_id", "total"), "order_id"))
-    good = F.col("auth") & F.col("ok")
-    return runs.agg(F.count(F.lit(1)).alias("transactions"), F.count_if(~F.col("auth")).alias("auth_failures"), F.count_if(F.col("auth") & ~F.col("ok")).alias("inventory_rejections"),
-                    F.count_if(good).alias("succeeded"), F.sum(F.when(good, F.col("total").cast("decimal(20,2)"))).cast("double").alias("revenue"))
+    runs = cut_lineage(t.orders.select(F.col("o_orderkey").alias("order_id"), "o_custkey", F.col("o_orderdate").alias("ts")).join(tokens, "o_custkey").drop("o_custkey"))
+    granted = C.settle(runs.where("auth"), t.stock_requests, t.stock)
+    last = t.stock_requests.groupBy("order_id").agg(F.max("ts").alias("last"))
+    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    done = runs.join(granted, "order_id", "left").join(last, "order_id", "left").join(invoices(t).select("order_id", "total"), "order_id")
+    good = F.col("auth") & F.col("granted")
+    took = F.when(good, millis("last") - millis("ts"))
+    return done.agg(F.count(F.lit(1)).alias("transactions"), F.count_if(~F.col("auth")).alias("auth_failures"), F.count_if(F.col("auth") & ~F.col("granted")).alias("inventory_rejections"),
+                    F.count_if(good).alias("succeeded"), F.sum(F.when(good, F.col("total").cast("decimal(20,2)"))).cast("double").alias("revenue"),
+                    F.round(F.avg(took), 3).alias("latency_ms"), F.max(took).alias("slowest_ms"))
 
 
 @query("j17_default_lookup", f"""
@@ -148,8 +168,6 @@ _WALK = """WITH RECURSIVE w AS (SELECT sku, p, order_id, line_no, l_suppkey, l_e
 SELECT sku, order_id, line_no, qty, granted, CASE WHEN granted THEN 'RES_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END ELSE '' END AS reservation_id
 FROM (SELECT *, row_number() OVER (PARTITION BY granted ORDER BY ts, order_id, line_no, l_suppkey, l_extendedprice, sku) AS n FROM w)""")
 def stock_reservation(t):
-    from cilens.session import cut_lineage
-
     done = cut_lineage(S.reserve(t.stock_requests, t.stock))
     log = S.reservation_log(done).select("sku", "order_id", "line_no", "qty", "granted", "reservation_id")
     return log.unionByName(done.where("not granted").select("sku", "order_id", "line_no", "qty", "granted", F.lit("").alias("reservation_id")))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cilens.operators import localize as Z, metrics as M, prefix, retrieval as V
+from cilens.operators import commerce as C, localize as Z, metrics as M, prefix, retrieval as V
 from cilens.streaming import stock as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -45,6 +45,39 @@ def test_adversarial_quantities_finish_in_rounds(spark):
     assert got == sequential(rows, {1: 100})
 
 
+def one_by_one(orders, lines, stock):
+    left, wants = dict(stock), {}
+    for order, sku, qty in lines:
+        wants.setdefault(order, {}).setdefault(sku, 0)
+        wants[order][sku] += qty or 0
+    out = {}
+    for order, _ in sorted(orders, key=lambda o: (o[1], o[0])):
+        want = wants.get(order, {})
+        out[order] = all(qty <= left.get(sku, -1) for sku, qty in want.items())
+        if out[order]:
+            for sku, qty in want.items():
+                left[sku] -= qty
+    return out
+
+
+def test_orders_of_several_products_equal_a_sequential_loop(spark):
+    rng = random.Random(8)
+    stock = {1: 2000, 2: 90, 3: 5, 4: 400, 5: 0}
+    items = spark.createDataFrame(list(stock.items()), "sku bigint, available_qty bigint")
+    for same_time in (False, True):  # all orders at one time, so only their ids order them
+        orders = [(i, T0 + dt.timedelta(hours=0 if same_time else rng.randint(0, 300))) for i in range(400)]
+        lines = [(i, sku, rng.choice([None, *range(40)])) for i in range(390) for sku in {1, rng.randint(2, 9)} | ({rng.randint(2, 4)} if i % 5 == 0 else set())]
+        lines = [x for x in lines if x[1] < 7] + [(7, 4, 1), (7, 4, 1), (9, 4, 300), (9, 4, 300)]  # lines of one product are added up
+        got = C.settle(spark.createDataFrame(orders, "order_id bigint, ts timestamp_ntz"), spark.createDataFrame(lines, "order_id bigint, sku bigint, qty bigint"), items)
+        want = one_by_one(orders, lines, stock)
+        assert {r.order_id: r.granted for r in got.collect()} == want and 30 < sum(want.values()) < 390
+
+
+def test_settling_nothing(spark):
+    orders, lines = spark.createDataFrame([], "order_id bigint, ts timestamp_ntz"), spark.createDataFrame([], "order_id bigint, sku bigint, qty bigint")
+    assert C.settle(orders, lines, spark.createDataFrame([], "sku bigint, available_qty bigint")).count() == 0
+
+
 def test_packing_equals_greedy_loop_for_any_chunk(spark):
     rng = random.Random(5)
     texts = [("hot" if i % 3 else "cold", i * 7, "x" * rng.choice([0, 10, 400, 4000, 13000, 20000])) for i in range(900)]
