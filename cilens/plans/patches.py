@@ -6,6 +6,8 @@ from cilens import rules
 from cilens.functions import text as X
 from cilens.operators import patches as P
 from cilens.plans.registry import cte, query
+from cilens.plans.source import files
+from cilens.session import cut_lineage
 
 cte("d_diff_lines", """
 SELECT patch_id, unnest(arr) AS line, generate_subscripts(arr, 1) AS line_no FROM (SELECT patch_id, string_split(regexp_replace(unified_diff, '\\n$', ''), chr(10)) AS arr FROM patches WHERE unified_diff <> '')""")
@@ -73,23 +75,32 @@ def risk_signals(t):
 
 
 @query("j16_hunk_anchor", """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-h AS (SELECT doc_id, ls, CASE WHEN doc_id % 17 = 0 THEN [] WHEN len(ls) >= 3 THEN ls[2:3] ELSE ls[1:1] END AS pat, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS pref FROM d),
-q AS (SELECT doc_id, ls, pref, CASE WHEN doc_id % 9 = 0 THEN list_transform(pat, lambda x: '   ' || x) WHEN doc_id % 23 = 0 THEN list_transform(pat, lambda x: x || ' nowhere') ELSE pat END AS pat FROM h),
+WITH f AS (SELECT file_no AS patch_id, string_split(content, chr(10)) AS ls FROM d_py_files),
+k AS (SELECT patch_id, ls, unnest(range(0, len(ls) // 5)) AS k FROM f),
+q AS (SELECT patch_id, k, ls, greatest(5 * k + k % 3 - 1, 0) AS pref,
+ CASE WHEN k % 9 = 5 THEN [] ELSE list_transform([ls[5 * k + 1], ls[5 * k + 2] || CASE WHEN k % 7 = 3 THEN ' nowhere' ELSE '' END, ls[5 * k + 3]], lambda x: CASE WHEN k % 4 = 1 THEN '  ' ELSE '' END || x) END AS pat FROM k),
 m AS (SELECT *, list_filter(range(0, greatest(len(ls) - len(pat) + 1, 0)), lambda i: ls[i + 1 : i + len(pat)] = pat) AS exact,
  list_filter(range(0, greatest(len(ls) - len(pat) + 1, 0)), lambda i: list_transform(ls[i + 1 : i + len(pat)], lambda x: trim(x)) = list_transform(pat, lambda x: trim(x))) AS loose FROM q)
-SELECT doc_id, CAST(CASE WHEN len(pat) = 0 THEN least(pref, len(ls)) WHEN len(exact) > 0 THEN CASE WHEN list_contains(exact, pref) THEN pref ELSE list_min(exact) END
+SELECT patch_id, CAST(k + 1 AS BIGINT) AS hunk_no, CAST(CASE WHEN len(pat) = 0 THEN least(pref, len(ls)) WHEN len(exact) > 0 THEN CASE WHEN list_contains(exact, pref) THEN pref ELSE list_min(exact) END
  WHEN len(loose) > 0 THEN CASE WHEN list_contains(loose, pref) THEN pref ELSE list_min(loose) END ELSE -1 END AS BIGINT) AS at, len(pat) = 0 OR len(exact) > 0 AS exact FROM m""")
 def hunk_anchor(t):
-    """Each document gets one hunk of its own lines: declared rightly or wrongly, some re-indented,
-    some empty and some absent from the text."""
-    k = F.col("doc_id")
-    pattern = F.when(k % 17 == 0, F.array().cast("array<string>")).when(F.size("ls") >= 3, F.slice("ls", 2, 2)).otherwise(F.slice("ls", 1, 1))
-    hunk = F.when(k % 9 == 0, F.transform("pat", lambda x: F.concat(F.lit("   "), x))).when(
-        k % 23 == 0, F.transform("pat", lambda x: F.concat(x, F.lit(" nowhere")))).otherwise(F.col("pat"))
-    files = t.documents.select("doc_id", X.lines(F.col("text")).alias("ls")).withColumn("pat", pattern).withColumn("pat", hunk)
-    spot = P.anchor(F.col("ls"), F.col("pat"), F.when(k % 2 == 0, 0).otherwise(1))
-    return files.select("doc_id", spot.alias("s")).select("doc_id", F.coalesce("s.at", F.lit(-1)).alias("at"), F.coalesce("s.exact", F.lit(False)).alias("exact"))
+    """Each source file gets a patch of many hunks, some declared a line off, re-indented, absent or without expected
+    lines; the patch is parsed and its hunks are looked for in the file."""
+    source = files(t, "py").select("repo_id", "file_path", F.col("file_no").alias("patch_id"), X.lines(F.col("content")).alias("lines"))
+
+    def hunk(k):
+        line = lambda n: F.concat(F.when(k % 4 == 1, "  ").otherwise(""), F.get("lines", k * 5 + n))
+        start = F.greatest(k * 5 + k % 3, F.lit(1)).cast("string")
+        middle = F.concat(line(1), F.when(k % 7 == 3, " nowhere").otherwise(""))
+        body = F.when(k % 9 == 5, "+fresh").otherwise(F.concat(F.lit(" "), line(0), F.lit("\n-"), middle, F.lit("\n+fresh\n "), line(2)))
+        return F.concat(F.lit("@@ -"), start, F.lit(",3 +"), start, F.lit(",3 @@\n"), body)
+
+    many = F.floor(F.size("lines") / 5)
+    diff = F.array_join(F.transform(F.when(many > 0, F.sequence(F.lit(0).cast("bigint"), many - 1)).otherwise(F.array().cast("array<bigint>")), hunk), "\n")
+    patches = source.select("patch_id", F.concat(F.lit("--- a/x.py\n+++ b/x.py\n"), diff, F.lit("\n")).alias("unified_diff"))
+    parsed = P.hunks(patches).join(source.select("patch_id", "repo_id", "file_path"), "patch_id")
+    placed = P.place_hunks(source, cut_lineage(parsed.select("repo_id", "file_path", "patch_id", "hunk_no", "old_start", "old_lines")))
+    return placed.select("patch_id", "hunk_no", F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 @query("u4_changed_lines", """

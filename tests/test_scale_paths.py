@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cilens.operators import commerce as C, localize as Z, metrics as M, prefix, retrieval as V
+from cilens.operators import commerce as C, localize as Z, metrics as M, patches as P, prefix, retrieval as V
 from cilens.streaming import stock as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -78,6 +78,45 @@ def test_settling_nothing(spark):
     assert C.settle(orders, lines, spark.createDataFrame([], "sku bigint, available_qty bigint")).count() == 0
 
 
+def located(lines, old, preferred):
+    """The first offset in the order of preference, by trying them all."""
+    if not old:
+        return max(0, min(preferred, len(lines))), True
+    spots = range(len(lines) - len(old) + 1)
+    for exact, form in ((True, str), (False, str.strip)):
+        for at in [i for i in spots if i == preferred] + [i for i in spots if i != preferred]:
+            if [form(x) for x in lines[at:at + len(old)]] == [form(x) for x in old]:
+                return at, exact
+    return None, None
+
+
+def test_hunks_are_placed_as_by_trying_every_offset(spark):
+    rng = random.Random(11)
+    bits = ["", "}", "  }", "x = 1", "\tx = 1", "return x", "é()"]
+    files = {(f"r{k % 2}", f"f{k}.py"): [rng.choice(bits) for _ in range(rng.randrange(0, 30))] for k in range(12)}
+    files["r0", "hot.py"] = ["}"] * 500 + ["last"]
+    hunks, want = [], {}
+    for n, (key, lines) in enumerate(files.items()):
+        for k in range(8):
+            a = rng.randrange(0, len(lines) + 1)
+            old = lines[a:a + rng.randrange(0, 4)]
+            if k == 3:
+                old = ["   " + x for x in old]
+            elif k == 5:
+                old = [*old, "nowhere"]
+            start = max(1, a + rng.randrange(-2, 3))
+            hunks.append((*key, n, k, start, old))
+            want[n, k] = located(lines, old, start - 1)
+    hunks += [("r0", "missing.py", 99, 0, 1, ["x = 1"]), ("r0", "missing.py", 99, 1, 1, [])]
+    want |= {(99, 0): (None, None), (99, 1): (None, None)}
+    source = spark.createDataFrame([(*key, lines) for key, lines in files.items()], "repo_id string, file_path string, lines array<string>")
+    asked = spark.createDataFrame(hunks, "repo_id string, file_path string, patch_id bigint, hunk_no bigint, old_start bigint, old_lines array<string>")
+    got = {(r.patch_id, r.hunk_no): (r.at, r.exact) for r in P.place_hunks(source, asked).collect()}
+    assert got == want
+    assert sum(x == (None, None) for x in want.values()) > 5 and any(x[1] is False for x in want.values())
+    assert P.place_hunks(source.limit(0), asked.limit(0)).count() == 0
+
+
 def test_packing_equals_greedy_loop_for_any_chunk(spark):
     rng = random.Random(5)
     texts = [("hot" if i % 3 else "cold", i * 7, "x" * rng.choice([0, 10, 400, 4000, 13000, 20000])) for i in range(900)]
