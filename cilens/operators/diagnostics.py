@@ -83,15 +83,33 @@ def identities(diagnostics: DataFrame) -> DataFrame:
         F.count_if(F.col("phase") == "baseline").alias("baseline_rows"), F.count_if(F.col("phase") == "after").alias("after_rows"))
 
 
-def compare(diagnostics: DataFrame) -> DataFrame:
-    """Verdict per repository on its chosen gate: the target is gone and nothing is new.
-
-    Both anti-joins are read off one grouping by identity.
-    """
-    chosen = select_gate(diagnostics.where("phase = 'baseline'")).select("repo_id", "gate", identity().alias("target"))
-    sides = identities(diagnostics).join(chosen, ["repo_id", "gate"])
+def _compared(diagnostics: DataFrame, targets: DataFrame) -> DataFrame:
+    """Both anti-joins, introduced and resolved, read off one grouping by identity. ``targets`` has repo_id, gate, target."""
+    sides = identities(diagnostics).join(targets, ["repo_id", "gate"])
     return sides.groupBy("repo_id", "gate", "target").agg(
         F.coalesce(F.sum(F.when(F.col("baseline_rows") == 0, F.col("after_rows"))), F.lit(0)).alias("introduced"),
         F.coalesce(F.sum("after_rows"), F.lit(0)).alias("remaining"),
         (~F.bool_or((F.col("identity") == F.col("target")) & (F.col("after_rows") > 0))).alias("resolved"),
     ).withColumn("passed", F.col("resolved") & (F.col("introduced") == 0))
+
+
+def compare(diagnostics: DataFrame) -> DataFrame:
+    """Verdict per repository on its chosen gate: the target is gone and nothing is new."""
+    return _compared(diagnostics, select_gate(diagnostics.where("phase = 'baseline'")).select("repo_id", "gate", identity().alias("target")))
+
+
+def verdicts(asked: DataFrame, runs: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """(repo_id, oracle_name, exit_code, passed): what each repository's oracle says of its patch.
+
+    asked: repo_id, oracle_name; runs: repo_id, ts, run_no, exit_code. The oracle named ``rules.TEST_ORACLE`` passes if the
+    newest run of the repository's tests ended with code 0. One named ``rules.GATE_ORACLE`` and a gate passes if the first
+    problem that the gate reported before is gone and the gate reports no new one. Without a run, without a code or without
+    an earlier problem nothing is proved, and another name proves nothing: not passed.
+    """
+    newest = runs.groupBy("repo_id").agg(F.max_by("exit_code", F.struct("ts", "run_no")).alias("exit_code"))
+    first = own_source(diagnostics.where("phase = 'baseline'")).groupBy("repo_id", "gate").agg(F.min_by(identity(), "ord").alias("target"))
+    gates = _compared(diagnostics, first).select("repo_id", F.concat(F.lit(rules.GATE_ORACLE), "gate").alias("oracle_name"), F.col("passed").alias("clean"))
+    tests = F.col("oracle_name") == rules.TEST_ORACLE
+    return (asked.join(newest, "repo_id", "left").join(gates, ["repo_id", "oracle_name"], "left")
+            .select("repo_id", "oracle_name", F.when(tests, F.col("exit_code")).alias("exit_code"),
+                    F.coalesce(F.when(tests, F.col("exit_code") == 0).otherwise(F.col("clean")), F.lit(False)).alias("passed")))

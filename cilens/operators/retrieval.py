@@ -208,7 +208,7 @@ def _word_finder(vocabulary: list[str]):
     return lambda text: list({i for _, i in machine.iter(text)}) if vocabulary else []
 
 
-def keyword_hits(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, block: int = QUERY_BLOCK) -> DataFrame:
+def keyword_hits(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HITS, block: int = QUERY_BLOCK, id_type: str = "bigint") -> DataFrame:
     """Fallback search: how many distinct query words occur inside a chunk's code or name.
 
     items: item_id, repo_id, code, name; queries: query_id, repo_id, text. Only chunks of the
@@ -236,7 +236,7 @@ def keyword_hits(items: DataFrame, queries: DataFrame, n: int = rules.KEYWORD_HI
                     score[i] = np.bincount(np.concatenate([holders[w] for w in found]), minlength=len(asked))
             yield _best_rows(np.where(score > 0, -score, np.inf), rows["item_id"].to_numpy(), asked["query_id"].to_numpy(), n)
 
-    found = _search(spread(items.select("item_id", F.col("repo_id").alias("part"), "code", "name")), prepared, cost, n, block=block)
+    found = _search(spread(items.select("item_id", F.col("repo_id").alias("part"), "code", "name")), prepared, cost, n, id_type, block)
     return found.select("query_id", "item_id", (-F.col("cost")).cast("bigint").alias("score"), "hit")
 
 
@@ -256,16 +256,21 @@ def framings(suspects: DataFrame) -> DataFrame:
 def retrieve(suspects: DataFrame, chunks: DataFrame, n: int = rules.CODE_HITS) -> DataFrame:
     """Chunks for each suspect, merged over its framings: the first appearance decides the place.
 
-    Equal query texts of a repository are searched once. ``chunks`` has repo_id, ord,
-    chunk_id, code and is_test.
+    Equal query texts of a repository are searched once. ``chunks`` has repo_id, ord, chunk_id, name, code, is_test and,
+    where an outage left some out of the vector index, a boolean ``embedded``. Only a query for which vector search finds
+    nothing at all goes on to keyword search, which reads every chunk of its repository.
     """
-    asked = framings(suspects)
-    distinct = asked.select("repo_id", "text").distinct().select(
-        F.concat_ws("|", "repo_id", "text").alias("query_id"), F.col("repo_id").alias("part"), hash_counts(F.col("text")).alias("vec"))
-    items = chunks.select(F.col("ord").alias("item_id"), F.col("repo_id").alias("part"), hash_counts(F.col("code")).alias("vec"))
-    hits = nearest_hashed(items, distinct, n, "string")
-    rows = (asked.withColumn("query_id", F.concat_ws("|", "repo_id", "text")).join(hits, "query_id")
-            .groupBy("failure_id", "item_id").agg(F.min(F.struct("framing", "hit")).alias("place")))
+    asked = framings(suspects).withColumn("query_id", F.concat_ws("|", "repo_id", "text"))
+    distinct = cut_lineage(asked.select("query_id", "repo_id", "text").distinct())
+    embedded = chunks.where("embedded") if "embedded" in chunks.columns else chunks
+    items = embedded.select(F.col("ord").alias("item_id"), F.col("repo_id").alias("part"), hash_counts(F.col("code")).alias("vec"))
+    hits = cut_lineage(nearest_hashed(items, distinct.select("query_id", F.col("repo_id").alias("part"), hash_counts(F.col("text")).alias("vec")), n, "string")
+                       .select("query_id", "item_id", "hit"))
+    missed = cut_lineage(distinct.join(hits.select("query_id").distinct(), "query_id", "left_anti"))
+    if not missed.isEmpty():
+        words = keyword_hits(chunks.select(F.col("ord").alias("item_id"), "repo_id", "code", "name"), missed, n, id_type="string")
+        hits = hits.unionByName(words.select("query_id", "item_id", "hit"))
+    rows = asked.join(hits, "query_id").groupBy("failure_id", "item_id").agg(F.min(F.struct("framing", "hit")).alias("place"))
     return rows.join(chunks.select(F.col("ord").alias("item_id"), "chunk_id", "is_test"), "item_id").select(
         "failure_id", "chunk_id", "is_test", "place")
 

@@ -84,6 +84,25 @@ def gate_verdict(t):
     return D.compare(t.diagnostics)
 
 
+_EXIT = "CASE WHEN log_id % 3 = 0 THEN 0 WHEN log_text = 'collected 0 items' THEN 5 ELSE 1 END"
+
+
+@query("x3_oracle_verdicts", f"""
+WITH r AS (SELECT repo_id, CAST({_EXIT} AS BIGINT) AS exit_code FROM run_logs QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, log_id DESC) = 1),
+g AS (SELECT o.repo_id, o.gate, o.identity FROM d_own o QUALIFY phase = 'baseline' AND row_number() OVER (PARTITION BY o.repo_id, o.gate, o.phase ORDER BY o.ord) = 1),
+a AS (SELECT repo_id, r.exit_code, gate FROM (SELECT repo_id, max(gate) AS gate FROM d_own GROUP BY 1) LEFT JOIN r USING (repo_id)),
+v AS (SELECT g.repo_id, g.gate, bool_or(o.phase = 'after' AND (o.identity = g.identity OR o.identity NOT IN (SELECT b.identity FROM d_own b WHERE b.phase = 'baseline' AND b.repo_id = g.repo_id AND b.gate = g.gate))) AS bad
+ FROM g JOIN d_own o ON o.repo_id = g.repo_id AND o.gate = g.gate GROUP BY ALL)
+SELECT repo_id, CASE WHEN exit_code IS NULL THEN 'gate:' || gate ELSE 'test-suite' END AS oracle_name, coalesce(exit_code, -1) AS exit_code, CASE WHEN exit_code IS NULL THEN coalesce(NOT bad, false) ELSE exit_code = 0 END AS passed FROM a LEFT JOIN v USING (repo_id, gate)""")
+def oracle_verdicts(t):
+    """Repositories with test runs are judged by these, the others by one of their gates."""
+    runs = t.run_logs.select("repo_id", "ts", F.col("log_id").alias("run_no"), F.expr(_EXIT).cast("bigint").alias("exit_code"))
+    gates = D.own_source(t.diagnostics).groupBy("repo_id").agg(F.max("gate").alias("gate"))
+    tested = runs.select("repo_id", F.lit(rules.TEST_ORACLE).alias("tests")).distinct()
+    asked = gates.join(tested, "repo_id", "left").select("repo_id", F.coalesce("tests", F.concat(F.lit(rules.GATE_ORACLE), "gate")).alias("oracle_name"))
+    return D.verdicts(asked, runs, t.diagnostics).withColumn("exit_code", F.coalesce("exit_code", F.lit(-1)))
+
+
 @query("u3_identity_sets", """
 SELECT repo_id, gate, identity, CASE WHEN bool_or(phase = 'baseline') AND bool_or(phase = 'after') THEN 'remaining' WHEN bool_or(phase = 'after') THEN 'introduced' ELSE 'resolved' END AS side FROM d_own GROUP BY ALL""")
 def identity_sets(t):

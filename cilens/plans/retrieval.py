@@ -174,7 +174,7 @@ def top_suspects(t, found=None):
 
 def chunks(t):
     """The source of every symbol."""
-    return code_symbols(t).select("repo_id", "ord", F.col("symbol_id").alias("chunk_id"), "code", "is_test")
+    return code_symbols(t).select("repo_id", "ord", F.col("symbol_id").alias("chunk_id"), "name", "code", "is_test")
 
 
 @query("r5_query_framings", "SELECT failure_id, framing::BIGINT AS framing, text FROM d_framings WHERE text <> ''")
@@ -187,6 +187,22 @@ def merged_hits(t):
     return V.retrieve(top_suspects(t), chunks(t)).select("failure_id", "chunk_id", "place.framing", "place.hit")
 
 
+# repositories with numbers in threes have no vectors, as after an outage
+_EMBEDDED = "CAST(substr(repo_id, 6) AS BIGINT) % 3 <> 0"
+
+
+@query("r4_fallback_chain", f"""
+WITH w AS (SELECT DISTINCT repo_id, text, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM d_framings WHERE NOT ({_EMBEDDED})),
+s AS (SELECT w.repo_id, w.text, c.ord, count(*) AS score FROM w JOIN (SELECT repo_id, ord, name, d.code FROM code_symbols JOIN d_chunks d USING (repo_id, ord)) c ON c.repo_id = w.repo_id AND (contains(lower(c.code), word) OR contains(lower(c.name), word)) WHERE word <> '' GROUP BY ALL),
+h AS (SELECT repo_id, text, ord, hit FROM d_query_hits WHERE {_EMBEDDED} UNION ALL SELECT repo_id, text, ord, row_number() OVER (PARTITION BY repo_id, text ORDER BY score DESC, ord) AS hit FROM s QUALIFY hit <= 5),
+m AS (SELECT f.failure_id, h.ord, min({{'a': framing, 'b': hit}}) AS place FROM d_framings f JOIN h ON h.repo_id = f.repo_id AND h.text = f.text GROUP BY ALL)
+SELECT failure_id, symbol_id AS chunk_id, CAST(place.a AS BIGINT) AS framing, CAST(place.b AS BIGINT) AS hit FROM m JOIN code_symbols USING (ord)""")
+def fallback_chain(t):
+    """Merged hits where some repositories have no vectors: their suspects are answered by keywords, the others by vectors."""
+    held = chunks(t).withColumn("embedded", F.expr(_EMBEDDED))
+    return V.retrieve(top_suspects(t), held).select("failure_id", "chunk_id", "place.framing", "place.hit")
+
+
 @query("r6_context_caps", "SELECT * FROM d_context")
 def context_caps(t):
     top = top_suspects(t)

@@ -1,5 +1,7 @@
 """Small literal cases of the remaining operators."""
 
+import datetime as dt
+
 from pyspark.sql import Row, functions as F
 
 from cilens.functions import text as X
@@ -229,3 +231,27 @@ def test_an_update_sets_only_what_it_gives(spark):
     log = [(1, 7, "insert", "new", 5.0), (2, 7, "update", None, 6.0), (3, 7, "update", "old", None), (4, 8, "insert", None, 1.0), (5, 9, "update", "x", 1.0)]
     got = R.latest_records(spark.createDataFrame(log, "ord bigint, id bigint, op string, status string, amount double")).collect()
     assert {r.id: (r.status, r.amount, r.created_ord, r.updated_ord) for r in got} == {7: ("old", 6.0, 1, 3), 8: (None, 1.0, 4, 4)}
+
+
+def test_oracles_by_name(spark):
+    at = dt.datetime(2024, 1, 1)
+    runs = [("a", at, 1, 1), ("a", at, 2, 0), ("b", at, 5, 0), ("b", at, 6, 1), ("e", at, 1, None)]
+    seen = [(1, "c", "baseline", "E1"), (2, "c", "after", "E2"), (3, "d", "baseline", "E1"), (4, "d", "baseline", "E2"), (5, "d", "after", "E2"), (6, "f", "after", "E1")]
+    found = [(n, repo, phase, "ruff", "src/m.py", 1, code, "problem", "error", "") for n, repo, phase, code in seen]
+    asked = [("a", "test-suite"), ("b", "test-suite"), ("e", "test-suite"), ("g", "test-suite"), ("c", "gate:ruff"), ("d", "gate:ruff"), ("d", "gate:tsc"), ("f", "gate:ruff"), ("a", "guess"), ("a", None)]
+    got = D.verdicts(spark.createDataFrame(asked, "repo_id string, oracle_name string"), spark.createDataFrame(runs, "repo_id string, ts timestamp, run_no bigint, exit_code bigint"),
+                     spark.createDataFrame(found, "ord bigint, repo_id string, phase string, gate string, file_path string, line int, code string, message string, severity string, fix_applicability string"))
+    assert {(r.repo_id, r.oracle_name): (r.exit_code, r.passed) for r in got.collect()} == {
+        ("a", "test-suite"): (0, True), ("b", "test-suite"): (1, False), ("e", "test-suite"): (None, False), ("g", "test-suite"): (None, False),
+        ("c", "gate:ruff"): (None, False), ("d", "gate:ruff"): (None, True), ("d", "gate:tsc"): (None, False), ("f", "gate:ruff"): (None, False),
+        ("a", "guess"): (None, False), ("a", None): (None, False)}
+
+
+def test_keywords_answer_only_what_vectors_do_not_find(spark):
+    suspects = [(1, "r", "charge", "KeyError", "missing tariff"), (2, "s", "charge", "KeyError", "missing tariff")]
+    held = [("r", 1, "c1", "pay", "tariff = 1", False, True), ("r", 2, "c2", "charge", "missing tariff", False, False),
+            ("s", 3, "c3", "pay", "tariff = 1", False, False), ("s", 4, "c4", "charge", "missing tariff", True, False), ("s", 5, "c5", "x", "y", False, False)]
+    got = V.retrieve(spark.createDataFrame(suspects, "failure_id bigint, repo_id string, name string, exception_type string, exception_message string"),
+                     spark.createDataFrame(held, "repo_id string, ord bigint, chunk_id string, name string, code string, is_test boolean, embedded boolean"))
+    # r has one vector, so its other chunk is never seen; s has none: c4 holds three words of the first framing, c3 one
+    assert {(r.failure_id, r.chunk_id): tuple(r.place) for r in got.collect()} == {(1, "c1"): (1, 1), (2, "c4"): (1, 1), (2, "c3"): (1, 2)}
