@@ -103,16 +103,15 @@ def telemetry_sink(t):
     return S.read_telemetry(t.spark, folder).select("event_id", "incident_id", "agent", "action", "output_summary", "result")
 
 
-@query("s5_telemetry_replay", "SELECT incident_id, event_id, action, row_number() OVER (PARTITION BY incident_id ORDER BY ts, event_id) AS n FROM telemetry")
+@query("s5_telemetry_replay", "SELECT incident_id, event_id, action, row_number() OVER (PARTITION BY incident_id ORDER BY event_id % 2 = 0, CASE WHEN event_id % 2 = 0 THEN event_id ELSE -event_id END) AS n FROM telemetry")
 def telemetry_replay(t):
-    """The stored lines of every incident in write order, and those of one that was never written: none."""
-    from cilens.operators.prefix import positions
-
+    """Two appends, the first against the order of time: the stored lines of every incident in write order, and those of
+    one that was never written: none."""
     folder = scratch_path(t.spark, "telemetry")
-    S.append_telemetry(t.telemetry, folder)
+    S.append_telemetry(t.telemetry.where("event_id % 2 <> 0"), folder, 0, (F.desc("event_id"),))
+    S.append_telemetry(t.telemetry.where("event_id % 2 = 0"), folder, 1, ("event_id",))
     stored = S.read_telemetry(t.spark, folder).unionByName(S.read_telemetry(t.spark, folder, "inc_unknown"))
-    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400)
-    return positions(stored.select("incident_id", "event_id", "action", "ts"), ["incident_id"], day, ["ts", "event_id"], "n").drop("ts")
+    return S.replay(stored.select("incident_id", "event_id", "action", "batch", "seq"))
 
 
 @query("s6_fix_history_append", """

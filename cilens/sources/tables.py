@@ -15,25 +15,43 @@ def _bucket(incident_id: Column) -> Column:
     return F.pmod(F.xxhash64(incident_id), F.lit(BUCKETS)).cast("int")
 
 
-def append_telemetry(events: DataFrame, folder: str) -> None:
-    """JSON lines in ``BUCKETS`` folders by hash of the incident, each file sorted by incident.
+def append_telemetry(events: DataFrame, folder: str, batch: int = 0, order: tuple = ("ts", "event_id")) -> None:
+    """One append of JSON lines, in the order in which they were written: ``order`` within an append, ``batch`` between appends.
 
-    Rows are rebalanced by folder: a quiet one gets one file, and the runtime splits a busy one over several tasks
-    by its measured size. The number of folders does not grow with the number of incidents.
+    Appends have rising numbers, such as those of micro-batches; writing a number again replaces that append, so a run
+    that failed can be repeated. Every row keeps its place ``seq``: it rises with the sort, and its upper bits name the
+    range of equal size that the sort put the row in.
+
+    Rows lie in ``BUCKETS`` folders by hash of the incident, each file sorted by incident. They are rebalanced by folder: a
+    quiet one gets one file, and the runtime splits a busy one over several tasks by its measured size. The number of
+    folders does not grow with the number of incidents.
     """
-    (events.withColumn("bucket", _bucket(F.col("incident_id"))).hint("rebalance", "bucket").sortWithinPartitions("incident_id", "ts", "event_id")
-     .write.mode("append").partitionBy("bucket").json(folder))
+    numbered = events.orderBy(*order).withColumn("seq", F.monotonically_increasing_id()).withColumn("bucket", _bucket(F.col("incident_id")))
+    (numbered.hint("rebalance", "bucket").sortWithinPartitions("incident_id", "seq")
+     .write.mode("overwrite").partitionBy("bucket").json(f"{folder}/batch={batch}"))
 
 
 def read_telemetry(spark: SparkSession, folder: str, incident_id: str | None = None) -> DataFrame:
-    """All stored events, or those of one incident, for which only its folder is opened. Blank lines are skipped."""
-    rows = spark.read.schema(f"{TELEMETRY}, bucket int").json(folder)
+    """All stored events with the append ``batch`` and place ``seq`` of each, or those of one incident, for which only its
+    folders are opened. Blank lines are skipped."""
+    rows = spark.read.schema(f"{TELEMETRY}, seq bigint, batch bigint, bucket int").json(folder)
     if incident_id is not None:
         number = spark.range(1).select(_bucket(F.lit(incident_id)).alias("b")).first()["b"]
         rows = rows.where((F.col("bucket") == number) & (F.col("incident_id") == incident_id))
     return rows.drop("bucket")
 
 
+def replay(stored: DataFrame) -> DataFrame:
+    """Stored events with ``n``, their number within their incident in the order they were written, whatever their times.
+
+    The ranges of the appends are the buckets, so a hot incident is spread over as many tasks as its appends had.
+    """
+    from cilens.operators.prefix import positions
+
+    numbered_range = F.shiftleft(F.col("batch"), 31) + F.shiftright(F.col("seq"), 33)
+    return positions(stored, ["incident_id"], numbered_range, ["batch", "seq"], "n").drop("batch", "seq")
+
+
 def append_fixes(fixes: DataFrame, folder: str) -> None:
     fixes.write.mode("append").parquet(folder)
 

@@ -1,6 +1,7 @@
 """Small literal cases of the remaining operators."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import Row, functions as F
 
@@ -255,3 +256,20 @@ def test_keywords_answer_only_what_vectors_do_not_find(spark):
                      spark.createDataFrame(held, "repo_id string, ord bigint, chunk_id string, name string, code string, is_test boolean, embedded boolean"))
     # r has one vector, so its other chunk is never seen; s has none: c4 holds three words of the first framing, c3 one
     assert {(r.failure_id, r.chunk_id): tuple(r.place) for r in got.collect()} == {(1, "c1"): (1, 1), (2, "c4"): (1, 1), (2, "c3"): (1, 2)}
+
+
+def test_telemetry_comes_back_as_written(spark, tmp_path):
+    rng, folder, want = random.Random(3), str(tmp_path / "telemetry"), {}
+    for batch in range(2):
+        # times say nothing of the order, many are equal, and one incident holds nearly all rows
+        rows = [(batch * 1000 + k, dt.datetime(2024, 1, 1 + rng.randrange(3)), "a", "x", "y", "z", "hot" if k % 10 else f"i{k % 3}", rng.random()) for k in range(400)]
+        events = spark.createDataFrame(rows, T.TELEMETRY + ", arrived double").repartition(5)
+        for _ in range(2):  # an append that is repeated replaces itself
+            T.append_telemetry(events, folder, batch, ("arrived",))
+        for row in sorted(rows, key=lambda r: r[7]):
+            want.setdefault(row[6], []).append(row[0])
+    got = {}
+    for row in T.replay(T.read_telemetry(spark, folder)).orderBy("n").collect():
+        got.setdefault(row.incident_id, []).append(row.event_id)
+        assert row.n == len(got[row.incident_id])
+    assert got == want and T.replay(T.read_telemetry(spark, folder, "i1")).count() == len(want["i1"])
