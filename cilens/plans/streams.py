@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cilens import rules
 from cilens.plans.registry import cte, query
-from cilens.streaming import incidents as I
+from cilens.streaming import incidents as I, timers
 
 _TERMINAL = "(action IN ('PIPELINE_HALTED', 'PIPELINE_CRASHED') OR (action = 'STATE_TRANSITION' AND output_summary IN ('COMPLETED', 'FAILED', 'PENDING_APPROVAL')))"
 cte("d_delivered", f"""
@@ -39,7 +39,8 @@ def until_terminal(t):
 
 @query("t3_until_terminal_stream", "SELECT incident_id, event_id, terminal FROM d_delivered")
 def until_terminal_stream(t):
-    return I.run_to_table(I.until_terminal_stream(live(t, files_per_batch=32)), "terminal")
+    events = live(t, files_per_batch=32).withColumn("at", F.col("ts").cast("timestamp"))
+    return I.run_to_table(timers.until_terminal(events, I.is_terminal()), "terminal")
 
 
 @query("t4_heartbeats", """
@@ -93,6 +94,15 @@ def quota_windows_stream(t):
     return I.run_upserts(I.quota_windows(requests), ["provider", "window_start"], "quota")
 
 
+@query("t8_sliding_quota_stream", """
+WITH s AS (SELECT coalesce(provider, '') AS provider, t_sec, count(*) AS requests, sum(coalesce(least(tokens, 240000), 0)) AS tokens FROM api_requests GROUP BY ALL)
+SELECT a.provider, a.t_sec, a.requests, CAST(a.tokens AS BIGINT) AS tokens, CAST(coalesce(sum(b.requests), 0) AS BIGINT) AS requests_minute, CAST(coalesce(sum(b.tokens), 0) AS BIGINT) AS tokens_minute
+FROM s a LEFT JOIN s b ON b.provider = a.provider AND b.t_sec BETWEEN a.t_sec - 59 AND a.t_sec - 1 GROUP BY ALL""")
+def sliding_quota_stream(t):
+    """The minute before each second, as w7_quota_usage counts it, from a stream whose state ends with its slice of time."""
+    return I.run_upserts(timers.sliding_use(I.view_stream(t.spark, t.folder, "api_requests", "events")), ["provider", "t_sec"], "sliding")
+
+
 @query("f16_stage_progress", """
 SELECT incident_id, stage, CASE WHEN state = 'FAILED' THEN CASE WHEN stage = 'VERIFYING' THEN 'failed' WHEN i <= 3 THEN 'completed' ELSE 'pending' END WHEN state IN ('COMPLETED', 'PENDING_APPROVAL') THEN 'completed'
  WHEN p = 0 THEN 'pending' WHEN i < p THEN 'completed' WHEN i = p THEN 'active' ELSE 'pending' END AS status

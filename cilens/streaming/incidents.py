@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cilens import rules
@@ -92,29 +91,6 @@ def until_terminal(events: DataFrame) -> DataFrame:
         "terminal", F.coalesce(at == F.col("end"), F.lit(False))).drop("end")
 
 
-def until_terminal_stream(events: DataFrame) -> DataFrame:
-    """Streaming form: one flag per incident says whether its stream has ended.
-
-    A task holds one incident's rows of one micro-batch, so batches are kept to a number of
-    files; an ended incident is skipped without reading its rows.
-    """
-    marked = events.withColumn("terminal", is_terminal()).select("incident_id", "event_id", "ts", "terminal")
-
-    def step(key, batches, state):
-        ended = state.exists and state.get[0]
-        if ended:
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-        hits = rows["terminal"].to_numpy().nonzero()[0]
-        if len(hits):
-            rows = rows.iloc[: hits[0] + 1]
-        state.update((bool(len(hits)),))
-        yield rows[["incident_id", "event_id", "terminal"]]
-
-    return marked.groupBy("incident_id").applyInPandasWithState(
-        step, "incident_id string, event_id bigint, terminal boolean", "ended boolean", "append", "NoTimeout")
-
-
 def heartbeats(events: DataFrame, seconds: int = rules.HEARTBEAT_SECONDS) -> DataFrame:
     """Keepalives sent after each delivered event: one per full interval without a successor."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
