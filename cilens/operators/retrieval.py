@@ -146,7 +146,7 @@ def _search(items: DataFrame, queries: DataFrame, cost, n: int, id_type: str = "
 
         def meet(batch: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             parts = list(cost(batch, asked, n)) if len(batch) and len(asked) else []
-            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], "item_id": [], "cost": []})
+            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "item_id", "cost")})
 
         found = left.groupBy("part", "ib", "qb").cogroup(right.groupBy("part", "ib", "qb")).applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy("cost", "item_id")

@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from cilens import rules
 from cilens.functions import text as X
-from cilens.operators import retrieval as V
+from cilens.operators import cells, retrieval as V
 from cilens.plans.localize import failures, scored
 from cilens.operators.localize import pool
 from cilens.plans.registry import cte, query
@@ -108,16 +108,31 @@ def hash_embedding(t):
     return counted.select("doc_id", F.inline(V.unit(F.col("counts")))).select("doc_id", F.col("slot").cast("bigint").alias("bucket"), "weight")
 
 
-@query("r3_nearest_vectors", """
+_NEAREST = """
 WITH q AS (SELECT vec_id AS query_id, label, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT query_id, vec_id AS item_id, list_sum(list_transform(list_zip(embedding, qv), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS cost FROM embeddings e JOIN q ON q.label = e.label)
-SELECT query_id, item_id, round(cost, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY cost, item_id) AS hit FROM d QUALIFY hit <= 5""")
-def nearest_vectors(t):
-    """Five nearest vectors to every twentieth vector, among all of its repository."""
+SELECT query_id, item_id, round(cost, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY cost, item_id) AS hit FROM d QUALIFY hit <= 5"""
+
+
+def _vectors(t):
+    """Every vector, and every twentieth as a query; a label stands for a repository."""
     part = F.concat(F.lit("table|"), F.col("label").cast("string")).alias("part")
     items = t.embeddings.select(F.col("vec_id").alias("item_id"), part, F.col("embedding").alias("vec"))
-    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), part, F.col("embedding").alias("vec"))
-    return V.nearest(items, queries, rules.CODE_HITS).select("query_id", "item_id", F.round("cost", 6).alias("distance"), "hit")
+    return items, t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), part, F.col("embedding").alias("vec"))
+
+
+@query("r3_nearest_vectors", _NEAREST)
+def nearest_vectors(t):
+    """Five nearest vectors to every twentieth vector, among all of its repository."""
+    return V.nearest(*_vectors(t), rules.CODE_HITS).select("query_id", "item_id", F.round("cost", 6).alias("distance"), "hit")
+
+
+@query("r3_nearest_in_cells", _NEAREST)
+def nearest_in_cells(t):
+    """The same through the index of cells, which compares only what its bounds leave."""
+    items, queries = _vectors(t)
+    found, _ = cells.search(cells.build(items), queries, rules.CODE_HITS)
+    return found.select("query_id", "item_id", F.round("cost", 6).alias("distance"), "hit")
 
 
 @query("r4_keyword_fallback", r"""

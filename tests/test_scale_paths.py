@@ -238,3 +238,10 @@ def test_credit_of_symbols_with_large_numbers(spark):
     assert all(e is not None and None not in e for e in rows.values())
     near = Z.score(failures.withColumn("failing_file", F.lit("")), symbols.where("name <> 'func_0'"), edges).where(F.col("ord") == big + 2).first()
     assert near.evidence[0] == "adjacent in the call graph to func_1"
+
+
+def test_blocks_without_a_counterpart_keep_text_ids(spark):
+    items = spark.createDataFrame([(i, "a", [float(i)]) for i in range(20)] + [(99, "b", [1.0])], "item_id bigint, part string, vec array<double>")
+    asked = spark.createDataFrame([(f"q{i}", "a", [float(i)]) for i in range(20)] + [("z", "none", [1.0])], "query_id string, part string, vec array<double>")
+    got = V.nearest(items, asked, 1, id_type="string", block=2).collect()
+    assert sorted((r.query_id, r.item_id) for r in got) == sorted((f"q{i}", i) for i in range(20))
