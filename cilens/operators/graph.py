@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from cilens import rules
 from cilens.functions import text as X
+from cilens.operators.prefix import positions
 from cilens.session import cut_lineage
 
 
@@ -110,3 +111,36 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = rules.TRACE_DEPTH) -
             ring = cut_lineage(ring)
         seen = seen.unionByName(ring)
     return seen
+
+
+def number_starts(starts: DataFrame) -> DataFrame:
+    """Starts (repo_id, ord) numbered inside their repository, as word and bit of a set; repeated starts count once."""
+    once = starts.where("ord IS NOT NULL").select("repo_id", "ord").distinct()
+    placed = positions(once, ["repo_id"], F.floor(F.col("ord") / 65_536), ["ord"])
+    return placed.select("repo_id", "ord", F.floor((F.col("position") - 1) / 64).alias("word"), F.expr("shiftleft(1L, cast((position - 1) % 64 AS INT))").alias("bits"))
+
+
+def reach_sets(edges: DataFrame, numbered: DataFrame, depth: int = rules.TRACE_DEPTH) -> DataFrame:
+    """What ``reach`` finds, for many starts in one walk: per node and distance, the set of starts at that shortest distance.
+
+    A set is kept as words of 64 starts, a row each (node, word, distance, bits), so a node that all starts of a repository reach
+    has a row per 64 of them. Words that meet at a node are joined bit by bit, within tasks first. ``numbered`` is what
+    ``number_starts`` gives, written. Each round extends the newest ring, takes away what was met before and is written.
+    """
+    links = cut_lineage(neighbours(edges).select("node", "other").distinct())
+    ring = numbered.select(F.col("ord").alias("node"), "word", F.lit(0).cast("bigint").alias("distance"), "bits")
+    found = ring
+    for hop in range(1, depth + 1):
+        came = ring.join(links, "node").groupBy(F.col("other").alias("node"), "word").agg(F.bit_or("bits").alias("came"))
+        met = found.groupBy("node", "word").agg(F.bit_or("bits").alias("met"))
+        new = F.col("came").bitwiseAND(F.bitwise_not(F.coalesce("met", F.lit(0).cast("bigint"))))
+        ring = cut_lineage(came.join(met, ["node", "word"], "left").select("node", "word", F.lit(hop).cast("bigint").alias("distance"), new.alias("bits")).where("bits <> 0"))
+        found = found.unionByName(ring)
+    return found
+
+
+def set_members(sets: DataFrame, numbered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The starts in the sets of some nodes (repo_id, ord), one row each."""
+    here = nodes.select("repo_id", F.col("ord").alias("node")).join(sets, "node")
+    own = numbered.select("repo_id", F.col("ord").alias("start"), "word", F.col("bits").alias("bit"))
+    return here.join(own, ["repo_id", "word"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("start", "node", "distance")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cilens import rules
 from cilens.functions import text as X
-from cilens.operators import localize as Z, logs as L
+from cilens.operators import graph as G, localize as Z, logs as L
 from cilens.plans.graph import edges
 from cilens.plans.registry import cte, query
 from cilens.plans.source import code_symbols
@@ -100,6 +100,19 @@ def innermost_symbol(t):
     return Z.innermost(Z.symbols_by_path(code_symbols(t), reported(f)), Z.sites_of(f)).select("repo_id", "path", "line", "symbol_id")
 
 
+@query("g1_failure_reach", """
+WITH RECURSIVE walk AS (SELECT ord AS start, ord AS node, 0 AS hop FROM (SELECT DISTINCT a.ord FROM d_failures f JOIN d_at a ON a.repo_id = f.repo_id AND a.path = failing_file AND a.line = failing_line AND failing_line > 0)
+  UNION SELECT w.start, l.other, w.hop + 1 FROM walk w JOIN (SELECT DISTINCT node AS at, other FROM d_links) l ON l.at = w.node WHERE w.hop < 3)
+SELECT node, distance, count(*) AS starts FROM (SELECT start, node, CAST(min(hop) AS BIGINT) AS distance FROM walk GROUP BY start, node) GROUP BY node, distance""")
+def failure_reach(t):
+    """How many failing symbols lie at each distance of a symbol; the innermost symbol at a failing line is a failing one."""
+    f = failures(t)
+    at = f.where("failing_file <> '' AND failing_line > 0").select("repo_id", F.col("failing_file").alias("path"), F.col("failing_line").alias("line"))
+    failing = Z.innermost(Z.symbols_by_path(code_symbols(t), at.select("repo_id", "path").distinct()), at)
+    sets = G.reach_sets(edges(t), cut_lineage(G.number_starts(failing)))
+    return sets.groupBy("node", "distance").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("starts"))
+
+
 @query("j7_first_symbol", """
 SELECT repo_id, path, line, arg_min(symbol_id, {'a': CASE WHEN ends_with(lower(symbol_path), lower(path)) OR ends_with(lower(path), lower(symbol_path)) THEN 0 ELSE 1 END, 'b': ord}) AS symbol_id
 FROM d_sites x JOIN d_path_pairs p USING (repo_id) JOIN code_symbols s USING (repo_id)

@@ -38,6 +38,32 @@ def test_reach_is_breadth_first(spark):
     assert found == {(3, 0), (2, 1), (1, 2), (4, 2)}
 
 
+def test_reach_by_sets_equals_a_walk_per_start(spark):
+    draw = random.Random(5)
+    links = sorted({(*sorted(draw.sample(range(300), 2)),) for _ in range(260)} | {(0, i) for i in range(1, 90)})  # a hub among chains
+    shape = "repo_id string, src bigint, dst bigint, src_test boolean, dst_test boolean, relation string"
+    rows = [("r", a, b, False, False, "calls") for a, b in links] + [("s", 1000, 1001, False, False, "calls")]
+    edges = spark.createDataFrame(rows, shape)
+    starts = spark.createDataFrame([("r", i) for i in range(0, 300, 2)] * 2 + [("s", 1000), ("s", 2000), ("s", None)], "repo_id string, ord bigint")
+    numbered = G.number_starts(starts)
+    sets = G.reach_sets(edges, numbered)
+    members = G.set_members(sets, numbered, spark.createDataFrame([("r", i) for i in range(300)] + [("s", i) for i in (1000, 1001, 2000)], "repo_id string, ord bigint"))
+    beside = {}
+    for _, a, b, *_ in rows:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    want = set()
+    for start in [*range(0, 300, 2), 1000, 2000]:
+        met, ring = {start}, {start}
+        for distance in range(4):
+            want |= {(start, node, distance) for node in ring}
+            ring = {o for node in ring for o in beside.get(node, ())} - met
+            met |= ring
+    got = [(r.start, r.node, r.distance) for r in members.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sets.count() * 8 < len(want), "a row holds many starts"
+
+
 def test_evidence_adds_up_and_spreads_once(spark):
     symbols, edges = graph(spark)
     frame = "array<struct<file_path:string,line_number:bigint,function_name:string>>"
