@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cilens import rules
-from cilens.operators.prefix import next_rows, running_totals, value_at_rank
+from cilens.operators.prefix import next_rows, ranged, running_totals, value_at_rank
 from cilens.session import cut_lineage, small
 
 
@@ -48,8 +48,8 @@ def quota_usage(requests: DataFrame, quota: dict[str, int] = rules.QUOTA) -> Dat
 
     A sliding sum is a difference of two running totals. Every request asks for the total just
     before itself, up to a minute ago and up to a day ago; the questions are placed on the time
-    line next to the requests, and running totals are taken through one-minute buckets, so a
-    provider with most of the traffic is still spread over its minutes.
+    line next to the requests, and running totals are taken through ranges of equal depth, so a
+    provider with most of the traffic, or a minute with most of a provider's, is spread over tasks.
     """
     charge = F.least("tokens", F.lit(quota["tpm"]))
     sources = requests.select("provider", F.col("t_sec").alias("at"), F.lit(None).cast("bigint").alias("req_id"), F.lit("r").alias("ask"),
@@ -59,7 +59,8 @@ def quota_usage(requests: DataFrame, quota: dict[str, int] = rules.QUOTA) -> Dat
         "provider", "at", "req_id", "ask", F.lit(0).cast("bigint").alias("one"), F.lit(0).cast("bigint").alias("cost"), "charge")
     # requests sort ahead of questions at the same second, so a question counts up to its second
     line = sources.unionByName(asks, allowMissingColumns=True).withColumn("turn", F.when(F.col("ask") == "r", 0).otherwise(1))
-    totals = running_totals(line, ["provider"], F.floor(F.col("at") / rules.MINUTE), ["at", "turn", "req_id", "ask"], {"n": F.col("one"), "t": F.col("cost")})
+    order = ["at", "turn", "req_id", "ask"]
+    totals = running_totals(ranged(line, ["provider"], order), ["provider"], F.col("_range"), order, {"n": F.col("one"), "t": F.col("cost")})
     answers = totals.where("ask <> 'r'").groupBy("provider", "req_id").agg(
         *[F.max(F.when(F.col("ask") == ask, F.col(c))).alias(f"{ask}_{c}") for ask in ("now", "minute", "day") for c in ("n", "t")], F.max("charge").alias("charge"))
     used = answers.select("provider", "req_id", "charge", (F.col("now_n") - F.col("minute_n")).alias("requests_minute"),
@@ -73,6 +74,5 @@ def quota_usage(requests: DataFrame, quota: dict[str, int] = rules.QUOTA) -> Dat
 
 def span_durations(marks: DataFrame) -> DataFrame:
     """Each span lasts until the next mark of its trace; the last one is still open and counts 0."""
-    day = F.floor(F.col("us") / 86_400_000_000)
-    nxt = next_rows(marks, ["trace_id"], day, ["us", "span_id"], ["us"])
+    nxt = next_rows(ranged(marks, ["trace_id"], ["us", "span_id"]), ["trace_id"], F.col("_range"), ["us", "span_id"], ["us"])
     return nxt.select("trace_id", "span_id", F.coalesce((F.col("next_us") - F.col("us")) / 1000, F.lit(0.0)).alias("duration_ms"))

@@ -2,7 +2,8 @@
 
 A plain window puts a whole group on one task. Here each group is cut into buckets of its
 order key; buckets are summed with a map-side combine, the small bucket table is accumulated,
-and rows only ever meet their own bucket. Bucket numbers must rise with the order key.
+and rows only ever meet their own bucket. Bucket numbers must rise with the order key; ``ranged``
+measures buckets where no fixed width suits the rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cilens.session import cut_lineage, small
 
 
+def ranged(rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """Rows with ``_range``, a bucket measured on the rows: equal ranges of a sampled sort by key and order.
+
+    However many rows share a key, a day or a second, a range holds about the same number of them, as long as the order
+    tells them apart. The rows are written, so that the ranges stay as they are when a task is repeated. Without ``parts``
+    the runtime decides by size how many ranges there are.
+    """
+    sort = [F.col(c) for c in (*keys, *order)]
+    cut = rows.repartitionByRange(parts, *sort) if parts else rows.repartitionByRange(*sort)
+    return cut_lineage(cut.withColumn("_range", F.spark_partition_id()))
+
+
 def running_totals(rows: DataFrame, keys: list[str], bucket: Column, order: list, values: dict[str, Column]) -> DataFrame:
     """Add ``{name}`` = inclusive running total of each value in the group's order."""
     rows = rows.withColumn("_bucket", bucket)

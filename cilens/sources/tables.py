@@ -63,15 +63,15 @@ def load_fixes(spark: SparkSession, folder: str) -> DataFrame:
 def record_fixes(history: DataFrame, verified: DataFrame) -> DataFrame:
     """Verified fixes numbered after the existing ones, in order of ``ord``.
 
-    Positions come from per-range counts, not from one global window: ranges of ``ord`` are
+    Positions come from per-range counts, not from one global window: equal ranges of ``ord`` are
     counted, the counts are accumulated, and rows are numbered inside their range.
     """
-    from cilens.operators.prefix import positions
+    from cilens.operators.prefix import positions, ranged
 
     stored = history.count()
-    numbered = positions(verified.withColumn("k", F.lit(0)), ["k"], F.floor(F.col("ord") / 4096), ["ord"])
+    numbered = positions(ranged(verified, [], ["ord"]), [], F.col("_range"), ["ord"])
     number = (F.col("position") + stored).cast("string")
-    return numbered.withColumn("fix_id", F.concat(F.lit("fix_"), number, F.lit("_"), F.col("exception_type"))).drop("k", "position")
+    return numbered.withColumn("fix_id", F.concat(F.lit("fix_"), number, F.lit("_"), F.col("exception_type"))).drop("_range", "position")
 
 
 def save_scorecard(scorecard: DataFrame, folder: str) -> None:

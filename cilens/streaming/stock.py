@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cilens.operators.prefix import positions, running_totals
+from cilens.operators.prefix import positions, ranged, running_totals
 from cilens.session import cut_lineage
 
 HOT_ROWS = 1_000_000  # requests of one product that a single task may walk through
@@ -81,10 +81,11 @@ def reserve(requests: DataFrame, stock: DataFrame, hot_rows: int = HOT_ROWS) ->
 
 
 def reservation_log(reserved: DataFrame) -> DataFrame:
-    """Granted requests with running reservation ids, numbered through day buckets."""
-    log = positions(reserved.where("granted").withColumn("k", F.lit(0)), ["k"], _day(), [*ORDER, "sku"])
+    """Granted requests with running reservation ids, numbered through ranges of equal depth."""
+    order = [*ORDER, "sku"]
+    log = positions(ranged(reserved.where("granted"), [], order), [], F.col("_range"), order)
     number = F.col("position").cast("string")
-    return log.withColumn("reservation_id", F.concat(F.lit("RES_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))).drop("k", "position")
+    return log.withColumn("reservation_id", F.concat(F.lit("RES_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))).drop("_range", "position")
 
 
 def release(reserved: DataFrame, returns: DataFrame) -> DataFrame:

@@ -154,6 +154,26 @@ def test_running_totals_and_next_rows(spark):
         assert [nxt[(k, o)] for o in mine] == mine[1:] + [None]
 
 
+def test_ranges_split_a_key_whose_rows_share_a_second(spark):
+    draw = random.Random(8)
+    rows = [("hot", 60, i, draw.randrange(9)) for i in range(4000)] + [("hot", 61, i, 1) for i in range(20)] + [(k, 60, i, 2) for k in ("a", "z", None) for i in range(3)]
+    df = spark.createDataFrame(draw.sample(rows, len(rows)), "k string, at bigint, id bigint, v bigint")
+    cut = prefix.ranged(df, ["k"], ["at", "id"], 8)
+    depth = [r["count"] for r in cut.where("k = 'hot'").groupBy("_range").count().collect()]
+    assert len(depth) >= 6 and max(depth) < 2000, "no task holds the second"
+    got = {(r.k, r.at, r.id): r.run for r in prefix.running_totals(cut.where("k IS NOT NULL"), ["k"], F.col("_range"), ["at", "id"], {"run": F.col("v")}).collect()}
+    total, want = {}, {}
+    for k, at, i, v in sorted(r for r in rows if r[0]):
+        total[k] = total.get(k, 0) + v
+        want[k, at, i] = total[k]
+    assert got == want
+    following = {(r.at, r.id): (r.next_at, r.next_id) for r in prefix.next_rows(cut.where("k = 'hot'"), ["k"], F.col("_range"), ["at", "id"], ["at", "id"]).collect()}
+    line = sorted((at, i) for k, at, i, _ in rows if k == "hot")
+    assert [following[x] for x in line] == [*line[1:], (None, None)]
+    whole = {(r.k, r.at, r.id): r.position for r in prefix.positions(prefix.ranged(df.where("k IS NOT NULL"), [], ["k", "at", "id"], 5), [], F.col("_range"), ["k", "at", "id"]).collect()}
+    assert whole == {x: n for n, x in enumerate(sorted(want), 1)}
+
+
 def test_percentile_on_heavy_tail_and_ties(spark):
     rng = np.random.default_rng(1)
     groups = {"tail": np.exp(rng.normal(0, 6, 500)), "ties": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "one": np.array([4.5]), "neg": -np.arange(101, dtype=float)}
