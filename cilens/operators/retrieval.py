@@ -353,12 +353,13 @@ def pack_batches(texts: DataFrame, chunk: int = PACK_CHUNK, limit_tokens: int =
         pdf = pdf.sort_values("slot")
         own = int(pdf["own"].sum())
         jump = _jumps(pdf["tokens"].to_numpy(), limit_tokens, limit_rows)
-        leave, opened = np.zeros(own, dtype=np.int64), np.zeros(own, dtype=np.int64)
-        for i in range(own - 1, -1, -1):
-            j = jump[i]
-            leave[i], opened[i] = (j - own, 1) if j >= own else (leave[j], opened[j] + 1)
+        # steps are doubled until every row has left the chunk
+        leave, opened = jump[:own].copy(), np.ones(own, dtype=np.int64)
+        while (inside := np.flatnonzero(leave < own)).size:
+            at = leave[inside]
+            opened[inside], leave[inside] = opened[inside] + opened[at], leave[at]
         return pd.DataFrame({"repo_id": [pdf["repo_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "own": [own],
-                             "leave": [leave[:limit_rows]], "opened": [opened[:limit_rows]]})
+                             "leave": [leave[:limit_rows] - own], "opened": [opened[:limit_rows]]})
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         at, batch, out = 0, 1, []

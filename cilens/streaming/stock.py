@@ -14,10 +14,6 @@ HOT_ROWS = 1_000_000  # requests of one product that a single task may walk thro
 ORDER = ["ts", "order_id", "line_no", "l_suppkey", "l_extendedprice"]
 
 
-def _day():
-    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400)
-
-
 def _walk(requests: DataFrame) -> DataFrame:
     """Grant or reject in order. Tasks stream their sorted rows and carry one number per product."""
     fields = [f for f in requests.schema.fields if f.name != "available_qty"]
@@ -46,15 +42,15 @@ def _halve(requests: DataFrame) -> DataFrame:
     rest call those above half of ``left`` big. Small ones are all granted until they pass
     half of ``left`` together or a big one fits, whichever comes first; big ones before that
     point are rejected. That point leaves less than half the stock, so rounds are the
-    logarithm of the stock. Each round is one running total through day buckets.
+    logarithm of the stock. Each round is one running total through ranges of equal depth, measured once.
     """
     names = [c for c in requests.columns if c != "available_qty"]
-    pending = cut_lineage(requests.withColumnRenamed("available_qty", "left"))
+    pending = ranged(requests.withColumnRenamed("available_qty", "left"), ["sku"], ORDER)
     decided = []
     while not pending.isEmpty():
         decided.append(pending.where("qty > left").select(*names, F.lit(False).alias("granted")))
         live = pending.where("qty <= left").withColumn("small", F.col("qty") * 2 <= F.col("left"))
-        run = running_totals(live, ["sku"], _day(), ORDER, {"upto": F.when(F.col("small"), F.col("qty")).otherwise(0), "place": F.lit(1).cast("bigint")})
+        run = running_totals(live, ["sku"], F.col("_range"), ORDER, {"upto": F.when(F.col("small"), F.col("qty")).otherwise(0), "place": F.lit(1).cast("bigint")})
         before = F.col("upto") - F.when(F.col("small"), F.col("qty")).otherwise(0)
         event = F.when(F.col("small"), F.col("upto") * 2 > F.col("left")).otherwise((F.col("qty") <= F.col("left") - before) & (before * 2 <= F.col("left")))
         run = cut_lineage(run.withColumn("event", event).withColumn("before", before))
@@ -62,7 +58,7 @@ def _halve(requests: DataFrame) -> DataFrame:
         run = run.join(first, "sku", "left")
         settled = F.col("e").isNull() | (F.col("place") <= F.col("e.place"))
         decided.append(run.where(settled).select(*names, (F.col("small") | F.col("event")).alias("granted")))
-        pending = cut_lineage(run.where(~settled).select(*names, F.col("e.rest").alias("left")))
+        pending = cut_lineage(run.where(~settled).select(*names, "_range", F.col("e.rest").alias("left")))
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
