@@ -265,3 +265,36 @@ def test_blocks_without_a_counterpart_keep_text_ids(spark):
     asked = spark.createDataFrame([(f"q{i}", "a", [float(i)]) for i in range(20)] + [("z", "none", [1.0])], "query_id string, part string, vec array<double>")
     got = V.nearest(items, asked, 1, id_type="string", block=2).collect()
     assert sorted((r.query_id, r.item_id) for r in got) == sorted((f"q{i}", i) for i in range(20))
+
+
+def test_character_counts_of_a_batch_stay_arrays():
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = ["".join(chr(200 + (k * 7 + i * 3) % 3000) for i in range(2500)) for k in range(600)] + ["", None, "aab"]
+    given = pa.array(texts)
+    tracemalloc.start()
+    got = V.count_arrays(given, 3072)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 2**20  # 1.2 million counts; as Python objects they took several times that
+    for text, counts in list(zip(texts, got.to_pylist()))[::50] + [(texts[-2], got[-2].as_py()), (texts[-1], got[-1].as_py())]:
+        want = Counter((ord(c) + i) % 3072 for i, c in enumerate((text or "")[:2000]))
+        assert [(c["slot"], c["n"]) for c in counts] == sorted(want.items())
+
+
+def test_rows_of_one_split_are_dealt_out(spark, tmp_path):
+    from cilens.session import spread
+
+    path = str(tmp_path / "one")
+    spark.range(5000).selectExpr("id", "'x' AS log").coalesce(1).write.parquet(path)
+    spark.range(0).selectExpr("id", "'x' AS log").coalesce(1).write.mode("append").parquet(path)
+    scan = spark.read.parquet(path)
+    wide = spread(scan.union(scan.limit(0)).union(scan.where("id < 0")).union(scan.where("id < -1")), 500)
+    held = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 5000 and max(held) <= 500
+    assert wide.select(F.sum("id")).first()[0] == 5000 * 4999 // 2 and wide.columns == ["id", "log"]
+    even = spark.range(4000, numPartitions=4)
+    assert spread(even).rdd.getNumPartitions() == 4 and spread(even.limit(0)).count() == 0
