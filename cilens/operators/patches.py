@@ -129,26 +129,29 @@ def place_hunks(files: DataFrame, hunks: DataFrame) -> DataFrame:
     An inverted index of the files' lines by hash is joined with the hunks' lines. The line of a hunk that its file holds
     least often names the candidates, so a line such as a lone bracket names some only where a hunk has no other; a hunk
     with a line that its file lacks has none. Candidates are verified line by line. No task needs a whole file.
+
+    Every join is a sorted one: a planner that knows only the size of compressed files takes lines for a small table and
+    would gather them in the driver to send them around.
     """
     file, hunk = ["repo_id", "file_path"], ["repo_id", "file_path", "patch_id", "hunk_no"]
     known = lambda rows, name: rows.withColumn(name, F.coalesce(name, F.lit(""))).withColumn("h", F.xxhash64(X.strip(F.col(name))))
     index = known(files.select(*file, F.posexplode("lines").alias("i", "line")), "line")
     asked = known(hunks.select(*hunk, F.posexplode("old_lines").alias("j", "want")), "want")
-    counts = index.join(asked.select(*file, "h").distinct(), [*file, "h"], "left_semi").groupBy(*file, "h").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (asked.join(counts, [*file, "h"], "left").groupBy(*hunk)
+    counts = index.join(asked.select(*file, "h").distinct().hint("merge"), [*file, "h"], "left_semi").groupBy(*file, "h").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (asked.join(counts.hint("merge"), [*file, "h"], "left").groupBy(*hunk)
               .agg(F.min(F.struct("n", "j", "h")).alias("r"), F.count("n").alias("held"), F.count(F.lit(1)).alias("size")).where("held = size"))
-    starts = (rarest.select(*hunk, "size", "r.j", "r.h").join(index.select(*file, "h", "i"), [*file, "h"])
+    starts = (rarest.select(*hunk, "size", "r.j", "r.h").join(index.select(*file, "h", "i").hint("merge"), [*file, "h"])
               .select(*hunk, "size", (F.col("i") - F.col("j")).alias("at")).where("at >= 0"))
-    pairs = (starts.join(asked.drop("h"), hunk).withColumn("i", F.col("at") + F.col("j")).join(index.select(*file, "i", "line"), [*file, "i"])
+    pairs = (starts.join(asked.drop("h").hint("merge"), hunk).withColumn("i", F.col("at") + F.col("j")).join(index.select(*file, "i", "line").hint("merge"), [*file, "i"])
              .where(X.strip(F.col("line")) == X.strip(F.col("want"))))
     spots = pairs.groupBy(*hunk, "at", "size").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("line") == F.col("want")).alias("exact")).where("n = size")
     preferred = F.col("old_start") - 1
-    best = (spots.join(hunks.select(*hunk, "old_start"), hunk).groupBy(*hunk)
+    best = (spots.join(hunks.select(*hunk, "old_start").hint("merge"), hunk).groupBy(*hunk)
             .agg(F.min(F.struct((~F.col("exact")).alias("loose"), (F.col("at") != preferred).alias("moved"), "at")).alias("best")))
     length = files.select(*file, F.greatest(F.size("lines"), F.lit(0)).alias("length"))
     empty = F.coalesce(F.size("old_lines"), F.lit(0)) <= 0
     clamped = F.when(F.col("length").isNotNull(), F.greatest(F.lit(0), F.least(preferred, F.col("length"))))
-    return hunks.join(best, hunk, "left").join(length, file, "left").select(
+    return hunks.join(best.hint("merge"), hunk, "left").join(length.hint("merge"), file, "left").select(
         *hunk, F.when(empty, clamped).otherwise(F.col("best.at")).cast("bigint").alias("at"),
         F.when(empty, F.when(F.col("length").isNotNull(), F.lit(True))).otherwise(~F.col("best.loose")).alias("exact"))
 

@@ -98,7 +98,7 @@ def hunk_anchor(t):
     many = F.floor(F.size("lines") / 5)
     diff = F.array_join(F.transform(F.when(many > 0, F.sequence(F.lit(0).cast("bigint"), many - 1)).otherwise(F.array().cast("array<bigint>")), hunk), "\n")
     patches = source.select("patch_id", F.concat(F.lit("--- a/x.py\n+++ b/x.py\n"), diff, F.lit("\n")).alias("unified_diff"))
-    parsed = P.hunks(patches).join(source.select("patch_id", "repo_id", "file_path"), "patch_id")
+    parsed = P.hunks(patches).join(source.select("patch_id", "repo_id", "file_path").hint("merge"), "patch_id")
     placed = P.place_hunks(source, cut_lineage(parsed.select("repo_id", "file_path", "patch_id", "hunk_no", "old_start", "old_lines")))
     return placed.select("patch_id", "hunk_no", F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("exact", F.lit(False)).alias("exact"))
 

@@ -298,3 +298,11 @@ def test_rows_of_one_split_are_dealt_out(spark, tmp_path):
     assert wide.select(F.sum("id")).first()[0] == 5000 * 4999 // 2 and wide.columns == ["id", "log"]
     even = spark.range(4000, numPartitions=4)
     assert spread(even).rdd.getNumPartitions() == 4 and spread(even.limit(0)).count() == 0
+
+
+def test_hunks_are_placed_without_sending_lines_around(spark):
+    files = spark.createDataFrame([("r", "a.py", ["x", "y", "z"])], "repo_id string, file_path string, lines array<string>")
+    asked = spark.createDataFrame([("r", "a.py", 1, 1, 1, ["y"])], "repo_id string, file_path string, patch_id bigint, hunk_no bigint, old_start bigint, old_lines array<string>")
+    placed = P.place_hunks(files, asked)
+    assert [(r.at, r.exact) for r in placed.collect()] == [(1, True)]
+    assert "BroadcastExchange" not in placed._jdf.queryExecution().executedPlan().toString()
