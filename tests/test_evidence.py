@@ -1,8 +1,9 @@
 """How evidence and hits are gathered: what is sorted, sent around and dealt out."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cilens.operators import localize as Z
+from cilens.operators import localize as Z, retrieval as V
 
 SYMBOLS = "repo_id string, ord bigint, symbol_id string, name string, symbol_type string, file_path string, start_line bigint, end_line bigint, is_test boolean"
 FAILURES = ("failure_id bigint, repo_id string, failing_file string, failing_line bigint, "
@@ -38,3 +39,22 @@ def test_evidence_is_dealt_out_by_counted_failures(spark, monkeypatch):
     monkeypatch.setattr(Z, "TASK_FAILURES", 1)
     assert key(Z.score(failures, symbols, edges)) == want
     assert "9), REPARTITION_BY_NUM" in steps[0]  # a failure a task
+
+
+def test_items_of_a_search_are_never_sent_around(spark):
+    texts = [(k, f"p{k % 3}", "text" * (k % 7) + chr(97 + k % 26)) for k in range(60)] + [(60, "p0", "")]
+    rows = spark.createDataFrame(texts, "id bigint, part string, text string")
+    vec = V.hash_counts(F.col("text"), 64).alias("vec")
+    items, asked = rows.select(F.col("id").alias("item_id"), "part", vec), rows.where("id % 4 = 0").select(F.col("id").alias("query_id"), "part", vec)
+    found = V.nearest_hashed(items, asked, 2, block=1, dim=64)
+    assert "BuildLeft" not in plan(found) and plan(found).count("BuildRight") == 2  # the table of blocks, once a side
+    dense = np.zeros((61, 64))
+    for k, _, text in texts:
+        for i, c in enumerate(text):
+            dense[k, (ord(c) + i) % 64] += 1
+    sums = (dense * dense).sum(axis=1)
+    cost = np.add.outer((sums > 0) * 1.0, (sums > 0) * 1.0) - 2.0 * (dense @ dense.T / np.sqrt(np.maximum(np.outer(sums, sums), 1.0)))
+    want = {(q, i, cost[i, q]) for q, part, _ in texts if q % 4 == 0
+            for i in sorted((i for i, p, _ in texts if p == part), key=lambda i: (cost[i, q], i))[:2]}
+    for block in (1, 1024):
+        assert {(r.query_id, r.item_id, r.cost) for r in V.nearest_hashed(items, asked, 2, block=block, dim=64).collect()} == want
