@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cilens.llm.common import cut_lineage, map_rows, table, whole_text
 from cilens.llm.components import components
+from cilens.session import small
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -30,6 +31,8 @@ MOST_BITS = 4
 SEGMENTS = (10, 9, 9, 9, 9, 9, 9)
 #: Distinct fingerprints of a bucket that one task compares; larger buckets go through values around them.
 BUCKET = 4096
+#: Size of the written table of larger buckets up to which it is sent to the tasks; beyond it is joined by a shuffle.
+SENT_BYTES = 16 << 20
 _SEED = 42
 _BLOCK = 1 << 16
 
@@ -160,7 +163,9 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         return {"a": a.view(np.int64), "b": b.view(np.int64)}
 
     two = map_rows(buckets.where("n = 2").select("a", "b"), pairs, "a bigint, b bigint")
-    more = map_rows(keyed.join(buckets.where(f"n > 2 and n <= {bucket}").select("p", "k"), ["p", "k"])
+    # few fingerprints share a bucket with two others: they are picked out before the shuffle, not by it
+    larger = small(cut_lineage(buckets.where(f"n > 2 and n <= {bucket}").select("p", "k")), SENT_BYTES)
+    more = map_rows(keyed.join(larger, ["p", "k"])
                     .groupBy("p", "k").agg(F.collect_list("fp").alias("fps")).select("fps"), compare, "a bigint, b bigint")
     found = two.union(more)
     hot = buckets.where(f"n > {bucket}").select("p", "k")

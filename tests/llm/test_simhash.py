@@ -89,3 +89,20 @@ def test_odd_rows(spark, odd, nothing):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, "no id"), (1, ""), (4, "same words here again and again"),
                                                                                    (4, "one id, another text"), (5, "é日本語 𝄞 a\tb\r\nc")])
     assert simhash.one_of_each(nothing).count() == 0
+
+
+def test_larger_buckets_are_picked_out_before_the_shuffle(spark, monkeypatch):
+    texts = near_copies(random.Random(5), 4, 20)
+    prints = spark.createDataFrame([(simhash.fingerprint(t),) for t in texts], "fp long").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the tables are too large for it
+    try:
+        found = simhash.links(prints)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(simhash, "SENT_BYTES", 0)
+        other = simhash.links(prints)
+        assert "SortMergeJoin" in other._jdf.queryExecution().executedPlan().toString()
+        classes = [sorted(map(tuple, components(df).collect())) for df in (found, other)]
+        assert classes[0] == classes[1] and classes[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
