@@ -82,6 +82,7 @@ def settle(orders: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
     Before an order, a product has lost at least what granted orders took and at most that and all that open orders
     ask for. An order that fits under the upper bound for each of its products is granted, one that does not fit under
     the lower bound for some product is rejected, and granted orders in front of the first open one leave the table.
+    A product that has enough for all who still ask leaves it with all its lines; an order left without lines is granted.
     Bounds are running totals, so no product's orders meet in one task: the range sort that numbers the orders cuts
     them into ranges of equal size, whatever their times, and these are the buckets. The first open order is always
     settled; in practice each round settles a third or more.
@@ -93,8 +94,9 @@ def settle(orders: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
         "place", "sku", "qty", F.coalesce("available_qty", F.lit(-1)).cast("bigint").alias("rest"), F.lit(False).alias("granted")))
     settled = []
     while not live.where("not granted").isEmpty():
-        first = live.where("not granted").groupBy("sku").agg(F.min("place").alias("first"))
-        known = live.join(first, "sku")  # products without open orders are done
+        asked_now = live.groupBy("sku").agg(F.min(F.when(~F.col("granted"), F.col("place"))).alias("first"), F.sum("qty").alias("wanted"), F.min("rest").alias("held"))
+        # products without open orders are done, and so are those that have enough for all: their lines refuse nobody
+        known = live.join(asked_now.where("first IS NOT NULL AND wanted > held").select("sku", "first"), "sku")
         taken = known.where("place < first").groupBy("sku").agg(F.sum("qty").alias("taken"))
         left = (known.where("place >= first").join(taken, "sku", "left")
                 .select("place", "sku", "qty", (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("rest"), "granted"))

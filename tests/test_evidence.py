@@ -58,3 +58,18 @@ def test_items_of_a_search_are_never_sent_around(spark):
             for i in sorted((i for i, p, _ in texts if p == part), key=lambda i: (cost[i, q], i))[:2]}
     for block in (1, 1024):
         assert {(r.query_id, r.item_id, r.cost) for r in V.nearest_hashed(items, asked, 2, block=block, dim=64).collect()} == want
+
+
+def test_lines_of_products_with_enough_for_all_leave_at_once(spark, monkeypatch):
+    from cilens.operators import commerce as C
+
+    orders = spark.createDataFrame([(k, k) for k in range(40)], "order_id bigint, ts bigint")
+    rows = [(k, 1, 5) for k in range(40)] + [(k, 2, 3) for k in range(0, 40, 2)] + [(39, 3, 0)]
+    lines = spark.createDataFrame(rows, "order_id bigint, sku bigint, qty bigint")
+    stock = spark.createDataFrame([(1, 200), (2, 31)], "sku bigint, available_qty bigint")
+    steps, write = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: steps.append(write(df)) or steps[-1])
+    got = {r.order_id: r.granted for r in C.settle(orders, lines, stock).collect()}
+    assert got == {k: k != 39 and (k % 2 == 1 or k // 2 < 10) for k in range(40)}
+    rounds = steps[2:]  # after the numbered orders and their lines
+    assert rounds and all(step.where("sku = 1").isEmpty() for step in rounds)
