@@ -41,6 +41,33 @@ def test_evidence_is_dealt_out_by_counted_failures(spark, monkeypatch):
     assert "9), REPARTITION_BY_NUM" in steps[0]  # a failure a task
 
 
+def test_frames_and_paths_are_laid_out_once(spark):
+    failures, symbols = tables(spark)
+    framed = failures.withColumn("frames", F.expr("array(named_struct('file_path', 'x/a.py', 'line_number', failing_line, 'function_name', 'f'))"))
+    found = Z.direct_evidence(framed, symbols)
+    assert plan(found).count("posexplode(frames") == 1  # for the signal of the frames; sites and paths are read as written
+    got = found.groupBy("ord", "reason").agg(F.count(F.lit(1)).alias("n"), F.max("bonus").alias("bonus")).where("ord = 3").collect()
+    assert {(r.reason, r.n, r.bonus) for r in got} == {
+        ("encloses the error site a.py:32", 1, 0), ("appears in the traceback at x/a.py:32", 1, 0), ("named in the traceback", 1, 0), ("defined in the failing file", 9, 5)}
+
+
+def test_settled_failures_are_known_when_evidence_is_gathered(spark, monkeypatch):
+    failures, symbols = tables(spark)
+    kinds = F.expr("CASE WHEN ord = 2 THEN 'test' WHEN ord % 3 = 0 THEN 'class' ELSE symbol_type END")
+    symbols = symbols.withColumn("symbol_type", kinds).withColumn("is_test", F.col("ord") == 2)
+    # fn_9 lies elsewhere and is met as a neighbour only
+    symbols = symbols.unionByName(spark.createDataFrame([("r", 9, "b.py::fn_9", "fn_9", "method", "b.py", 1, 9, False)], SYMBOLS))
+    edges = spark.createDataFrame([("r", k, 9, k == 2, False) for k in range(9)], "repo_id string, src bigint, dst bigint, src_test boolean, dst_test boolean")
+    key = lambda df, n: sorted((r.failure_id, r.ord, r.score, r["rank"]) for r in Z.pool(df, n).collect())
+    steps, write = [], Z.cut_lineage
+    monkeypatch.setattr(Z, "cut_lineage", lambda df: steps.append(write(df)) or steps[-1])
+    for top, settled in ((1, {True}), (5, {True}), (7, {True, False}), (8, {False})):
+        scored = Z.score(failures, symbols, edges, top, False)
+        assert key(scored, top) == key(Z.score(failures, symbols, edges, None, False), top)
+        assert {r.settled for r in steps[-2].select("settled").distinct().collect()} == settled
+        assert plan(scored).count("LeftAnti") == 1  # neighbours against symbols met before, nothing else
+
+
 def test_items_of_a_search_are_never_sent_around(spark):
     texts = [(k, f"p{k % 3}", "text" * (k % 7) + chr(97 + k % 26)) for k in range(60)] + [(60, "p0", "")]
     rows = spark.createDataFrame(texts, "id bigint, part string, text string")
