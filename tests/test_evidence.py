@@ -1,9 +1,12 @@
 """How evidence and hits are gathered: what is sorted, sent around and dealt out."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cilens.operators import localize as Z, retrieval as V
+from cilens import plans, session
+from cilens.operators import graph as G, localize as Z, retrieval as V
+from cilens.plans import localize as LP, retrieval as RP
 
 SYMBOLS = "repo_id string, ord bigint, symbol_id string, name string, symbol_type string, file_path string, start_line bigint, end_line bigint, is_test boolean"
 FAILURES = ("failure_id bigint, repo_id string, failing_file string, failing_line bigint, "
@@ -100,3 +103,77 @@ def test_lines_of_products_with_enough_for_all_leave_at_once(spark, monkeypatch)
     assert got == {k: k != 39 and (k % 2 == 1 or k // 2 < 10) for k in range(40)}
     rounds = steps[2:]  # after the numbered orders and their lines
     assert rounds and all(step.where("sku = 1").isEmpty() for step in rounds)
+
+
+def test_a_written_step_is_not_sent_by_the_size_of_its_files(spark):
+    rows = spark.range(session.SENT_ROWS + 1).select(F.col("id").alias("ord"), F.lit("src/mod.py").alias("file_path"))
+    large, few = session.shared(rows), session.shared(rows.limit(9))
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(large) < 1 << 20  # less than the planner sends around
+    asked = rows.select("ord").where("ord % 1000 = 7")
+    for step in (large, large.where("ord > 5").withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), large.groupBy("ord").count()):
+        assert "Broadcast" not in plan(asked.join(step, "ord"))
+    assert "BroadcastHashJoin" in plan(asked.join(few, "ord"))
+    assert asked.join(large, "ord").count() == 66
+
+
+def test_ends_of_names_are_never_sent_around(spark):
+    symbols = session.shared(spark.createDataFrame([("r", "lib/abc.py"), ("r", "abc.py"), ("s", "x/bc.py")], "repo_id string, file_path string"))
+    reported = session.shared(spark.createDataFrame([("r", "bc.py"), ("r", "/work/abc.py"), ("s", "c.py")], "repo_id string, path string"))
+    pairs = Z.path_pairs(symbols, reported)
+    assert plan(pairs).count("SortMergeJoin") == 2  # a side each of ends of names
+    want = [("r", "abc.py", "/work/abc.py"), ("r", "abc.py", "bc.py"), ("r", "lib/abc.py", "/work/abc.py"), ("r", "lib/abc.py", "bc.py"), ("s", "x/bc.py", "c.py")]
+    assert sorted({tuple(r) for r in pairs.collect()}) == want
+
+
+def test_only_neighbours_meet_the_symbols_they_are_credited_to(spark):
+    failures, symbols = tables(spark)
+    symbols = symbols.unionByName(spark.createDataFrame([("r", 9, "b.py::other", "other", "method", "b.py", 1, 9, False)], SYMBOLS))
+    edges = spark.createDataFrame([("r", k, 9, False, False) for k in range(9)], "repo_id string, src bigint, dst bigint, src_test boolean, dst_test boolean")
+    scored = Z.score(failures, symbols, edges)
+    assert "-1 AS seed" not in plan(scored)  # one key for all others
+    evidence = {(r.failure_id, r.ord): r.evidence for r in scored.collect()}
+    assert len(evidence) == 90
+    for k in range(9):
+        assert evidence[k, 9] == [f"adjacent in the call graph to fn_{k}", "is an executable function or method"]
+        assert evidence[k, (k + 1) % 9] in (["defined in the failing file", "is an executable function or method"],
+                                            ["named in the traceback", "defined in the failing file", "is an executable function or method"])
+
+
+def test_called_names_are_never_sent_around(spark):
+    symbols = session.shared(spark.createDataFrame([("r", k, f"fn_{k}", False, [f"fn_{k + 1}"]) for k in range(5)], "repo_id string, ord bigint, name string, is_test boolean, calls array<string>"))
+    found = G.call_edges(symbols, symbols.select("ord", F.explode("calls").alias("callee_name")))
+    assert "SortMergeJoin" in plan(found)
+    assert sorted((r.src, r.dst) for r in found.collect()) == [(k, k + 1) for k in range(4)]
+
+
+def part_copies(folder):
+    """Two repositories with logs, symbols and fixes, as a folder of tables."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    kinds = ("error", "click", "view", "purchase", "signup")
+    tables = {
+        "part": {"p_partkey": pa.array(range(800), pa.int64()), "p_size": pa.array([k % 50 for k in range(800)], pa.int32())},
+        "events": {"event_id": pa.array(range(300), pa.int64()), "ts": pa.array([k * 10**6 for k in range(300)], pa.timestamp("us")),
+                   "user_id": pa.array([k % 60 for k in range(300)], pa.int64()), "event_type": pa.array([kinds[k // 7 % 5] for k in range(300)])},
+        "orders": {"o_orderkey": pa.array(range(90), pa.int64()), "o_custkey": pa.array(range(90), pa.int64())},
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["a1_evidence_score"])
+def test_no_step_of_a_query_is_sent_by_the_size_of_its_files(spark, tmp_path, monkeypatch, name):
+    folder, steps, write = part_copies(tmp_path), [], session.cut_lineage
+    for module in (session, Z, V, LP, RP):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: steps.append(plan(df)) or write(df), raising=False)
+        monkeypatch.setattr(module, "SENT_ROWS", 0, raising=False)  # as if every step held too many
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # more than any step here, less than what joins of them may give
+    try:
+        steps.append(plan(plans.QUERIES[name](spark, folder)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(steps) > 5 and not [text for text in steps if "BroadcastExchange" in text]
