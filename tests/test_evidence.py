@@ -164,7 +164,8 @@ def part_copies(folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["a1_evidence_score", "j9_merge_model_ranking", "r5_query_framings", "r6_context_caps", "u1_merged_hits", "r9_context_bundle", "j10_unlocalized"])
+@pytest.mark.parametrize("name", ["a1_evidence_score", "j9_merge_model_ranking", "r9_context_bundle", "r5_query_framings", "r6_context_caps",
+                                  "j10_unlocalized", "w2_candidate_pool", "u1_merged_hits"])
 def test_no_step_of_a_query_is_sent_by_the_size_of_its_files(spark, tmp_path, monkeypatch, name):
     folder, steps, write = part_copies(tmp_path), [], session.cut_lineage
     for module in (session, Z, V, LP, RP):
